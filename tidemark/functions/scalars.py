@@ -11,8 +11,8 @@ def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
-# Text ends in an explicit zone: "Z" or a +HH:MM / +HHMM / +HH offset.
-ZONE_PATTERN = r"(?i)(z|[+-]\d{2}(:?\d{2})?)$"
+# Text ends in a time followed by an explicit zone: "Z" or +HH:MM / +HHMM / +HH.
+ZONE_PATTERN = r"(?i)\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(z|[+-]\d{2}(:?\d{2})?)$"
 
 
 def micros(col: Column | str) -> Column:
@@ -45,24 +45,26 @@ def non_blank(col: Column | str) -> Column:
 
 def has_zone(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(py_strip(c).rlike(ZONE_PATTERN), F.lit(False))
+    return F.coalesce(c.rlike(ZONE_PATTERN), F.lit(False))
 
 
-def parse_zoned_utc(col: Column | str) -> Column:
+def parse_zoned_utc(col: Column | str, strip: bool = True) -> Column:
     """ISO-8601 text with a zone -> naive UTC wall time (TIMESTAMP_NTZ).
 
     Text without a zone gives NULL (naive times are rejected, not guessed).
     Session zone must be UTC (see tidemark.session).
     """
-    c = py_strip(F.col(col) if isinstance(col, str) else col)
+    c = F.col(col) if isinstance(col, str) else col
+    c = py_strip(c) if strip else c
     parsed = F.try_to_timestamp(c)
     return F.when(has_zone(c), parsed.cast("timestamp_ntz"))
 
 
-def iso_text(col: Column | str, zone_suffix: str = "") -> Column:
-    """ISO-8601 text of a naive timestamp, like datetime.isoformat()."""
+def iso_text(col: Column | str, zone_suffix: str = "", sep: str = "T") -> Column:
+    """ISO-8601 text of a naive timestamp, like datetime.isoformat(sep)
+    (``sep=" "`` gives str(timestamp))."""
     c = F.col(col) if isinstance(col, str) else col
-    base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    base = F.date_format(c, f"yyyy-MM-dd'{sep}'HH:mm:ss")
     frac = F.date_format(c, "SSSSSS")
     out = F.when(frac == "000000", base).otherwise(F.concat(base, F.lit("."), frac))
     return F.concat(out, F.lit(zone_suffix)) if zone_suffix else out

@@ -199,3 +199,339 @@ ORACLES["pit_features"] = _feature_query(
     "station_id, obs_ts, snapshot_source_ts, " + rounded(FEATURE_ORDER, DOUBLE_FEATURES))
 
 ORACLES["obs_outcome"] = with_ctes(*FEATURE_STACK, OUTCOME_CTE) + " SELECT station_id, obs_ts, outcome FROM outcomes"
+
+
+# ---------------------------------------------------------------- contracts
+def with_obs(obs_sql: str, *ctes: str, n_stations: int = 8) -> str:
+    return "WITH " + ",".join([metrics_cte(n_stations), f"\nobs AS ({obs_sql})", *ctes])
+
+
+FOUND = "SELECT * FROM features"
+
+ORACLES["vector_in_order"] = _feature_query(
+    "station_id, obs_ts, " + ", ".join(
+        f"{r6(n) if n not in ('ft_hour_of_day', 'ft_is_weekend') else n} AS f{p + 1:02d}_{n}"
+        for p, n in enumerate(["ft_capacity", "ft_hour_of_day", "ft_bikes_available", "ft_avg_bikes_24h",
+                               "ft_is_weekend", "ft_bikes_available_lag_15m"])))
+
+_HOUR_TEXT = ("CASE WHEN ft_hour_of_day % 5 = 0 THEN CAST(ft_hour_of_day AS VARCHAR) || '.5' "
+              "ELSE CAST(ft_hour_of_day AS VARCHAR) END")
+def _int_text(e: str) -> str:
+    """Text -> integer as Python's int(): integer text only (DuckDB would round '20.5')."""
+    return f"(CASE WHEN regexp_matches(trim({e}), '^[+-]?[0-9]+$') THEN TRY_CAST(trim({e}) AS BIGINT) END)"
+
+
+_COERCE_COMMON = f"""
+  {r6('ft_bikes_available')} AS ft_bikes_available,
+  TRY_CAST(trunc(ft_capacity) AS BIGINT) AS ft_capacity,
+  TRY_CAST(trunc(ft_bikes_available_lag_24h) AS INTEGER) AS ft_bikes_available_lag_24h,
+  {{hour_str}} AS ft_hour_of_day,
+  ft_is_weekend <> 0 AS ft_is_weekend,
+  {r6('ft_availability_ratio')} AS ft_availability_ratio,
+  {_int_text(_HOUR_TEXT)} AS hour_text"""
+
+
+def _coerce_sql(strict: bool) -> str:
+    lag_fail = "ft_bikes_available_lag_24h IS NULL" if strict else "FALSE"
+    first = (f"CASE WHEN {lag_fail} THEN 'ft_bikes_available_lag_24h' "
+             f"WHEN {_int_text(_HOUR_TEXT)} IS NULL THEN 'hour_text' END")
+    body = _COERCE_COMMON.format(hour_str="CAST(ft_hour_of_day AS VARCHAR)")
+    return _feature_query(f"station_id, obs_ts, {body}, {first} AS error_feature, "
+                          f"CASE WHEN ({first}) IS NULL THEN 'ok' ELSE 'dtype_error' END AS dtype_status")
+
+
+ORACLES["coerce_strict"] = _coerce_sql(True)
+ORACLES["coerce_nullable"] = _coerce_sql(False)
+
+ORACLES["snapshot_lookup"] = with_ctes() + f""",
+newest AS (SELECT station_id, MAX(window_start) AS snapshot_ts FROM metrics GROUP BY station_id),
+snapshot AS (SELECT n.station_id, n.snapshot_ts, m.avg_bikes_available AS ft_bikes_available
+             FROM newest n JOIN metrics m ON m.station_id = n.station_id AND m.window_start = n.snapshot_ts)
+SELECT o.station_id, o.obs_ts, s.station_id IS NOT NULL AS found,
+       COALESCE(strftime(s.snapshot_ts, '%Y-%m-%d %H:%M:%S'), 'unknown') AS snapshot_ts_text,
+       {r6('s.ft_bikes_available')} AS ft_bikes_available
+FROM obs o LEFT JOIN snapshot s USING (station_id)"""
+
+
+# ---------------------------------------------------------------- requests
+def _strip(e: str) -> str:
+    return f"regexp_replace(regexp_replace({e}, '^\\s+', ''), '\\s+$', '')"
+
+
+ZONE_RE = r"\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?([zZ]|[+-]\d{2}(:?\d{2})?)$"
+
+
+def requests_cte(n_stations: int = 8) -> str:
+    n = n_stations + 1
+    o = "(ts + INTERVAL 10 MINUTE)"
+    return f"""
+req_raw AS (
+  SELECT event_id AS request_id,
+    CASE WHEN event_id % 10 = 0 THEN '   '
+         ELSE (CASE WHEN event_id % 3 = 0 THEN ' ' ELSE '' END) || 'station_' || CAST((user_id + event_id) % {n} AS VARCHAR)
+              || (CASE WHEN event_id % 4 = 0 THEN chr(9) ELSE '' END) END AS entity_id,
+    CASE event_id % 6
+      WHEN 0 THEN strftime({o}, '%Y-%m-%dT%H:%M:%S.%f')
+      WHEN 1 THEN strftime({o}, '%Y-%m-%d %H:%M:%S')
+      WHEN 2 THEN strftime({o}, '%Y-%m-%dT%H:%M:%S') || 'Z'
+      WHEN 3 THEN strftime({o}, '%Y-%m-%dT%H:%M:%S') || '+00:00'
+      WHEN 4 THEN 'not-a-time'
+      ELSE strftime({o}, '%Y-%m-%dT%H:%M') END AS ts_text
+  FROM events WHERE event_type = 'purchase'
+),
+req AS (
+  SELECT request_id, {_strip('entity_id')} AS station_id,
+    CASE WHEN regexp_matches(ts_text, '{ZONE_RE}') THEN NULL ELSE TRY_CAST(ts_text AS TIMESTAMP) END AS obs_ts,
+    CASE WHEN length({_strip('entity_id')}) = 0 THEN 'invalid_request'
+         WHEN ts_text IS NOT NULL AND ts_text <> ''
+              AND (regexp_matches(ts_text, '{ZONE_RE}') OR TRY_CAST(ts_text AS TIMESTAMP) IS NULL) THEN 'internal'
+         ELSE 'ok' END AS status
+  FROM req_raw
+)"""
+
+
+ORACLES["request_normalize"] = ("WITH " + requests_cte().strip()
+                                + " SELECT request_id, station_id, obs_ts, status FROM req")
+
+ORACLES["outcome_map"] = "WITH " + ",".join([
+    metrics_cte(), requests_cte(),
+    "\nobs AS (SELECT DISTINCT station_id, obs_ts FROM req WHERE status = 'ok')",
+    *FEATURE_STACK, OUTCOME_CTE]) + """,
+codes AS (
+  SELECT r.request_id, CASE WHEN r.status = 'ok' THEN o.outcome ELSE r.status END AS code
+  FROM req r LEFT JOIN outcomes o ON r.status = 'ok' AND o.station_id = r.station_id AND o.obs_ts = r.obs_ts
+)
+SELECT request_id, code,
+  CASE WHEN code = 'ok' THEN 'success'
+       WHEN code IN ('domain_violation', 'stale', 'missing_feature', 'dtype_error') THEN 'rejected'
+       WHEN code = 'invalid_request' THEN 'invalid' ELSE 'failure' END AS outcome,
+  CASE WHEN code = 'not_found' THEN 'feature_lookup'
+       WHEN code IN ('ok', 'invalid_request', 'domain_violation', 'stale', 'missing_feature', 'dtype_error') THEN NULL
+       ELSE 'internal' END AS error_type,
+  CAST(CASE WHEN code = 'ok' THEN 200
+       WHEN code IN ('invalid_request', 'domain_violation', 'stale', 'missing_feature', 'dtype_error') THEN 422
+       WHEN code = 'not_found' THEN 404 ELSE 500 END AS INTEGER) AS http_status
+FROM codes"""
+
+
+# ---------------------------------------------------------------- scoring
+def _score_linear() -> str:
+    from tidemark.plans.queries import LINEAR
+    return with_ctes(*FEATURE_STACK, OUTCOME_CTE) + f""" SELECT f.station_id, f.obs_ts,
+  {r6(LINEAR.sql())} AS prediction
+  FROM features f JOIN outcomes o USING (station_id, obs_ts) WHERE o.outcome = 'ok'"""
+
+
+# ---------------------------------------------------------------- metrics windows
+LOG_CTE = """
+log AS (
+  SELECT event_id AS request_id, ts AS completed_at, '/predict' AS endpoint_name,
+    CAST(user_id % 5 AS VARCHAR) AS deployment_id,
+    CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'signup' THEN 'rejected' ELSE 'success' END AS outcome,
+    CASE WHEN event_type = 'error' THEN
+      CASE event_id % 5 WHEN 0 THEN 'feature_lookup' WHEN 1 THEN 'model_load'
+                        WHEN 2 THEN 'inference_runtime' WHEN 3 THEN 'internal' END END AS error_type,
+    value AS latency_ms,
+    CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN CAST('NaN' AS DOUBLE)
+         WHEN event_id % 23 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE value / 500.0 END AS prediction,
+    date_trunc('minute', ts) AS window_start,
+    date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end
+  FROM events
+),
+win AS (
+  SELECT window_start, window_end, endpoint_name, deployment_id,
+    COUNT(*) AS request_count,
+    COUNT(*) FILTER (WHERE outcome = 'success') AS success_count,
+    COUNT(*) FILTER (WHERE outcome = 'failure') AS failure_count,
+    COUNT(*) FILTER (WHERE outcome = 'rejected') AS rejected_count,
+    COUNT(*) FILTER (WHERE outcome = 'rejected') AS validation_error_count,
+    COUNT(*) FILTER (WHERE outcome = 'failure' AND error_type = 'feature_lookup') AS feature_lookup_error_count,
+    COUNT(*) FILTER (WHERE outcome = 'failure' AND error_type = 'model_load') AS model_load_error_count,
+    COUNT(*) FILTER (WHERE outcome = 'failure' AND error_type = 'inference_runtime') AS inference_runtime_error_count,
+    COUNT(*) FILTER (WHERE outcome = 'failure' AND (error_type IS NULL
+                     OR error_type NOT IN ('feature_lookup', 'model_load', 'inference_runtime'))) AS internal_error_count,
+    COUNT(*) FILTER (WHERE outcome = 'success') AS prediction_count,
+    COUNT(*) FILTER (WHERE outcome = 'success' AND (prediction IS NULL OR isnan(prediction))) AS prediction_null_count,
+    COUNT(*) FILTER (WHERE outcome = 'success' AND (isnan(prediction) OR isinf(prediction))) AS prediction_non_finite_count
+  FROM log GROUP BY window_start, window_end, endpoint_name, deployment_id
+),
+ranked AS (
+  SELECT window_start, window_end, endpoint_name, deployment_id, latency_ms,
+    row_number() OVER (PARTITION BY window_start, endpoint_name, deployment_id ORDER BY latency_ms) AS rn,
+    COUNT(*) OVER (PARTITION BY window_start, endpoint_name, deployment_id) AS n
+  FROM log WHERE latency_ms IS NOT NULL
+),
+pct AS (
+  SELECT window_start, window_end, endpoint_name, deployment_id,
+    MAX(latency_ms) FILTER (WHERE rn = greatest(1, least(n, CAST(ceil(CAST(0.5 AS DOUBLE) * n) AS BIGINT)))) AS latency_p50_ms,
+    MAX(latency_ms) FILTER (WHERE rn = greatest(1, least(n, CAST(ceil(CAST(0.95 AS DOUBLE) * n) AS BIGINT)))) AS latency_p95_ms,
+    MAX(latency_ms) FILTER (WHERE rn = greatest(1, least(n, CAST(ceil(CAST(0.99 AS DOUBLE) * n) AS BIGINT)))) AS latency_p99_ms
+  FROM ranked GROUP BY window_start, window_end, endpoint_name, deployment_id
+)"""
+
+_WK = "window_start, window_end, endpoint_name, deployment_id"
+
+
+def _iso(e: str, suffix_expr: str = "''") -> str:
+    return (f"(CASE WHEN strftime({e}, '%f') = '000000' THEN strftime({e}, '%Y-%m-%dT%H:%M:%S') "
+            f"ELSE strftime({e}, '%Y-%m-%dT%H:%M:%S.%f') END || {suffix_expr})")
+
+
+def parse_zoned(e: str, strip: bool = True) -> str:
+    """Zoned ISO text -> naive UTC timestamp; NULL when naive or unparsable."""
+    t = _strip(e) if strip else e
+    off = (f"CASE WHEN upper(right({t}, 1)) = 'Z' THEN 0 ELSE "
+           f"(CASE WHEN regexp_extract({t}, '([+-])(\\d{{2}}):?(\\d{{2}})?$', 1) = '-' THEN -1 ELSE 1 END) * "
+           f"(CAST(regexp_extract({t}, '([+-])(\\d{{2}}):?(\\d{{2}})?$', 2) AS INTEGER) * 60 + "
+           f"COALESCE(TRY_CAST(NULLIF(regexp_extract({t}, '([+-])(\\d{{2}}):?(\\d{{2}})?$', 3), '') AS INTEGER), 0)) END")
+    naive = f"TRY_CAST(regexp_replace({t}, '([zZ]|[+-]\\d{{2}}(:?\\d{{2}})?)$', '') AS TIMESTAMP)"
+    return (f"(CASE WHEN regexp_matches({t}, '{ZONE_RE}') THEN {naive} - ({off}) * INTERVAL 1 MINUTE END)")
+
+
+def _nb(e: str) -> str:
+    return f"COALESCE(length({_strip(e)}) > 0, FALSE)"
+
+
+META_CTE = f"""
+meta AS (
+  SELECT '/srv/bundles/models/model_' || CAST(o_custkey % 5 AS VARCHAR) || '/v' || CAST(o_orderkey AS VARCHAR) || '/model.pkl' AS model_path,
+    CAST(o_orderkey AS VARCHAR) AS deployment_id,
+    'v' || CAST(o_orderkey AS VARCHAR) AS model_version,
+    {_iso('o_orderdate - INTERVAL 2 HOUR', "CASE WHEN o_orderkey % 2 = 0 THEN 'Z' ELSE '+00:00' END")} AS trained_at,
+    CASE WHEN o_orderkey % 29 = 0 AND o_orderkey >= 5 THEN '   ' ELSE ' orders_' || o_orderstatus || ' ' END AS input_dataset_name,
+    'ds-' || CAST(year(o_orderdate) AS VARCHAR) AS input_dataset_version,
+    {_iso("CASE WHEN o_orderkey % 13 = 0 AND o_orderkey >= 5 THEN o_orderdate + INTERVAL 1 HOUR ELSE o_orderdate - INTERVAL 1 HOUR END",
+          "CASE WHEN o_orderkey % 2 = 0 THEN 'Z' ELSE '+00:00' END")} AS started_at,
+    {_iso('o_orderdate', "CASE WHEN o_orderkey % 2 = 0 THEN 'Z' ELSE '+00:00' END")} AS completed_at
+  FROM orders
+),
+ctx0 AS (
+  SELECT 'station-serving' AS service_name, '0.1.0' AS service_version, 'production' AS environment,
+    deployment_id, CAST(NULL AS VARCHAR) AS instance_id,
+    split_part(regexp_replace(model_path, '/[^/]*$', ''), '/', -2) AS model_name,
+    model_version,
+    regexp_replace(model_path, '/[^/]*$', '') AS bundle_id,
+    'file://' || regexp_replace(model_path, '/[^/]*$', '') AS bundle_uri,
+    {parse_zoned('trained_at', strip=False)} AS bundle_created_at,
+    CASE WHEN {_nb('input_dataset_name')} THEN {_strip('input_dataset_name')} END AS input_dataset_name,
+    CASE WHEN {_nb('input_dataset_version')} THEN {_strip('input_dataset_version')} END AS input_dataset_version,
+    {parse_zoned('started_at', strip=False)} AS started_at,
+    {parse_zoned('completed_at', strip=False)} AS completed_at
+  FROM meta
+),
+ctx AS (
+  SELECT *, reasons = '' AS valid FROM (
+    SELECT *, concat_ws(',',
+      CASE WHEN NOT {_nb('model_version')} THEN 'model_version_missing' END,
+      CASE WHEN bundle_created_at IS NULL THEN 'bundle_created_at_invalid' END,
+      CASE WHEN started_at IS NULL THEN 'started_at_invalid' END,
+      CASE WHEN completed_at IS NULL THEN 'completed_at_invalid' END,
+      CASE WHEN NOT {_nb('input_dataset_name')} THEN 'input_dataset_name_blank' END,
+      CASE WHEN NOT {_nb('input_dataset_version')} THEN 'input_dataset_version_blank' END,
+      CASE WHEN NOT {_nb('service_name')} THEN 'service_name_blank' END,
+      CASE WHEN NOT {_nb('service_version')} THEN 'service_version_blank' END,
+      CASE WHEN NOT {_nb('environment')} THEN 'environment_blank' END,
+      CASE WHEN NOT {_nb('deployment_id')} THEN 'deployment_id_blank' END,
+      CASE WHEN NOT {_nb('model_name')} THEN 'model_name_blank' END,
+      CASE WHEN NOT {_nb('bundle_id')} THEN 'bundle_id_blank' END,
+      CASE WHEN NOT {_nb('bundle_uri')} THEN 'bundle_uri_blank' END,
+      CASE WHEN completed_at < started_at THEN 'chronology' END) AS reasons
+    FROM ctx0)
+),
+act AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS deployment_id, o_orderdate AS event_time,
+         o_orderpriority AS activation_reason, o_orderstatus AS traffic_status FROM orders
+),
+events_all AS (
+  SELECT 'serving_deployment_activated' AS event_type, a.event_time, c.service_name, c.service_version,
+    c.environment, a.deployment_id, c.instance_id, c.model_name, c.model_version, c.bundle_id, c.bundle_uri,
+    c.bundle_created_at, c.input_dataset_name, c.input_dataset_version, c.started_at, c.completed_at,
+    a.activation_reason, a.traffic_status, 'v1' AS schema_version, c.valid
+  FROM act a JOIN ctx c USING (deployment_id)
+)"""
+
+_REC_LINEAGE = ("c.service_name, c.service_version, c.environment, c.model_name, c.model_version, "
+                "c.bundle_id, c.input_dataset_name, c.input_dataset_version")
+RECORDS_CTE = f"""
+records AS (
+  SELECT 'v1' AS schema_version, w.window_start, w.window_end, {_REC_LINEAGE}, w.deployment_id, w.endpoint_name,
+    w.request_count, w.success_count, w.failure_count, w.rejected_count, CAST(0 AS BIGINT) AS timeout_count,
+    COALESCE(p.latency_p50_ms, 0.0) AS latency_p50_ms, COALESCE(p.latency_p95_ms, 0.0) AS latency_p95_ms,
+    COALESCE(p.latency_p99_ms, 0.0) AS latency_p99_ms,
+    CAST(NULL AS DOUBLE) AS feature_lookup_p95_ms, CAST(NULL AS DOUBLE) AS model_exec_p95_ms,
+    w.validation_error_count, w.feature_lookup_error_count, w.model_load_error_count,
+    w.inference_runtime_error_count, CAST(0 AS BIGINT) AS dependency_error_count, w.internal_error_count,
+    CAST(0 AS BIGINT) AS input_schema_failure_count, CAST(0 AS BIGINT) AS missing_required_field_count,
+    CAST(0 AS BIGINT) AS invalid_type_count, CAST(0 AS BIGINT) AS domain_violation_count,
+    w.prediction_count, w.prediction_null_count, w.prediction_non_finite_count,
+    CAST(0 AS BIGINT) AS prediction_out_of_range_count, CAST(0 AS BIGINT) AS fallback_prediction_count,
+    CAST(NULL AS BIGINT) AS missing_feature_count, CAST(NULL AS BIGINT) AS default_imputed_feature_count,
+    CAST(NULL AS BIGINT) AS stale_feature_count, CAST(NULL AS BIGINT) AS feature_vector_build_failure_count
+  FROM win w JOIN pct p USING ({_WK}) JOIN ctx c ON c.deployment_id = w.deployment_id AND c.valid
+)"""
+
+_OBS_WITH = "WITH " + ",".join([LOG_CTE.strip(), META_CTE])
+
+ORACLES["metrics_window_counts"] = _OBS_WITH + f" SELECT {_WK}, request_count, success_count, failure_count, rejected_count FROM win"
+ORACLES["metrics_window_errors"] = _OBS_WITH + f""" SELECT {_WK}, validation_error_count, feature_lookup_error_count,
+  model_load_error_count, inference_runtime_error_count, internal_error_count FROM win"""
+ORACLES["prediction_quality"] = _OBS_WITH + f""" SELECT {_WK}, prediction_count, prediction_null_count,
+  prediction_non_finite_count FROM win"""
+ORACLES["latency_percentiles"] = _OBS_WITH + f""" SELECT {_WK},
+  {r6('COALESCE(latency_p50_ms, 0.0)')} AS latency_p50_ms, {r6('COALESCE(latency_p95_ms, 0.0)')} AS latency_p95_ms,
+  {r6('COALESCE(latency_p99_ms, 0.0)')} AS latency_p99_ms FROM pct"""
+
+_WIN_DOUBLES = {"latency_p50_ms", "latency_p95_ms", "latency_p99_ms", "feature_lookup_p95_ms", "model_exec_p95_ms"}
+def _window_fields() -> list[str]:
+    from tidemark.schemas import WINDOW_FIELDS
+    return [c for c in WINDOW_FIELDS if c != "heartbeat_emitted_at"]
+
+
+ORACLES["metrics_window"] = _OBS_WITH + "," + RECORDS_CTE + f" SELECT {rounded(_window_fields(), _WIN_DOUBLES)} FROM records"
+ORACLES["metrics_window_lineage"] = _OBS_WITH + "," + RECORDS_CTE + """ SELECT window_start, endpoint_name, deployment_id,
+  service_name, model_name, model_version, bundle_id, input_dataset_name, input_dataset_version FROM records"""
+ORACLES["sink_metrics_layout"] = _OBS_WITH + "," + RECORDS_CTE + """ SELECT window_start, deployment_id,
+  strftime(window_start, '%Y-%m-%d') AS date, strftime(window_start, '%H') AS hour, strftime(window_start, '%M') AS minute
+  FROM records"""
+ORACLES["validate_windows"] = _OBS_WITH + "," + RECORDS_CTE + """ SELECT window_start, endpoint_name, deployment_id,
+  TRUE AS valid, '' AS reasons FROM records"""
+
+_CTX_COLS = ("service_name, service_version, environment, deployment_id, instance_id, model_name, model_version, "
+             "bundle_id, bundle_uri, bundle_created_at, input_dataset_name, input_dataset_version, started_at, "
+             "completed_at, valid, reasons")
+ORACLES["bundle_lineage"] = _OBS_WITH + f" SELECT {_CTX_COLS} FROM ctx"
+ORACLES["deployment_events"] = _OBS_WITH + """ SELECT event_type, event_time, service_name, service_version, environment,
+  deployment_id, instance_id, model_name, model_version, bundle_id, bundle_uri, bundle_created_at, input_dataset_name,
+  input_dataset_version, started_at, completed_at, activation_reason, traffic_status, schema_version
+  FROM events_all WHERE valid"""
+ORACLES["validate_events"] = _OBS_WITH + f""" SELECT deployment_id, reasons = '' AS valid, reasons FROM (
+  SELECT deployment_id, concat_ws(',',
+    {", ".join(f"CASE WHEN NOT {_nb(c)} THEN '{c}_blank' END" for c in
+               ["service_name", "service_version", "environment", "deployment_id", "model_name", "model_version",
+                "bundle_id", "bundle_uri", "input_dataset_name", "input_dataset_version", "activation_reason",
+                "traffic_status"])},
+    {", ".join(f"CASE WHEN {c} IS NULL THEN '{c}_invalid' END" for c in
+               ["event_time", "bundle_created_at", "started_at", "completed_at"])},
+    CASE WHEN completed_at < started_at THEN 'chronology' END,
+    CASE WHEN event_type <> 'serving_deployment_activated' THEN 'event_type' END,
+    CASE WHEN schema_version <> 'v1' THEN 'schema_version' END) AS reasons
+  FROM events_all)"""
+ORACLES["sink_events_layout"] = _OBS_WITH + """ SELECT deployment_id, event_time, strftime(event_time, '%Y-%m-%d') AS date
+  FROM events_all WHERE valid"""
+
+ORACLES["normalize_utc"] = f"""
+WITH z AS (
+  SELECT o_orderkey, strftime(o_orderdate + (o_orderkey % 24) * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') AS base,
+         o_orderkey % 5 AS shape FROM orders
+), t AS (
+  SELECT o_orderkey, CASE shape WHEN 0 THEN base || 'Z' WHEN 1 THEN base || '+00:00' WHEN 2 THEN base || '+02:00'
+                                WHEN 3 THEN base || '-05:30' ELSE base END AS ts_text FROM z
+)
+SELECT o_orderkey, ts_text, {parse_zoned('ts_text')} AS utc_ts, {parse_zoned('ts_text')} IS NOT NULL AS valid FROM t"""
+
+
+def _late():
+    ORACLES["score_linear"] = _score_linear()
+
+
+_late()

@@ -96,3 +96,226 @@ def pit_features(spark, sf_dir):
 def obs_outcome(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     return feat.reconstruct(i.obs, i.metrics).select("station_id", "obs_ts", "outcome")
+
+
+# ---------------------------------------------------------------- contracts
+from tidemark.functions.scalars import iso_text  # noqa: E402
+from tidemark.operators import contract as con  # noqa: E402
+from tidemark.operators import lineage as lin  # noqa: E402
+from tidemark.operators import metrics as met  # noqa: E402
+from tidemark.operators import outcomes as outc  # noqa: E402
+from tidemark.operators import scoring as sco  # noqa: E402
+from tidemark.operators import snapshot as snp  # noqa: E402
+from tidemark.operators import validate as val  # noqa: E402
+from tidemark.schemas import (  # noqa: E402
+    CONTRACT_VERSION, ENTITY_KEY, FEATURE_CONTRACT, TARGET, WINDOW_FIELDS,
+)
+
+DEFAULT_CONTRACT = con.Contract(CONTRACT_VERSION, ENTITY_KEY, tuple(FEATURE_CONTRACT), TARGET)
+
+# A contract declared in a different order than the frame's columns.
+REORDERED_CONTRACT = con.Contract("reordered-v1", ENTITY_KEY, (
+    ("ft_capacity", "float64"), ("ft_hour_of_day", "int32"), ("ft_bikes_available", "float64"),
+    ("ft_avg_bikes_24h", "float64"), ("ft_is_weekend", "int32"), ("ft_bikes_available_lag_15m", "float64"),
+), TARGET)
+
+# A contract that coerces: truncation to int, int from a nullable double,
+# text, truthiness, a text column that does not always parse as an int.
+COERCION_CONTRACT = con.Contract("coercion-v1", ENTITY_KEY, (
+    ("ft_bikes_available", "float64"), ("ft_capacity", "int64"),
+    ("ft_bikes_available_lag_24h", "int32"), ("ft_hour_of_day", "str"),
+    ("ft_is_weekend", "bool"), ("ft_availability_ratio", "float64"), ("hour_text", "int64"),
+), TARGET)
+
+
+def _found_features(i: Inputs):
+    return feat.reconstruct(i.obs, i.metrics).where(F.col("outcome") != "not_found")
+
+
+@register("vector_in_order")
+def vector_in_order(spark, sf_dir):
+    v = con.vector(_found_features(Inputs(spark, sf_dir)), REORDERED_CONTRACT, keep=["station_id", "obs_ts"])
+    named = [F.col(n).alias(f"f{p + 1:02d}_{n}") for p, n in enumerate(REORDERED_CONTRACT.names)]
+    return round_doubles(v.select("station_id", "obs_ts", *named))
+
+
+def _coercion_input(spark, sf_dir):
+    f = _found_features(Inputs(spark, sf_dir))
+    h = F.col("ft_hour_of_day")
+    return f.withColumn("hour_text", F.when(h % 5 == 0, F.concat(h.cast("string"), F.lit(".5")))
+                        .otherwise(h.cast("string")))
+
+
+@register("coerce_strict")
+def coerce_strict(spark, sf_dir):
+    c = con.coerce(_coercion_input(spark, sf_dir), COERCION_CONTRACT, strict=True, keep=["station_id", "obs_ts"])
+    return round_doubles(c)
+
+
+@register("coerce_nullable")
+def coerce_nullable(spark, sf_dir):
+    c = con.coerce(_coercion_input(spark, sf_dir), COERCION_CONTRACT, strict=False, keep=["station_id", "obs_ts"])
+    return round_doubles(c)
+
+
+@register("snapshot_lookup")
+def snapshot_lookup(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    snap = snp.build_snapshot(i.metrics)
+    j = snp.lookup(i.obs, snap)
+    return round_doubles(j.select("station_id", "obs_ts", "found", "snapshot_ts_text", "ft_bikes_available"))
+
+
+# ---------------------------------------------------------------- requests
+@register("request_normalize")
+def request_normalize(spark, sf_dir):
+    return outc.normalize_requests(Inputs(spark, sf_dir).requests)
+
+
+def request_codes(i: Inputs):
+    """Every request with its check outcome code (reconstruction for the valid ones)."""
+    req = outc.normalize_requests(i.requests)
+    valid = req.where(F.col("status") == "ok").drop("status")
+    checked = feat.reconstruct(valid, i.metrics).select("request_id", "station_id", "obs_ts",
+                                                         F.col("outcome").alias("code"))
+    rest = req.where(F.col("status") != "ok").select("request_id", "station_id", "obs_ts",
+                                                      F.col("status").alias("code"))
+    return checked.unionByName(rest)
+
+
+@register("outcome_map")
+def outcome_map(spark, sf_dir):
+    codes = request_codes(Inputs(spark, sf_dir))
+    outcome, error_type, http = outc.serving_outcome(F.col("code"))
+    return codes.select("request_id", "code", outcome.alias("outcome"), error_type.alias("error_type"),
+                        http.alias("http_status"))
+
+
+# ---------------------------------------------------------------- scoring
+LINEAR = sco.LinearModel(
+    [n for n, _ in FEATURE_CONTRACT],
+    {"ft_bikes_available": 0.5, "ft_docks_available": -0.25, "ft_avg_bikes_60m": 0.1,
+     "ft_hour_of_day": 0.05, "ft_is_weekend": 1.0},
+    bias=2.0)
+
+
+def _ok_vectors(i: Inputs):
+    f = feat.reconstruct(i.obs, i.metrics).where(F.col("outcome") == "ok")
+    return con.coerce(f, DEFAULT_CONTRACT, strict=False, keep=["station_id", "obs_ts"]) \
+        .where(F.col("dtype_status") == "ok")
+
+
+@register("score_batch")
+def score_batch(spark, sf_dir):
+    """Prediction records for every observation that passes the checks."""
+    v = _ok_vectors(Inputs(spark, sf_dir))
+    scored = sco.score(v, sco.ConstantModel(42.0), DEFAULT_CONTRACT.names)
+    return scored.select(F.col("station_id").alias("entity_id"), iso_text("obs_ts").alias("timestamp"),
+                         "prediction", F.lit("v1").alias("model_version"),
+                         F.array(*[F.lit(n) for n in DEFAULT_CONTRACT.names]).alias("features_used"))
+
+
+@register("score_linear")
+def score_linear(spark, sf_dir):
+    v = _ok_vectors(Inputs(spark, sf_dir))
+    scored = sco.score(v, LINEAR, DEFAULT_CONTRACT.names)
+    return round_doubles(scored.select("station_id", "obs_ts", "prediction"))
+
+
+# ---------------------------------------------------------------- metrics windows
+@register("metrics_window_counts")
+def metrics_window_counts(spark, sf_dir):
+    w = met.window_aggregates(Inputs(spark, sf_dir).request_log)
+    return w.select(*met.WINDOW_KEYS, "request_count", "success_count", "failure_count", "rejected_count")
+
+
+@register("metrics_window_errors")
+def metrics_window_errors(spark, sf_dir):
+    w = met.window_aggregates(Inputs(spark, sf_dir).request_log)
+    return w.select(*met.WINDOW_KEYS, "validation_error_count", "feature_lookup_error_count",
+                    "model_load_error_count", "inference_runtime_error_count", "internal_error_count")
+
+
+@register("prediction_quality")
+def prediction_quality(spark, sf_dir):
+    w = met.window_aggregates(Inputs(spark, sf_dir).request_log)
+    return w.select(*met.WINDOW_KEYS, "prediction_count", "prediction_null_count",
+                    "prediction_non_finite_count")
+
+
+@register("latency_percentiles")
+def latency_percentiles(spark, sf_dir):
+    return round_doubles(met.latency_percentiles(Inputs(spark, sf_dir).request_log))
+
+
+def valid_lineage(i: Inputs):
+    return lin.bundle_lineage(i.bundle_metadata).where(F.col("valid"))
+
+
+def window_records(i: Inputs):
+    return met.window_records(met.metrics_windows(i.request_log), valid_lineage(i))
+
+
+@register("metrics_window")
+def metrics_window(spark, sf_dir):
+    """Full window records (heartbeat left out: it is the emission time)."""
+    return round_doubles(window_records(Inputs(spark, sf_dir)).drop("heartbeat_emitted_at"))
+
+
+@register("metrics_window_lineage")
+def metrics_window_lineage(spark, sf_dir):
+    r = window_records(Inputs(spark, sf_dir))
+    return r.select("window_start", "endpoint_name", "deployment_id", "service_name", "model_name",
+                    "model_version", "bundle_id", "input_dataset_name", "input_dataset_version")
+
+
+@register("sink_metrics_layout")
+def sink_metrics_layout(spark, sf_dir):
+    from tidemark.sources.sinks import metrics_partitions
+    r = metrics_partitions(window_records(Inputs(spark, sf_dir)))
+    return r.select("window_start", "deployment_id", "date", "hour", "minute")
+
+
+@register("validate_windows")
+def validate_windows(spark, sf_dir):
+    v = val.validate_windows(window_records(Inputs(spark, sf_dir)))
+    return v.select("window_start", "endpoint_name", "deployment_id", "valid",
+                    F.array_join("reasons", ",").alias("reasons"))
+
+
+# ---------------------------------------------------------------- lineage and events
+@register("bundle_lineage")
+def bundle_lineage(spark, sf_dir):
+    ctx = lin.bundle_lineage(Inputs(spark, sf_dir).bundle_metadata)
+    return ctx.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@register("deployment_events")
+def deployment_events(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return lin.deployment_events(i.activations, lin.bundle_lineage(i.bundle_metadata))
+
+
+@register("validate_events")
+def validate_events(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    ev = lin.event_records(i.activations, lin.bundle_lineage(i.bundle_metadata))
+    v = val.validate_events(ev)
+    return v.select("deployment_id", "valid", F.array_join("reasons", ",").alias("reasons"))
+
+
+@register("sink_events_layout")
+def sink_events_layout(spark, sf_dir):
+    from tidemark.sources.sinks import event_partitions
+    i = Inputs(spark, sf_dir)
+    ev = event_partitions(lin.deployment_events(i.activations, lin.bundle_lineage(i.bundle_metadata)))
+    return ev.select("deployment_id", "event_time", "date")
+
+
+@register("normalize_utc")
+def normalize_utc(spark, sf_dir):
+    from tidemark.functions.scalars import parse_zoned_utc
+    from tidemark.sources.standins import zoned_text
+    z = zoned_text(Inputs(spark, sf_dir).orders)
+    utc = parse_zoned_utc("ts_text")
+    return z.select("o_orderkey", "ts_text", utc.alias("utc_ts"), utc.isNotNull().alias("valid"))

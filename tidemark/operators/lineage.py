@@ -58,7 +58,7 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
         + [(f"{c}_invalid", F.col(c).isNull()) for c in ("bundle_created_at", "started_at", "completed_at")]
         + blank_rules(["input_dataset_name", "input_dataset_version", "service_name", "service_version",
                        "environment", "deployment_id", "model_name", "bundle_id", "bundle_uri"])
-        + [("chronology", F.col("completed_at") < F.col("started_at"))]
+        + [("chronology", F.coalesce(F.col("completed_at") < F.col("started_at"), F.lit(False)))]
     )
     return apply_rules(ctx, rules)
 

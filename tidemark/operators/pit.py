@@ -102,7 +102,8 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
          .select(F.col(key), micros(right_time).alias(_T),
                  *[F.col(c) for c in dict.fromkeys(list(tiebreak) + payload + roll_cols)]))
     R = R.withColumn(_D, _floor_div(F.col(_T), bucket_us))
-    as_struct = F.struct(F.col(_T), *[F.col(c) for c in tiebreak], *[F.col(c) for c in payload])
+    as_struct = F.struct(F.col(_T), *[F.col(c).alias(f"_pt_tb{n}") for n, c in enumerate(tiebreak)],
+                         *[F.col(c) for c in payload])
 
     # ---- pass 1: rolling aggregates at the break points of the right side
     if rolling:

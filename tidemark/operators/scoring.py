@@ -60,14 +60,20 @@ def predict_column(df: DataFrame, model, feature_cols: list[str]) -> Column:
     """A Pandas-UDF column with the model's prediction for each row."""
     bc = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def _predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    # Arrow turns NaN into NULL on the way back, so NaN travels as a flag
+    # and is restored JVM-side: a NaN prediction must stay NaN (it counts
+    # as non-finite in the metrics windows, NULL does not).
+    @F.pandas_udf("v double, nan boolean")
+    def _predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         m = bc.value
         for cols in batches:
             X = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in cols])
-            yield pd.Series(np.asarray(m.predict(X), dtype=float).reshape(-1))
+            y = np.asarray(m.predict(X), dtype=float).reshape(-1)
+            nan = np.isnan(y)
+            yield pd.DataFrame({"v": np.where(nan, 0.0, y), "nan": nan})
 
-    return _predict(*[F.col(c).cast("double") for c in feature_cols])
+    out = _predict(*[F.col(c).cast("double") for c in feature_cols])
+    return F.when(out["nan"], F.lit(float("nan"))).otherwise(out["v"])
 
 
 def score(df: DataFrame, model, feature_cols: list[str], out_col: str = "prediction") -> DataFrame:

@@ -39,7 +39,7 @@ def time_rules(fields: list[str]) -> list[tuple[str, Column]]:
 
 def event_rules() -> list[tuple[str, Column]]:
     return (blank_rules(EVENT_NON_BLANK) + time_rules(EVENT_TIME_FIELDS) + [
-        ("chronology", F.col("completed_at") < F.col("started_at")),
+        ("chronology", F.coalesce(F.col("completed_at") < F.col("started_at"), F.lit(False))),
         ("event_type", F.col("event_type") != F.lit(EVENT_TYPE)),
         ("schema_version", F.col("schema_version") != F.lit(SCHEMA_VERSION)),
     ])
@@ -50,7 +50,7 @@ def window_rules() -> list[tuple[str, Column]]:
                 + WINDOW_PREDICTION_FIELDS)
     latencies = ["latency_p50_ms", "latency_p95_ms", "latency_p99_ms"]
     rules = blank_rules(WINDOW_NON_BLANK) + time_rules(["window_start", "window_end", "heartbeat_emitted_at"])
-    rules.append(("window_order", F.col("window_end") <= F.col("window_start")))
+    rules.append(("window_order", F.coalesce(F.col("window_end") <= F.col("window_start"), F.lit(False))))
     rules += [(f"{c}_negative", F.col(c).isNull() | (F.col(c) < 0)) for c in required + latencies]
     rules += [(f"{c}_negative", F.col(c).isNotNull() & (F.col(c) < 0))
               for c in WINDOW_OPTIONAL_DOUBLE + WINDOW_OPTIONAL_LONG]

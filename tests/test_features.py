@@ -89,6 +89,8 @@ def _brute(left, right, asof, rolling):
                 res[ro.name] = min(vals) if vals else None
             elif ro.fn == "max":
                 res[ro.name] = max(vals) if vals else None
+            elif ro.fn == "count":
+                res[ro.name] = len(vals)
             else:
                 res[ro.name] = sum(vals) if vals else None
         out[lid] = res
@@ -122,7 +124,9 @@ def test_point_in_time_matches_brute_force(spark, seed, rows_per_slice):
     asof = [AsOf("snap", ("rt", "tb", "v"), 0), AsOf("lag90", ("rt", "tb", "v"), 90 * MINUTE_US),
             AsOf("lag24", ("rt", "tb", "v"), 24 * HOUR_US)]
     rolling = [Rolling("avg60", "avg", "v", 60 * MINUTE_US), Rolling("min24", "min", "v", 24 * HOUR_US),
-               Rolling("max24", "max", "v", 24 * HOUR_US), Rolling("sum3h", "sum", "v", 3 * HOUR_US)]
+               Rolling("max24", "max", "v", 24 * HOUR_US), Rolling("sum3h", "sum", "v", 3 * HOUR_US),
+               Rolling("avg24", "avg", "v", 24 * HOUR_US), Rolling("sum24", "sum", "v", 24 * HOUR_US),
+               Rolling("cnt24", "count", "v", 24 * HOUR_US)]
     got = point_in_time(L, R, key="key", left_time="t", right_time="rt", asof=asof, rolling=rolling,
                         tiebreak=("tb",), rows_per_slice=rows_per_slice).collect()
     want = _brute(left, right, asof, rolling)

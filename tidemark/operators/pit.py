@@ -10,6 +10,8 @@ Plan (all DataFrame operations, no per-row Python):
   points* only: every right row (it enters the frames) and every right row
   shifted by ``width + 1us`` (it leaves a frame). A frame therefore never
   holds left rows, and its cost is bounded by the right side's density.
+  A frame as wide as a bucket is split at the bucket edge into two growing
+  frames (O(1) per row); narrower frames slide.
 * Pass 2 unions the left rows of a slice with the break points (and right
   rows) of the same and the previous day, plus one carried row (the newest
   right row before that), and takes ``max(struct(time, ...))`` over growing
@@ -60,6 +62,33 @@ def _floor_div(c: Column, n: int) -> Column:
     return F.floor(c / F.lit(n)).cast("long")
 
 
+def _day_split(r: Rolling, key: str) -> Column:
+    """A frame exactly one bucket wide, as two growing frames.
+
+    For a break point at ``t`` in bucket ``d``, ``[t - W, t]`` is the rows of
+    bucket ``d`` up to ``t`` (ascending, growing) plus the copies of bucket
+    ``d - 1`` from ``t - W`` on (descending, growing). Spark evaluates growing
+    frames incrementally, so this costs O(1) per row where a sliding frame
+    re-aggregates its whole buffer (about W of data) for every row.
+    """
+    own = F.when(F.col(_REP) == 0, F.col(r.column))
+    prev = F.when(F.col(_REP) == 1, F.col(r.column))
+    up = Window.partitionBy(key, _D).orderBy(F.col(_T)).rangeBetween(Window.unboundedPreceding, 0)
+    down = (Window.partitionBy(key, _D).orderBy(F.col(_T).desc())
+            .rangeBetween(Window.unboundedPreceding, r.width_us))
+    if r.fn == "min":
+        return F.least(F.min(own).over(up), F.min(prev).over(down))
+    if r.fn == "max":
+        return F.greatest(F.max(own).over(up), F.max(prev).over(down))
+    n = F.count(own).over(up) + F.count(prev).over(down)
+    if r.fn == "count":
+        return n
+    total = F.coalesce(F.sum(own).over(up), F.lit(0)) + F.coalesce(F.sum(prev).over(down), F.lit(0))
+    if r.fn == "sum":
+        return F.when(n > 0, total)
+    return F.when(n > 0, total.cast("double") / n)
+
+
 def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str,
                   right_time: str, asof: list[AsOf] = (), rolling: list[Rolling] = (),
                   tiebreak: tuple[str, ...] = (), bucket_us: int = DAY_US,
@@ -123,8 +152,12 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
                   .unionByName(Lc.select(key, (F.col(_D) - 1).alias(_D))).distinct())
         P1 = P1.join(needed, [key, _D], "left_semi")
         w1 = Window.partitionBy(key, _D).orderBy(_T)
-        for r in rolling:
-            P1 = P1.withColumn(r.name, _AGG[r.fn](F.col(r.column)).over(w1.rangeBetween(-r.width_us, 0)))
+        # One select, so the planner groups the window expressions into one
+        # ascending and one descending Window operator (two sorts in all).
+        P1 = P1.select("*", *[
+            (_day_split(r, key) if r.width_us == bucket_us
+             else _AGG[r.fn](F.col(r.column)).over(w1.rangeBetween(-r.width_us, 0))).alias(r.name)
+            for r in rolling])
         RT = P1.where(F.col(_REP) == 0).drop(_REP, _D, *only_rolling)
     else:
         RT = R.withColumn(_K, F.lit(ENTER)).drop(_D, *only_rolling)
@@ -163,7 +196,9 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
                            F.struct(*[F.col(a.name)[c].alias(c) for c in a.columns])).alias(a.name))
     if rolling:
         U = U.withColumn(_RS, F.max(_RS).over(w2.rangeBetween(Window.unboundedPreceding, 0)))
-        outs += [F.col(_RS)[r.name].alias(r.name) for r in rolling]
+        # No break point at or before t: the frame is empty (count 0, else NULL).
+        outs += [(F.coalesce(F.col(_RS)[r.name], F.lit(0)) if r.fn == "count" else F.col(_RS)[r.name]).alias(r.name)
+                 for r in rolling]
     result = U.where(F.col(_K) == LEFT).select(*[F.col(c) for c in left_cols], *outs)
 
     dropped = left.where(~valid_left)

@@ -50,7 +50,7 @@ def test_metrics_sink_layout_append_and_format(spark, tmp_dir):
 
 def test_event_sink(spark, tmp_dir):
     _, ctx = _records(spark)
-    acts = standins.activations(load_table(spark, SMALL, "orders")).limit(20)
+    acts = standins.activations(load_table(spark, SMALL, "orders")).where(F.col("deployment_id").cast("long") < 20)
     ev = lin.deployment_events(acts, ctx)
     assert write_deployment_events(ev, tmp_dir)
     lines = _lines(os.path.join(tmp_dir, "artifacts", "serving", "events"))

@@ -31,10 +31,15 @@ def day_of_week_sun0(col: Column | str) -> Column:
     return (F.dayofweek(col) - 1).cast("int")
 
 
+# The characters Python's str.strip() removes, derived from str.isspace().
+PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
+
+
 def py_strip(col: Column | str) -> Column:
-    """Strip leading/trailing whitespace like Python's str.strip (not only spaces)."""
+    """Strip leading/trailing whitespace like Python's str.strip (not only
+    spaces; no regex)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def non_blank(col: Column | str) -> Column:
@@ -64,9 +69,8 @@ def iso_text(col: Column | str, zone_suffix: str = "", sep: str = "T") -> Column
     """ISO-8601 text of a naive timestamp, like datetime.isoformat(sep)
     (``sep=" "`` gives str(timestamp))."""
     c = F.col(col) if isinstance(col, str) else col
-    base = F.date_format(c, f"yyyy-MM-dd'{sep}'HH:mm:ss")
-    frac = F.date_format(c, "SSSSSS")
-    out = F.when(frac == "000000", base).otherwise(F.concat(base, F.lit("."), frac))
+    full = F.date_format(c, f"yyyy-MM-dd'{sep}'HH:mm:ss.SSSSSS")
+    out = F.when(F.endswith(full, F.lit(".000000")), F.substring(full, 1, 19)).otherwise(full)
     return F.concat(out, F.lit(zone_suffix)) if zone_suffix else out
 
 

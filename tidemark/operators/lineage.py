@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import non_blank, parse_zoned_utc, py_strip
-from tidemark.operators.validate import apply_rules, blank_rules
+from tidemark.operators.validate import apply_rules, blank_rules, computed_once
 from tidemark.schemas import EVENT_FIELDS, EVENT_TYPE, SCHEMA_VERSION
 
 
@@ -27,6 +27,13 @@ class ServiceSettings:
     instance_id: str | None = None
 
 
+def _parent(path):
+    """Path without its last segment (no regex); NULL when there is no '/'."""
+    last = F.substring_index(path, "/", -1)
+    return F.when(F.contains(path, F.lit("/")),
+                  F.substring(path, F.lit(1), F.length(path) - F.length(last) - 1))
+
+
 def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(),
                    path_col: str = "model_path") -> DataFrame:
     """One lineage context per metadata row, with ``valid`` and ``reasons``.
@@ -35,15 +42,16 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
     ``model_version, trained_at, input_dataset_name, input_dataset_version,
     started_at, completed_at`` (missing keys read as NULL).
     """
-    path = F.regexp_replace(F.col(path_col), r"^file://", "")
-    bundle_dir = F.regexp_replace(path, r"/[^/]*$", "")
+    raw = F.col(path_col)
+    path = F.when(F.startswith(raw, F.lit("file://")), F.substring(raw, 8, 1 << 30)).otherwise(raw)
+    bundle_dir = _parent(path)  # the version folder holding the model file
     ctx = meta.select(
         F.lit(settings.service_name).alias("service_name"),
         F.lit(settings.service_version).alias("service_version"),
         F.lit(settings.environment).alias("environment"),
         F.col("deployment_id"),
         F.lit(settings.instance_id).cast("string").alias("instance_id"),
-        F.element_at(F.split(bundle_dir, "/"), -2).alias("model_name"),
+        F.substring_index(F.substring_index(bundle_dir, "/", -2), "/", 1).alias("model_name"),
         F.col("model_version"),
         bundle_dir.alias("bundle_id"),
         F.concat(F.lit("file://"), bundle_dir).alias("bundle_uri"),
@@ -53,6 +61,7 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
         parse_zoned_utc(F.col("started_at"), strip=False).alias("started_at"),
         parse_zoned_utc(F.col("completed_at"), strip=False).alias("completed_at"),
     )
+    ctx = computed_once(ctx)
     rules = (
         [("model_version_missing", ~non_blank("model_version"))]
         + [(f"{c}_invalid", F.col(c).isNull()) for c in ("bundle_created_at", "started_at", "completed_at")]

@@ -7,8 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.schemas import METRICS_SCHEMA
 
 
-def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than the cluster has cores a round-robin
+    repartition, so row-level work before the first shuffle is not one task.
+
+    A file written as one row group is one split whatever its size; on a
+    large input (many files or row groups) this is a no-op. Filters and
+    column pruning still reach the scan below the repartition.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def load_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_small else df
 
 
 def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str, DataFrame]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import non_blank, parse_zoned_utc, py_strip
 from tidemark.operators.validate import apply_rules, blank_rules, computed_once
 from tidemark.schemas import EVENT_FIELDS, EVENT_TYPE, SCHEMA_VERSION
+from tidemark.sources.tables import spread
 
 
 @dataclass(frozen=True)
@@ -42,6 +43,7 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
     ``model_version, trained_at, input_dataset_name, input_dataset_version,
     started_at, completed_at`` (missing keys read as NULL).
     """
+    meta = spread(meta)  # text parsing per row: worth spreading a narrow input
     raw = F.col(path_col)
     path = F.when(F.startswith(raw, F.lit("file://")), F.substring(raw, 8, 1 << 30)).otherwise(raw)
     bundle_dir = _parent(path)  # the version folder holding the model file

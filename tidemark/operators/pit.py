@@ -80,12 +80,13 @@ def _day_split(r: Rolling, key: str) -> Column:
         return F.least(F.min(own).over(up), F.min(prev).over(down))
     if r.fn == "max":
         return F.greatest(F.max(own).over(up), F.max(prev).over(down))
+    if r.fn == "sum":  # NULL only when both halves are empty
+        a, b = F.sum(own).over(up), F.sum(prev).over(down)
+        return F.when(a.isNotNull() | b.isNotNull(), F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     n = F.count(own).over(up) + F.count(prev).over(down)
     if r.fn == "count":
         return n
     total = F.coalesce(F.sum(own).over(up), F.lit(0)) + F.coalesce(F.sum(prev).over(down), F.lit(0))
-    if r.fn == "sum":
-        return F.when(n > 0, total)
     return F.when(n > 0, total.cast("double") / n)
 
 

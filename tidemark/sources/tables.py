@@ -9,7 +9,9 @@ from tidemark.schemas import METRICS_SCHEMA
 
 def spread(df: DataFrame) -> DataFrame:
     """Give a scan with fewer splits than the cluster has cores a round-robin
-    repartition, so row-level work before the first shuffle is not one task.
+    repartition, so heavy row-level work before the first shuffle is not one
+    task. Operators with costly per-row expressions call it on their input;
+    cheap plans skip it (the extra exchange costs more than it saves).
 
     A file written as one row group is one split whatever its size; on a
     large input (many files or row groups) this is a no-op. Filters and
@@ -19,7 +21,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-def load_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = True) -> DataFrame:
+def load_table(spark: SparkSession, sf_dir: str, name: str, spread_small: bool = False) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if spread_small else df
 

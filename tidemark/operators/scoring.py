@@ -67,6 +67,8 @@ def predict_column(df: DataFrame, model, feature_cols: list[str]) -> Column:
     def _predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         m = bc.value
         for cols in batches:
+            if isinstance(cols, pd.Series):  # one feature: batches are bare Series
+                cols = (cols,)
             X = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in cols])
             y = np.asarray(m.predict(X), dtype=float).reshape(-1)
             nan = np.isnan(y)

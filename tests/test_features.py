@@ -147,3 +147,14 @@ def test_point_in_time_matches_brute_force(spark, seed, rows_per_slice):
                 assert val is None, (row["lid"], ro.name, val)
             else:
                 assert val == pytest.approx(exp, rel=1e-12, abs=1e-9), (row["lid"], ro.name)
+
+
+def test_as_of_on_window_end_is_stricter(spark):
+    """Keyed on window_start (default) the minute still open at obs_ts is used;
+    keyed on window_end only finished minutes are."""
+    m = metrics_df(spark, metrics_rows(stations=(("s", 10.0),), minutes=3))
+    o = obs_df(spark, [("s", OBS_TS)])
+    start = reconstruct(o, m).collect()[0]
+    end = reconstruct(o, m, as_of_column="window_end").collect()[0]
+    assert start["snapshot_source_ts"] == OBS_TS
+    assert end["snapshot_source_ts"] == OBS_TS - timedelta(minutes=1)

@@ -82,3 +82,29 @@ def test_stream_append_and_update_equal_batch(spark, tmp_dir):
             assert pairs == want
     assert counts["update"] == n
     assert counts["append"] == n - 1  # the newest window waits for later rows
+
+
+def test_stream_drops_rows_later_than_the_watermark(spark, tmp_dir):
+    """A row older than the watermark is dropped, not counted in another window."""
+    from tidemark.streaming import stream_window_aggregates
+    schema = ("completed_at timestamp_ntz, endpoint_name string, deployment_id string, outcome string, "
+              "error_type string, latency_ms double, prediction double")
+    src = os.path.join(tmp_dir, "log")
+    os.makedirs(src)
+    t0 = datetime(2024, 1, 1, 0, 0, 30)
+    batches = [[(t0, "/predict", "0", "success", None, 5.0, 0.1)],
+               [(datetime(2024, 1, 1, 0, 10, 0), "/predict", "0", "success", None, 7.0, 0.1)],
+               [(datetime(2024, 1, 1, 0, 0, 40), "/predict", "0", "success", None, 9.0, 0.1),   # late
+                (datetime(2024, 1, 1, 0, 10, 20), "/predict", "0", "failure", None, 1.0, None)]]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    agg = stream_window_aggregates(stream, watermark="1 minute")
+    q = (agg.writeStream.outputMode("update").format("memory").queryName("late_rows")
+         .option("checkpointLocation", os.path.join(tmp_dir, "ckpt")).start())
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        q.processAllAvailable()
+    q.stop()
+    got = spark.sql("SELECT window_start, max(request_count) AS n FROM late_rows GROUP BY window_start").collect()
+    counts = {r["window_start"]: r["n"] for r in got}
+    assert counts[datetime(2024, 1, 1, 0, 0)] == 1      # the late 00:00:40 row was not added
+    assert counts[datetime(2024, 1, 1, 0, 10)] == 2

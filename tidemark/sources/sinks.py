@@ -30,7 +30,7 @@ def event_partitions(events: DataFrame) -> DataFrame:
     return events.withColumn("date", F.date_format(F.col("event_time"), "yyyy-MM-dd"))
 
 
-def _utc_text(df: DataFrame) -> DataFrame:
+def utc_text(df: DataFrame) -> DataFrame:
     """Timestamps as ISO-8601 UTC text with 'Z' (naive columns hold UTC wall time)."""
     return df.select(*[iso_text(F.col(f.name), "Z").alias(f.name)
                        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(f.name)
@@ -47,11 +47,11 @@ def _append_json(df: DataFrame, path: str, partition_cols: list[str]) -> bool:
 
 def write_metrics_windows(windows: DataFrame, base_dir: str) -> bool:
     """Append window records under metrics/date=/hour=/minute=. False if empty."""
-    out = _utc_text(metrics_partitions(windows))
+    out = utc_text(metrics_partitions(windows))
     return _append_json(out, f"{base_dir.rstrip('/')}/artifacts/serving/metrics", ["date", "hour", "minute"])
 
 
 def write_deployment_events(events: DataFrame, base_dir: str) -> bool:
     """Append deployment events under events/date=. False if empty."""
-    out = _utc_text(event_partitions(events))
+    out = utc_text(event_partitions(events))
     return _append_json(out, f"{base_dir.rstrip('/')}/artifacts/serving/events", ["date"])

@@ -25,7 +25,7 @@ from tidemark.operators.metrics import (
 )
 from tidemark.schemas import PERCENTILES
 from tidemark.session import checkpoint_dir
-from tidemark.sources.sinks import write_metrics_windows
+from tidemark.sources.sinks import metrics_partitions, utc_text, write_metrics_windows
 
 
 def _pct(p: float, col: str = "latency_ms"):
@@ -53,30 +53,41 @@ def start_metrics_stream(log_stream: DataFrame, lineage: DataFrame, base_dir: st
                          processing_time: str | None = None, query_name: str | None = None):
     """Start the streaming job that appends window records under ``base_dir``.
 
+    ``append`` uses Spark's JSON file sink (exactly-once through its
+    metadata log), partitioned by date/hour/minute like the batch sink.
+    ``update`` rewrites changed windows each trigger, which a file sink cannot
+    take, so each micro-batch goes through the batch sink in ``foreachBatch``;
+    a per-batch marker skips a batch already written when the query restarts
+    (a failure in the middle of a batch can still write that batch twice).
+
     The checkpoint defaults to a folder under the session's shared
-    ``spark.checkpoint.dir``. Each micro-batch is appended with the batch
-    sink (one writer for batch and stream); a batch id marker keeps a
-    replayed micro-batch from being written twice.
+    ``spark.checkpoint.dir``.
     """
     windows = stream_window_aggregates(log_stream, watermark)
     records = window_records(windows, lineage)
     spark = log_stream.sparkSession
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/metrics-stream"
-    done_dir = f"{ckpt.rstrip('/')}/_written"
-
-    def _write(batch: DataFrame, batch_id: int) -> None:
-        # Idempotence across restarts: skip a batch whose marker exists.
-        jvm = spark.sparkContext._jvm
-        hconf = spark.sparkContext._jsc.hadoopConfiguration()
-        marker = jvm.org.apache.hadoop.fs.Path(f"{done_dir}/{batch_id}")
-        fs = marker.getFileSystem(hconf)
-        if fs.exists(marker):
-            return
-        write_metrics_windows(batch, base_dir)
-        fs.create(marker, True).close()
-
-    writer = (records.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
-              .foreachBatch(_write))
+    out = f"{base_dir.rstrip('/')}/artifacts/serving/metrics"
+
+    if output_mode == "append":
+        writer = (utc_text(metrics_partitions(records)).writeStream.outputMode("append")
+                  .format("json").option("path", out).option("ignoreNullFields", "false")
+                  .option("checkpointLocation", ckpt).partitionBy("date", "hour", "minute"))
+    else:
+        done_dir = f"{ckpt.rstrip('/')}/_written"
+
+        def _write(batch: DataFrame, batch_id: int) -> None:
+            jvm = spark.sparkContext._jvm
+            hconf = spark.sparkContext._jsc.hadoopConfiguration()
+            marker = jvm.org.apache.hadoop.fs.Path(f"{done_dir}/{batch_id}")
+            fs = marker.getFileSystem(hconf)
+            if fs.exists(marker):
+                return
+            write_metrics_windows(batch, base_dir)
+            fs.create(marker, True).close()
+
+        writer = (records.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
+                  .foreachBatch(_write))
     if query_name:
         writer = writer.queryName(query_name)
     if available_now:

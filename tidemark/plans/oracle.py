@@ -8,7 +8,7 @@ side. Doubles are rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-from tidemark.schemas import FEATURE_ORDER
+from tidemark.schemas import FEATURE_ORDER, WINDOW_FIELDS
 
 R = 6  # decimal places compared for doubles
 
@@ -202,12 +202,6 @@ ORACLES["obs_outcome"] = with_ctes(*FEATURE_STACK, OUTCOME_CTE) + " SELECT stati
 
 
 # ---------------------------------------------------------------- contracts
-def with_obs(obs_sql: str, *ctes: str, n_stations: int = 8) -> str:
-    return "WITH " + ",".join([metrics_cte(n_stations), f"\nobs AS ({obs_sql})", *ctes])
-
-
-FOUND = "SELECT * FROM features"
-
 ORACLES["vector_in_order"] = _feature_query(
     "station_id, obs_ts, " + ", ".join(
         f"{r6(n) if n not in ('ft_hour_of_day', 'ft_is_weekend') else n} AS f{p + 1:02d}_{n}"
@@ -483,7 +477,6 @@ ORACLES["latency_percentiles"] = _OBS_WITH + f""" SELECT {_WK},
 
 _WIN_DOUBLES = {"latency_p50_ms", "latency_p95_ms", "latency_p99_ms", "feature_lookup_p95_ms", "model_exec_p95_ms"}
 def _window_fields() -> list[str]:
-    from tidemark.schemas import WINDOW_FIELDS
     return [c for c in WINDOW_FIELDS if c != "heartbeat_emitted_at"]
 
 
@@ -530,8 +523,4 @@ WITH z AS (
 SELECT o_orderkey, ts_text, {parse_zoned('ts_text')} AS utc_ts, {parse_zoned('ts_text')} IS NOT NULL AS valid FROM t"""
 
 
-def _late():
-    ORACLES["score_linear"] = _score_linear()
-
-
-_late()
+ORACLES["score_linear"] = _score_linear()

@@ -108,7 +108,7 @@ from tidemark.operators import scoring as sco  # noqa: E402
 from tidemark.operators import snapshot as snp  # noqa: E402
 from tidemark.operators import validate as val  # noqa: E402
 from tidemark.schemas import (  # noqa: E402
-    CONTRACT_VERSION, ENTITY_KEY, FEATURE_CONTRACT, TARGET, WINDOW_FIELDS,
+    CONTRACT_VERSION, ENTITY_KEY, FEATURE_CONTRACT, TARGET,
 )
 
 DEFAULT_CONTRACT = con.Contract(CONTRACT_VERSION, ENTITY_KEY, tuple(FEATURE_CONTRACT), TARGET)

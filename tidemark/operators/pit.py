@@ -138,19 +138,21 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
     # ---- pass 1: rolling aggregates at the break points of the right side
     if rolling:
         widths = sorted({r.width_us for r in rolling})
-        enters = (R.withColumn(_K, F.lit(ENTER))
-                  .withColumn(_REP, F.explode(F.array(F.lit(0), F.lit(1))))
-                  .withColumn(_D, F.col(_D) + F.col(_REP)))
-        exits = None
-        for w in widths:
-            x = R.select(key, (F.col(_T) + F.lit(w + 1)).alias(_T))
-            exits = x if exits is None else exits.unionByName(x)
-        exits = (exits.withColumn(_D, _floor_div(F.col(_T), bucket_us))
-                 .withColumn(_K, F.lit(EXIT)).withColumn(_REP, F.lit(0)))
-        P1 = enters.unionByName(exits, allowMissingColumns=True)
+        # Every right row yields, in one pass: itself in its own bucket and a
+        # copy in the next (frame members), and one exit point per width.
+        events = [F.struct(F.lit(ENTER).alias("k"), F.lit(0).alias("rep"), F.col(_T).alias("t")),
+                  F.struct(F.lit(ENTER).alias("k"), F.lit(1).alias("rep"), F.col(_T).alias("t"))]
+        events += [F.struct(F.lit(EXIT).alias("k"), F.lit(0).alias("rep"), (F.col(_T) + F.lit(w + 1)).alias("t"))
+                   for w in widths]
+        carried = list(dict.fromkeys(list(tiebreak) + payload + roll_cols))
+        enter = F.col("_pt_e.k") == ENTER
+        P1 = (R.select(key, *carried, F.explode(F.array(*events)).alias("_pt_e"))
+              .select(key, F.col("_pt_e.t").alias(_T), F.col("_pt_e.k").alias(_K),
+                      F.col("_pt_e.rep").alias(_REP),
+                      *[F.when(enter, F.col(c)).alias(c) for c in carried]))
+        P1 = P1.withColumn(_D, _floor_div(F.col(_T), bucket_us) + F.col(_REP))
         # Only the buckets pass 2 reads: a left bucket and the day before it.
-        needed = (Lc.select(key, _D)
-                  .unionByName(Lc.select(key, (F.col(_D) - 1).alias(_D))).distinct())
+        needed = Lc.select(key, F.explode(F.array(F.col(_D), F.col(_D) - 1)).alias(_D)).distinct()
         P1 = P1.join(needed, [key, _D], "left_semi")
         w1 = Window.partitionBy(key, _D).orderBy(_T)
         # One select, so the planner groups the window expressions into one

@@ -90,3 +90,29 @@ def test_window_validation(spark):
     assert not bad_r["valid"]
     assert set(bad_r["reasons"]) == {"endpoint_name_blank", "window_order", "request_count_negative",
                                      "stale_feature_count_negative"}
+
+
+def test_read_bundle_metadata_files(spark, tmp_dir):
+    import json
+    import os
+
+    from tidemark.sources.artifacts import read_bundle_metadata
+    full = {"model_version": "v3", "trained_at": "2025-01-01T00:00:00Z", "target": "t",
+            "input_dataset_name": "bikes", "input_dataset_version": "2025-05",
+            "started_at": "2025-01-01T01:00:00Z", "completed_at": "2025-01-01T02:00:00Z"}
+    minimal = {"model_version": "test-v1", "trained_at": "2025-01-01T00:00:00Z", "target": "t"}
+    for name, meta in [("mobility/v3", full), ("other/v1", minimal)]:
+        d = os.path.join(tmp_dir, "models", name)
+        os.makedirs(d)
+        with open(os.path.join(d, "model_metadata.json"), "w") as fh:
+            json.dump(meta, fh, indent=2)  # multi-line JSON, as written by the trainer
+    meta = read_bundle_metadata(spark, os.path.join(tmp_dir, "models"))
+    got = {r["model_name"]: r for r in lin.bundle_lineage(meta).collect()}
+    assert got["mobility"]["valid"] and got["mobility"]["model_version"] == "v3"
+    bundle = os.path.join(os.path.realpath(tmp_dir), "models", "mobility", "v3")
+    assert got["mobility"]["bundle_id"] == bundle
+    assert got["mobility"]["bundle_uri"] == "file://" + bundle
+    # the minimal metadata has no dataset lineage: no context, as in the reference
+    assert not got["other"]["valid"]
+    assert set(got["other"]["reasons"]) == {"input_dataset_name_blank", "input_dataset_version_blank",
+                                             "started_at_invalid", "completed_at_invalid"}

@@ -45,7 +45,9 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
     """
     meta = spread(meta)  # text parsing per row: worth spreading a narrow input
     raw = F.col(path_col)
-    path = F.when(F.startswith(raw, F.lit("file://")), F.substring(raw, 8, 1 << 30)).otherwise(raw)
+    path = (F.when(F.startswith(raw, F.lit("file://")), F.substring(raw, 8, 1 << 30))
+            .when(F.startswith(raw, F.lit("file:")), F.substring(raw, 6, 1 << 30))
+            .otherwise(raw))
     bundle_dir = _parent(path)  # the version folder holding the model file
     ctx = meta.select(
         F.lit(settings.service_name).alias("service_name"),

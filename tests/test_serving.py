@@ -37,3 +37,24 @@ def test_prediction_stream(spark, tmp_dir):
     res = spark.read.parquet(out)
     assert res.count() == i.requests.count()
     assert res.where(F.col("code") == "ok").where(F.col("prediction") != 7.0).count() == 0
+
+
+def test_bounded_history_keeps_results_and_prunes_the_scan(spark, tmp_dir):
+    from tidemark.sources.tables import read_station_metrics
+    from tidemark.streaming.predict_stream import bounded_history
+    i = Inputs(spark, MEDIUM)
+    stored = os.path.join(tmp_dir, "metrics")
+    i.metrics.write.parquet(stored)
+    metrics = read_station_metrics(spark, stored)
+    from tidemark.sources import standins
+    # a micro-batch holds recent requests: those of the last days
+    recent = standins.request_text(i.events.where(F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")))
+    model = sco.ConstantModel(1.0)
+    full = predict_requests(recent, metrics, model, DEFAULT_CONTRACT, "v1")
+    bounded = bounded_history(metrics, recent, 2)
+    assert bounded.count() < metrics.count()  # history really is cut
+    part = predict_requests(recent, bounded, model, DEFAULT_CONTRACT, "v1")
+    cols = ["request_id", "code", "prediction"]
+    assert sorted(map(tuple, full.select(cols).collect())) == sorted(map(tuple, part.select(cols).collect()))
+    plan = bounded._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(window_start" in plan  # the bound reaches the Parquet scan

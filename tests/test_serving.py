@@ -40,11 +40,11 @@ def test_prediction_stream(spark, tmp_dir):
 
 
 def test_bounded_history_keeps_results_and_prunes_the_scan(spark, tmp_dir):
-    from tidemark.sources.tables import read_station_metrics
+    from tidemark.sources.tables import read_station_metrics, write_station_metrics
     from tidemark.streaming.predict_stream import bounded_history
     i = Inputs(spark, MEDIUM)
     stored = os.path.join(tmp_dir, "metrics")
-    i.metrics.write.parquet(stored)
+    write_station_metrics(i.metrics, stored)
     metrics = read_station_metrics(spark, stored)
     from tidemark.sources import standins
     # a micro-batch holds recent requests: those of the last days
@@ -58,3 +58,4 @@ def test_bounded_history_keeps_results_and_prunes_the_scan(spark, tmp_dir):
     assert sorted(map(tuple, full.select(cols).collect())) == sorted(map(tuple, part.select(cols).collect()))
     plan = bounded._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(window_start" in plan  # the bound reaches the Parquet scan
+    assert "PartitionFilters: [isnotnull(date" in plan  # and skips whole date folders

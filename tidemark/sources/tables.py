@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from tidemark.schemas import METRICS_SCHEMA
 
 
@@ -30,6 +32,13 @@ def load_tables(spark: SparkSession, sf_dir: str, names: list[str]) -> dict[str,
     return {n: load_table(spark, sf_dir, n) for n in names}
 
 
+def write_station_metrics(metrics: DataFrame, path: str, mode: str = "append") -> None:
+    """Store 1-minute metrics partitioned by ``date`` (UTC day of
+    ``window_start``) so a time-bounded read skips whole folders."""
+    (metrics.withColumn("date", F.date_format("window_start", "yyyy-MM-dd"))
+     .write.mode(mode).partitionBy("date").parquet(path))
+
+
 def read_station_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Raw 1-minute metrics stored as Parquet, with the fixed schema.
 

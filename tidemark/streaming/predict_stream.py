@@ -28,7 +28,10 @@ def bounded_history(metrics: DataFrame, requests: DataFrame, history_days: int,
     if first is None:
         return metrics
     since = first - timedelta(days=history_days)
-    return metrics.where(F.col("window_start") >= F.lit(since).cast("timestamp_ntz"))
+    bounded = metrics.where(F.col("window_start") >= F.lit(since).cast("timestamp_ntz"))
+    if "date" in metrics.columns:  # partition column of write_station_metrics: skip folders
+        bounded = bounded.where(F.col("date") >= F.lit(since.strftime("%Y-%m-%d")))
+    return bounded
 
 
 def start_prediction_stream(requests: DataFrame, metrics: DataFrame, model, contract: Contract,

@@ -152,7 +152,8 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
                       *[F.when(enter, F.col(c)).alias(c) for c in carried]))
         P1 = P1.withColumn(_D, _floor_div(F.col(_T), bucket_us) + F.col(_REP))
         # Only the buckets pass 2 reads: a left bucket and the day before it.
-        needed = Lc.select(key, F.explode(F.array(F.col(_D), F.col(_D) - 1)).alias(_D)).distinct()
+        # (a semi join ignores duplicate keys, so no distinct is needed)
+        needed = Lc.select(key, F.explode(F.array(F.col(_D), F.col(_D) - 1)).alias(_D))
         P1 = P1.join(needed, [key, _D], "left_semi")
         w1 = Window.partitionBy(key, _D).orderBy(_T)
         # One select, so the planner groups the window expressions into one

@@ -45,3 +45,10 @@ def test_score_batch_rows(spark):
     ok = E.queries()["obs_outcome"](spark, SMALL).where("outcome = 'ok'").count()
     rows = df.collect()
     assert len(rows) == ok and all(r["prediction"] == 42.0 for r in rows)
+
+
+def test_scale_conf_sizes_partitions():
+    from tidemark.session import scale_conf
+    conf = scale_conf(100 * (1 << 40), total_cores=8000)  # 100 TiB on 1000 x 8 cores
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600  # 100 TiB / 256 MiB
+    assert scale_conf(1 << 20, total_cores=8)["spark.sql.shuffle.partitions"] == "24"

@@ -69,3 +69,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a run over ``input_bytes`` on ``total_cores`` cores.
+
+    Shuffle partitions are sized so a post-shuffle partition holds about
+    ``target_partition_bytes`` (AQE coalesces small ones and splits skewed
+    join partitions); scans read ``target_partition_bytes`` splits. The
+    window operators buffer one window partition group at a time and spill
+    beyond ``spark.sql.windowExec.buffer.spill.threshold`` rows.
+    """
+    parts = max(total_cores * 3, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.windowExec.buffer.spill.threshold": str(1 << 20),
+    }

@@ -108,3 +108,17 @@ def test_stream_drops_rows_later_than_the_watermark(spark, tmp_dir):
     counts = {r["window_start"]: r["n"] for r in got}
     assert counts[datetime(2024, 1, 1, 0, 0)] == 1      # the late 00:00:40 row was not added
     assert counts[datetime(2024, 1, 1, 0, 10)] == 2
+
+
+def test_partitions_follow_the_utc_day(spark):
+    """A zoned time is normalised to UTC before its partition is derived."""
+    from tidemark.functions.scalars import parse_zoned_utc
+    from tidemark.sources.sinks import event_partitions, metrics_partitions
+    df = spark.createDataFrame([("2026-04-07T23:30:00-05:00",), ("2026-04-07T14:35:22Z",),
+                                ("2026-04-08T01:05:00+02:00",)], "t string")
+    utc = df.select(parse_zoned_utc("t").alias("event_time"))
+    got = [r["date"] for r in event_partitions(utc).collect()]
+    assert got == ["2026-04-08", "2026-04-07", "2026-04-07"]
+    m = metrics_partitions(utc.withColumnRenamed("event_time", "window_start")).collect()
+    assert [(r["date"], r["hour"], r["minute"]) for r in m] == [
+        ("2026-04-08", "04", "30"), ("2026-04-07", "14", "35"), ("2026-04-07", "23", "05")]

@@ -100,3 +100,14 @@ def test_hot_group_spans_slices(spark):
     got = {r["g"]: r for r in nearest_rank(df, ["g"], "v", {"p95": 95}, num_slices=16).collect()}
     assert got[0]["p95"] == reference_percentile(vals, 95)
     assert got[1]["p95"] == 2.0
+
+
+def test_one_pass_windows_count_rows_without_latency(spark):
+    rows = [(T0, "/predict", "d", "success", None, 10.0, 0.5),
+            (T0, "/predict", "d", "failure", "model_load", None, None),
+            (T0, "/predict", "d", "success", None, 30.0, 0.5)]
+    r = metrics_windows(log(spark, rows)).collect()[0]
+    assert (r["request_count"], r["success_count"], r["model_load_error_count"]) == (3, 2, 1)
+    assert (r["latency_p50_ms"], r["latency_p99_ms"]) == (10.0, 30.0)
+    only_null = metrics_windows(log(spark, [(T0, "/predict", "d", "rejected", None, None, None)])).collect()[0]
+    assert only_null["request_count"] == 1 and only_null["latency_p50_ms"] == 0.0

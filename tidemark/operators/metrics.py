@@ -32,29 +32,51 @@ def _is(outcome: str) -> Column:
     return F.col("outcome") == outcome
 
 
+def indicators() -> dict[str, Column]:
+    """Every counter of a window as a per-row 0/1 indicator (defined once;
+    summed by the batch and the streaming aggregations)."""
+    et, p = F.col("error_type"), F.col("prediction")
+    ok, failed = _is("success"), _is("failure")
+    known = F.coalesce(et.isin("feature_lookup", "model_load", "inference_runtime"), F.lit(False))
+    flags = {
+        "request_count": F.lit(True),
+        "success_count": ok,
+        "failure_count": failed,
+        "rejected_count": _is("rejected"),
+        "validation_error_count": _is("rejected"),
+        "feature_lookup_error_count": failed & (et == "feature_lookup"),
+        "model_load_error_count": failed & (et == "model_load"),
+        "inference_runtime_error_count": failed & (et == "inference_runtime"),
+        "internal_error_count": failed & ~known,
+        "prediction_count": ok,
+        "prediction_null_count": ok & (p.isNull() | F.isnan(p)),
+        "prediction_non_finite_count": ok & (F.isnan(p) | (F.abs(p) == F.lit(float("inf")))),
+    }
+    return {n: F.coalesce(c, F.lit(False)).cast("long") for n, c in flags.items()}
+
+
+COUNT_FIELDS = ["request_count", "success_count", "failure_count", "rejected_count"]
+ERROR_FIELDS = ["validation_error_count", "feature_lookup_error_count", "model_load_error_count",
+                "inference_runtime_error_count", "internal_error_count"]
+PREDICTION_FIELDS = ["prediction_count", "prediction_null_count", "prediction_non_finite_count"]
+COUNTERS = COUNT_FIELDS + ERROR_FIELDS + PREDICTION_FIELDS
+
+
+def _sums(names: list[str]) -> list[Column]:
+    ind = indicators()
+    return [F.sum(ind[n]).alias(n) for n in names]
+
+
 def count_columns() -> list[Column]:
-    return [F.count(F.lit(1)).alias("request_count"),
-            F.count_if(_is("success")).alias("success_count"),
-            F.count_if(_is("failure")).alias("failure_count"),
-            F.count_if(_is("rejected")).alias("rejected_count")]
+    return _sums(COUNT_FIELDS)
 
 
 def error_columns() -> list[Column]:
-    et = F.col("error_type")
-    known = F.coalesce(et.isin("feature_lookup", "model_load", "inference_runtime"), F.lit(False))
-    return [F.count_if(_is("rejected")).alias("validation_error_count"),
-            F.count_if(_is("failure") & (et == "feature_lookup")).alias("feature_lookup_error_count"),
-            F.count_if(_is("failure") & (et == "model_load")).alias("model_load_error_count"),
-            F.count_if(_is("failure") & (et == "inference_runtime")).alias("inference_runtime_error_count"),
-            F.count_if(_is("failure") & ~known).alias("internal_error_count")]
+    return _sums(ERROR_FIELDS)
 
 
 def prediction_columns() -> list[Column]:
-    p = F.col("prediction")
-    ok = _is("success")
-    return [F.count_if(ok).alias("prediction_count"),
-            F.count_if(ok & (p.isNull() | F.isnan(p))).alias("prediction_null_count"),
-            F.count_if(ok & (F.isnan(p) | (F.abs(p) == F.lit(float("inf"))))).alias("prediction_non_finite_count")]
+    return _sums(PREDICTION_FIELDS)
 
 
 def window_aggregates(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
@@ -63,15 +85,24 @@ def window_aggregates(log: DataFrame, time_col: str = "completed_at") -> DataFra
             .agg(*count_columns(), *error_columns(), *prediction_columns()))
 
 
+def _zero_if_empty(names) -> list[Column]:
+    return [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names]
+
+
 def latency_percentiles(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
     """Exact nearest-rank p50/p95/p99 over all outcomes; 0.0 for an empty window."""
     p = nearest_rank(with_window(log, time_col), WINDOW_KEYS, "latency_ms", PERCENTILES)
-    return p.select(*WINDOW_KEYS, *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in PERCENTILES])
+    return p.select(*WINDOW_KEYS, *_zero_if_empty(PERCENTILES))
 
 
 def metrics_windows(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
-    """Counters and latency percentiles of every non-empty window."""
-    return window_aggregates(log, time_col).join(latency_percentiles(log, time_col), WINDOW_KEYS)
+    """Counters and latency percentiles of every non-empty window, in one
+    pass over the log: the counters are summed alongside the value counts
+    of the percentile operator instead of in a second aggregation + join."""
+    ind = indicators()
+    res = nearest_rank(with_window(log, time_col), WINDOW_KEYS, "latency_ms", PERCENTILES,
+                       sums={n: ind[n] for n in COUNTERS})
+    return res.select(*WINDOW_KEYS, *COUNTERS, *_zero_if_empty(PERCENTILES))
 
 
 def window_records(windows: DataFrame, lineage: DataFrame,

@@ -12,17 +12,26 @@ running counts plus the totals of the slices before them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def nearest_rank(df: DataFrame, group_cols: list[str], value_col: str,
-                 percentiles: dict[str, float], num_slices: int | None = None) -> DataFrame:
-    """One row per group with a column per percentile (NULL values ignored)."""
+                 percentiles: dict[str, float], num_slices: int | None = None,
+                 sums: dict[str, Column] | None = None) -> DataFrame:
+    """One row per group with a column per percentile (NULL values ignored).
+
+    ``sums`` are per-row additive expressions summed per group in the same
+    pass (they ride along with the value counts), so a caller needing both
+    counters and percentiles reads its input once. Rows with a NULL value
+    still count in ``sums``.
+    """
+    sums = sums or {}
     g = [F.col(c) for c in group_cols]
     v = F.col(value_col)
-    vc = (df.where(v.isNotNull())
-          .groupBy(*g, v).agg(F.count(F.lit(1)).alias("_pr_c")))
+    src = df if sums else df.where(v.isNotNull())
+    vc = src.groupBy(*g, v).agg(F.count(v).alias("_pr_c"),
+                                *[F.sum(e).alias(n) for n, e in sums.items()])
     vc = (vc.repartitionByRange(num_slices, *g, v) if num_slices
           else vc.repartitionByRange(*g, v))
     vc = vc.withColumn("_pr_slice", F.spark_partition_id())
@@ -46,6 +55,8 @@ def nearest_rank(df: DataFrame, group_cols: list[str], value_col: str,
         hit = (cum >= k) & (lo < k)
         hits.append(hit)
         outs.append(F.max(F.when(hit, v)).alias(name))
+    if sums:
+        return ranked.groupBy(*g).agg(*[F.sum(n).alias(n) for n in sums], *outs)
     any_hit = hits[0]
     for h in hits[1:]:
         any_hit = any_hit | h

@@ -19,6 +19,8 @@ def spread(df: DataFrame) -> DataFrame:
     large input (many files or row groups) this is a no-op. Filters and
     column pruning still reach the scan below the repartition.
     """
+    if df.isStreaming:  # micro-batches are planned per trigger
+        return df
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 

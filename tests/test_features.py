@@ -158,3 +158,11 @@ def test_as_of_on_window_end_is_stricter(spark):
     end = reconstruct(o, m, as_of_column="window_end").collect()[0]
     assert start["snapshot_source_ts"] == OBS_TS
     assert end["snapshot_source_ts"] == OBS_TS - timedelta(minutes=1)
+
+
+def test_left_payload_of_any_type_is_carried(spark):
+    m = metrics_df(spark, metrics_rows(stations=(("s", 10.0),), minutes=5))
+    o = spark.createDataFrame([("s", OBS_TS, {"a": 1}, [1, 2])],
+                              "station_id string, obs_ts timestamp_ntz, tags map<string,int>, ids array<int>")
+    r = reconstruct(o, m).collect()[0]
+    assert r["tags"] == {"a": 1} and r["ids"] == [1, 2] and r["outcome"] == "ok"

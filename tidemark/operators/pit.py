@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.scalars import micros
 from tidemark.schemas import DAY_US
@@ -117,7 +118,8 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
     L = (left.where(valid_left)
          .withColumn(_T, lt)
          .withColumn(_D, _floor_div(F.col(_T), bucket_us))
-         .withColumn("_pt_h", F.xxhash64(*[F.col(c) for c in left_cols])))
+         .withColumn("_pt_h", F.xxhash64(*[F.col(f.name) for f in left.schema.fields
+                                            if not isinstance(f.dataType, T.MapType)])))
 
     # Left rows per bucket -> number of salted slices for that bucket.
     Lc = (L.groupBy(key, _D).agg(F.count(F.lit(1)).alias("_pt_n"))

@@ -12,9 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import iso_text, parse_zoned_utc
+from tidemark.operators import contract as con
 from tidemark.operators import features as feat
+from tidemark.operators import lineage as lin
+from tidemark.operators import metrics as met
+from tidemark.operators import outcomes as outc
+from tidemark.operators import scoring as sco
+from tidemark.operators import snapshot as snp
+from tidemark.operators import validate as val
 from tidemark.plans.common import Inputs, round_doubles
-from tidemark.schemas import FEATURE_ORDER
+from tidemark.schemas import CONTRACT_VERSION, ENTITY_KEY, FEATURE_CONTRACT, FEATURE_ORDER, TARGET
+from tidemark.sources.sinks import event_partitions, metrics_partitions
+from tidemark.sources.standins import zoned_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -99,17 +109,6 @@ def obs_outcome(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- contracts
-from tidemark.functions.scalars import iso_text  # noqa: E402
-from tidemark.operators import contract as con  # noqa: E402
-from tidemark.operators import lineage as lin  # noqa: E402
-from tidemark.operators import metrics as met  # noqa: E402
-from tidemark.operators import outcomes as outc  # noqa: E402
-from tidemark.operators import scoring as sco  # noqa: E402
-from tidemark.operators import snapshot as snp  # noqa: E402
-from tidemark.operators import validate as val  # noqa: E402
-from tidemark.schemas import (  # noqa: E402
-    CONTRACT_VERSION, ENTITY_KEY, FEATURE_CONTRACT, TARGET,
-)
 
 DEFAULT_CONTRACT = con.Contract(CONTRACT_VERSION, ENTITY_KEY, tuple(FEATURE_CONTRACT), TARGET)
 
@@ -271,7 +270,6 @@ def metrics_window_lineage(spark, sf_dir):
 
 @register("sink_metrics_layout")
 def sink_metrics_layout(spark, sf_dir):
-    from tidemark.sources.sinks import metrics_partitions
     r = metrics_partitions(window_records(Inputs(spark, sf_dir)))
     return r.select("window_start", "deployment_id", "date", "hour", "minute")
 
@@ -306,7 +304,6 @@ def validate_events(spark, sf_dir):
 
 @register("sink_events_layout")
 def sink_events_layout(spark, sf_dir):
-    from tidemark.sources.sinks import event_partitions
     i = Inputs(spark, sf_dir)
     ev = event_partitions(lin.deployment_events(i.activations, lin.bundle_lineage(i.bundle_metadata)))
     return ev.select("deployment_id", "event_time", "date")
@@ -314,8 +311,6 @@ def sink_events_layout(spark, sf_dir):
 
 @register("normalize_utc")
 def normalize_utc(spark, sf_dir):
-    from tidemark.functions.scalars import parse_zoned_utc
-    from tidemark.sources.standins import zoned_text
     z = zoned_text(Inputs(spark, sf_dir).orders)
     utc = parse_zoned_utc("ts_text")
     return z.select("o_orderkey", "ts_text", utc.alias("utc_ts"), utc.isNotNull().alias("valid"))

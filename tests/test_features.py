@@ -97,8 +97,13 @@ def _brute(left, right, asof, rolling):
     return out
 
 
-@pytest.mark.parametrize("seed,rows_per_slice", [(1, 1_000_000), (2, 3), (3, 1)])
-def test_point_in_time_matches_brute_force(spark, seed, rows_per_slice):
+@pytest.mark.parametrize("seed,rows_per_slice,max_bc", [
+    (1, 1_000_000, 1_000_000),  # no hot bucket: no slice table
+    (2, 3, 1_000_000),          # hot buckets, broadcast slice table
+    (3, 1, 1_000_000),          # every bucket with two rows is hot
+    (4, 2, 0),                  # hot buckets, shuffle-joined slice table
+])
+def test_point_in_time_matches_brute_force(spark, seed, rows_per_slice, max_bc):
     rnd = random.Random(seed)
     epoch = datetime(1970, 1, 1)
     t0 = int((datetime(2024, 1, 1) - epoch).total_seconds() * 1e6)
@@ -128,7 +133,8 @@ def test_point_in_time_matches_brute_force(spark, seed, rows_per_slice):
                Rolling("avg24", "avg", "v", 24 * HOUR_US), Rolling("sum24", "sum", "v", 24 * HOUR_US),
                Rolling("cnt24", "count", "v", 24 * HOUR_US)]
     got = point_in_time(L, R, key="key", left_time="t", right_time="rt", asof=asof, rolling=rolling,
-                        tiebreak=("tb",), rows_per_slice=rows_per_slice).collect()
+                        tiebreak=("tb",), rows_per_slice=rows_per_slice,
+                        max_broadcast_buckets=max_bc).collect()
     want = _brute(left, right, asof, rolling)
     assert len(got) == len(left)
     for row in got:

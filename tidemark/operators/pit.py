@@ -94,11 +94,18 @@ def _day_split(r: Rolling, key: str) -> Column:
 def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str,
                   right_time: str, asof: list[AsOf] = (), rolling: list[Rolling] = (),
                   tiebreak: tuple[str, ...] = (), bucket_us: int = DAY_US,
-                  rows_per_slice: int = 1_000_000) -> DataFrame:
+                  rows_per_slice: int = 1_000_000,
+                  max_broadcast_buckets: int = 1_000_000) -> DataFrame:
     """Left rows with one struct column per ``AsOf`` and one column per ``Rolling``.
 
     Rows of ``left`` with a NULL key or time get NULL results; right rows
     with a NULL key or time never match (as in a join).
+
+    Only *hot* buckets (more than ``rows_per_slice`` left rows) are sliced;
+    there are at most ``|left| / rows_per_slice`` of them. They are counted
+    (one bounded job): none -> no slice table at all; up to
+    ``max_broadcast_buckets`` -> the table is broadcast; beyond -> it is
+    joined with a shuffle.
     """
     asof, rolling = list(asof), list(rolling)
     longest = max([a.lag_us for a in asof] + [r.width_us for r in rolling] + [0])
@@ -125,7 +132,22 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
     Lc = (L.groupBy(key, _D).agg(F.count(F.lit(1)).alias("_pt_n"))
           .select(key, _D, F.greatest(F.lit(1), F.ceil(F.col("_pt_n") / F.lit(rows_per_slice)))
                   .cast("int").alias(_S)))
-    L = (L.join(Lc, [key, _D])
+    hot = Lc.where(F.col(_S) > 1)
+    n_hot = hot.limit(max_broadcast_buckets + 1).count()
+    if n_hot == 0:
+        slices = None                      # every bucket is one slice: nothing to join
+    elif n_hot <= max_broadcast_buckets:
+        slices = F.broadcast(hot)          # size checked just above
+    else:
+        slices = hot                       # too many to broadcast: shuffle join
+
+    def with_slices(df: DataFrame) -> DataFrame:
+        """Attach the slice count of each row's bucket (1 unless hot)."""
+        if slices is None:
+            return df.withColumn(_S, F.lit(1))
+        return df.join(slices, [key, _D], "left").withColumn(_S, F.coalesce(F.col(_S), F.lit(1)))
+
+    L = (with_slices(L)
          .withColumn(_SALT, F.pmod(F.col("_pt_h"), F.col(_S)).cast("int"))
          .drop("_pt_h", _S)
          .withColumn(_K, F.lit(LEFT)))
@@ -181,10 +203,9 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
 
     # ---- pass 2: replicate break points to their own and the next bucket,
     # into every slice of that bucket, and look up as-of rows.
-    RT2 = (RT.withColumn(_D, F.explode(F.array(_floor_div(F.col(_T), bucket_us),
-                                                _floor_div(F.col(_T), bucket_us) + 1)))
-           .join(Lc, [key, _D])
-           .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.col(_S) - 1)))
+    RT2 = with_slices(RT.withColumn(_D, F.explode(F.array(_floor_div(F.col(_T), bucket_us),
+                                                           _floor_div(F.col(_T), bucket_us) + 1))))
+    RT2 = (RT2.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.col(_S) - 1)))
            .drop(_S))
     RT2 = RT2.withColumn(_AS, F.when(F.col(_K) == ENTER, as_struct))
     if rolling:

@@ -111,3 +111,15 @@ def test_one_pass_windows_count_rows_without_latency(spark):
     assert (r["latency_p50_ms"], r["latency_p99_ms"]) == (10.0, 30.0)
     only_null = metrics_windows(log(spark, [(T0, "/predict", "d", "rejected", None, None, None)])).collect()[0]
     assert only_null["request_count"] == 1 and only_null["latency_p50_ms"] == 0.0
+
+
+def test_one_pass_windows_keep_every_window_at_sf01(spark):
+    """Regression: the percentile slices are read by two branches; at sf0.1
+    the range shuffle samples only part of the rows, and without fixing the
+    slices once the two branches disagreed and windows were lost."""
+    from tidemark.sources import standins
+    from tidemark.sources.tables import load_table
+    log_df = standins.request_log(load_table(spark, "/root/testdata/sf0.1", "events"))
+    rows = metrics_windows(log_df).collect()
+    assert len(rows) == window_aggregates(log_df).count()
+    assert all(r["latency_p50_ms"] is not None for r in rows)

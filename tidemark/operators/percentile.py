@@ -6,8 +6,9 @@ the value at 1-based rank ``k = clamp(ceil(p / 100 * n), 1, n)``.
 A group's values are never collected in one buffer or one task: equal
 values are first counted (map-side combine), the counted values are then
 range-partitioned on ``(group, value)`` -- so a hot group is spread over
-several tasks by value range -- and ranks are assembled from per-slice
-running counts plus the totals of the slices before them.
+several tasks by value range -- and checkpointed (the slice ids must not
+change between the two places that read them); ranks are assembled from
+per-slice running counts plus the totals of the slices before them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpoint_dir
+
 
 def nearest_rank(df: DataFrame, group_cols: list[str], value_col: str,
                  percentiles: dict[str, float], num_slices: int | None = None,
@@ -35,6 +38,12 @@ def nearest_rank(df: DataFrame, group_cols: list[str], value_col: str,
     vc = (vc.repartitionByRange(num_slices, *g, v) if num_slices
           else vc.repartitionByRange(*g, v))
     vc = vc.withColumn("_pr_slice", F.spark_partition_id())
+    # The slice id comes from sampled range bounds, and it is read twice
+    # below (per-slice totals, and the rows they are joined back to). Two
+    # evaluations of the range shuffle could sample different bounds, so the
+    # slices are fixed once in the shared checkpoint folder.
+    checkpoint_dir(df.sparkSession)
+    vc = vc.checkpoint(eager=True)
     local = Window.partitionBy(*g, "_pr_slice").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     vc = vc.withColumn("_pr_cum", F.sum("_pr_c").over(local))
 

@@ -4,7 +4,7 @@ Runs each plan over the whole tables of ``$BENCH_SF_DIR`` (default
 /root/testdata/sf0.1) on ``local[$BENCH_CPUS]`` and materialises it with
 the no-op sink (all work done, nothing collected). Metrics use 64 stations
 (observation points 65) so the window plans are not limited to 8 busy tasks.
-Every plan runs once to warm up (JIT, Python workers), then the best of two
+Every plan runs once to warm up (JIT, Python workers), then the best of three
 timed runs is reported. Prints one JSON line.
 """
 
@@ -73,7 +73,7 @@ def main():
     for build in p.values():  # warm-up: JIT, Python workers, file listing
         run(build())
     times = {}
-    for _ in range(2):  # best of two warm runs (the VM is noisy)
+    for _ in range(3):  # best of three warm runs (the VM is noisy)
         for name, build in p.items():
             t0 = time.perf_counter()
             run(build())

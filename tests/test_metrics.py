@@ -123,3 +123,12 @@ def test_one_pass_windows_keep_every_window_at_sf01(spark):
     rows = metrics_windows(log_df).collect()
     assert len(rows) == window_aggregates(log_df).count()
     assert all(r["latency_p50_ms"] is not None for r in rows)
+
+
+def test_requests_rejected_before_the_handler_are_in_no_window(spark):
+    rows = [(T0, "/predict", "d", "success", None, 10.0, 0.5),
+            (T0, "/predict", "d", "invalid", None, 99.0, None),
+            (T0 + timedelta(minutes=3), "/predict", "d", "invalid", None, 1.0, None)]
+    got = metrics_windows(log(spark, rows)).collect()
+    assert len(got) == 1 and got[0]["request_count"] == 1 and got[0]["latency_p99_ms"] == 10.0
+    assert window_aggregates(log(spark, rows)).collect()[0]["request_count"] == 1

@@ -22,10 +22,19 @@ WINDOW_KEYS = ["window_start", "window_end", "endpoint_name", "deployment_id"]
 WINDOW_SECONDS = 60
 
 
+HANDLED = ["success", "failure", "rejected"]
+
+
+def handled(log: DataFrame) -> DataFrame:
+    """Requests the handler saw. A request rejected before it (a blank
+    entity id fails request validation; outcome 'invalid') is in no window."""
+    return log.where(F.col("outcome").isin(*HANDLED))
+
+
 def with_window(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
-    """Attach the minute-aligned window of each request (kept as columns)."""
+    """Attach the minute-aligned window of each handled request (kept as columns)."""
     w = F.window(time_col, f"{WINDOW_SECONDS} seconds")
-    return log.withColumn("window_start", w.start).withColumn("window_end", w.end)
+    return handled(log).withColumn("window_start", w.start).withColumn("window_end", w.end)
 
 
 def _is(outcome: str) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import (
-    WINDOW_KEYS, WINDOW_SECONDS, count_columns, error_columns, prediction_columns, window_records,
+    WINDOW_KEYS, handled, WINDOW_SECONDS, count_columns, error_columns, prediction_columns, window_records,
 )
 from tidemark.schemas import PERCENTILES
 from tidemark.session import checkpoint_dir
@@ -36,7 +36,7 @@ def stream_window_aggregates(log: DataFrame, watermark: str = "1 minute",
                              time_col: str = "completed_at") -> DataFrame:
     """Window counters and percentiles of a (streaming or batch) request log."""
     et = F.col(time_col).cast("timestamp")  # watermarks need TIMESTAMP; session zone is UTC
-    s = log.withColumn("_event_time", et).withWatermark("_event_time", watermark)
+    s = handled(log).withColumn("_event_time", et).withWatermark("_event_time", watermark)
     w = F.window("_event_time", f"{WINDOW_SECONDS} seconds")
     agg = s.groupBy(w.alias("_w"), "endpoint_name", "deployment_id").agg(
         *count_columns(), *error_columns(), *prediction_columns(),

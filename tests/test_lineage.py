@@ -116,3 +116,12 @@ def test_read_bundle_metadata_files(spark, tmp_dir):
     assert not got["other"]["valid"]
     assert set(got["other"]["reasons"]) == {"input_dataset_name_blank", "input_dataset_version_blank",
                                              "started_at_invalid", "completed_at_invalid"}
+
+
+def test_bundle_uri_is_percent_encoded_like_as_uri(spark):
+    from pathlib import PurePosixPath
+    path = "/srv/my models/mobil*ty~x/v 1+2/model.pkl"
+    row = GOOD[1:]
+    r = lin.bundle_lineage(spark.createDataFrame([(path,) + row], META)).collect()[0]
+    assert r["bundle_uri"] == PurePosixPath(path).parent.as_uri()
+    assert r["model_name"] == "mobil*ty~x" and r["bundle_id"] == "/srv/my models/mobil*ty~x/v 1+2"

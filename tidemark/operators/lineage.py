@@ -35,6 +35,15 @@ def _parent(path):
                   F.substring(path, F.lit(1), F.length(path) - F.length(last) - 1))
 
 
+def _uri_path(path):
+    """Percent-encode a path like Python's ``quote(path, safe="/")`` (what
+    ``Path.as_uri()`` does): form-encode, then undo its differences."""
+    enc = F.url_encode(path)
+    for old, new in (("%2F", "/"), ("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        enc = F.replace(enc, F.lit(old), F.lit(new))
+    return enc
+
+
 def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(),
                    path_col: str = "model_path") -> DataFrame:
     """One lineage context per metadata row, with ``valid`` and ``reasons``.
@@ -58,7 +67,7 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
         F.substring_index(F.substring_index(bundle_dir, "/", -2), "/", 1).alias("model_name"),
         F.col("model_version"),
         bundle_dir.alias("bundle_id"),
-        F.concat(F.lit("file://"), bundle_dir).alias("bundle_uri"),
+        F.concat(F.lit("file://"), _uri_path(bundle_dir)).alias("bundle_uri"),
         parse_zoned_utc(F.col("trained_at"), strip=False).alias("bundle_created_at"),
         F.when(non_blank("input_dataset_name"), py_strip("input_dataset_name")).alias("input_dataset_name"),
         F.when(non_blank("input_dataset_version"), py_strip("input_dataset_version")).alias("input_dataset_version"),

@@ -35,13 +35,15 @@ def test_rejections(spark):
             GOOD[:1] + ("naive",) + GOOD[2:3] + ("2025-01-01T00:00:00",) + GOOD[4:],
             GOOD[:1] + ("missing-version",) + (None,) + GOOD[3:],
             GOOD[:1] + ("bad-order",) + GOOD[2:6] + ("2025-01-01T03:00:00Z", "2025-01-01T02:00:00Z"),
-            GOOD[:1] + ("garbage",) + GOOD[2:6] + ("yesterday", GOOD[7])]
+            GOOD[:1] + ("garbage",) + GOOD[2:6] + ("yesterday", GOOD[7]),
+            GOOD[:1] + ("padded",) + GOOD[2:6] + (" 2025-01-01T01:00:00Z", GOOD[7])]
     got = contexts(spark, rows)
     assert got["blank-name"]["reasons"] == ["input_dataset_name_blank"]
     assert got["naive"]["reasons"] == ["bundle_created_at_invalid"]
     assert got["missing-version"]["reasons"] == ["model_version_missing"]
     assert got["bad-order"]["reasons"] == ["chronology"]
     assert got["garbage"]["reasons"] == ["started_at_invalid"]
+    assert got["padded"]["reasons"] == ["started_at_invalid"]
     assert not any(r["valid"] for r in got.values())
 
 

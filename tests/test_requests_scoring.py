@@ -18,7 +18,8 @@ def test_normalize_requests(spark):
                                  (3, "station_1", "2025-06-01T12:00:00Z"),
                                  (4, "station_1", "soon"),
                                  (5, "station_1", ""),
-                                 (6, "\tstation_2\n", None)],
+                                 (6, "\tstation_2\n", None),
+                                 (7, "station_1", " 2025-06-01T12:00:00")],
                                 "request_id long, entity_id string, timestamp string")
     now = F.lit(datetime(2030, 1, 1)).cast("timestamp_ntz")
     got = {r["request_id"]: r for r in outc.normalize_requests(req, now=now).collect()}
@@ -28,6 +29,7 @@ def test_normalize_requests(spark):
     assert got[4]["status"] == "internal"
     assert got[5]["status"] == "ok" and got[5]["obs_ts"] == datetime(2030, 1, 1)
     assert got[6]["station_id"] == "station_2" and got[6]["obs_ts"] == datetime(2030, 1, 1)
+    assert got[7]["status"] == "internal"  # fromisoformat takes no surrounding whitespace
 
 
 def test_outcome_mapping(spark):

@@ -62,7 +62,8 @@ def parse_zoned_utc(col: Column | str, strip: bool = True) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     c = py_strip(c) if strip else c
     parsed = F.try_to_timestamp(c)
-    return F.when(has_zone(c), parsed.cast("timestamp_ntz"))
+    ok = has_zone(c) if strip else has_zone(c) & (c == py_strip(c))  # no whitespace around
+    return F.when(ok, parsed.cast("timestamp_ntz"))
 
 
 def iso_text(col: Column | str, zone_suffix: str = "", sep: str = "T") -> Column:

@@ -27,7 +27,8 @@ def normalize_requests(req: DataFrame, id_col: str = "entity_id", ts_col: str =
     text = F.col(ts_col)
     absent = text.isNull() | (text == "")
     parsed = text.try_cast("timestamp_ntz")
-    bad_time = has_zone(text) | parsed.isNull()
+    # fromisoformat takes no surrounding whitespace (Spark's cast would trim it)
+    bad_time = has_zone(text) | parsed.isNull() | (text != py_strip(text))
     obs_ts = F.when(absent, now if now is not None else utc_now_ntz()).when(~bad_time, parsed)
     status = (F.when(F.length(ent) == 0, F.lit(OUTCOME_INVALID_REQUEST))
               .when(~absent & bad_time, F.lit(OUTCOME_INTERNAL))

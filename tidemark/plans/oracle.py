@@ -275,10 +275,12 @@ req_raw AS (
 ),
 req AS (
   SELECT request_id, {_strip('entity_id')} AS station_id,
-    CASE WHEN regexp_matches(ts_text, '{ZONE_RE}') THEN NULL ELSE TRY_CAST(ts_text AS TIMESTAMP) END AS obs_ts,
+    CASE WHEN regexp_matches(ts_text, '{ZONE_RE}') OR ts_text <> {_strip('ts_text')} THEN NULL
+         ELSE TRY_CAST(ts_text AS TIMESTAMP) END AS obs_ts,
     CASE WHEN length({_strip('entity_id')}) = 0 THEN 'invalid_request'
          WHEN ts_text IS NOT NULL AND ts_text <> ''
-              AND (regexp_matches(ts_text, '{ZONE_RE}') OR TRY_CAST(ts_text AS TIMESTAMP) IS NULL) THEN 'internal'
+              AND (regexp_matches(ts_text, '{ZONE_RE}') OR TRY_CAST(ts_text AS TIMESTAMP) IS NULL
+                   OR ts_text <> {_strip('ts_text')}) THEN 'internal'
          ELSE 'ok' END AS status
   FROM req_raw
 )"""
@@ -379,7 +381,8 @@ def parse_zoned(e: str, strip: bool = True) -> str:
            f"(CAST(regexp_extract({t}, '([+-])(\\d{{2}}):?(\\d{{2}})?$', 2) AS INTEGER) * 60 + "
            f"COALESCE(TRY_CAST(NULLIF(regexp_extract({t}, '([+-])(\\d{{2}}):?(\\d{{2}})?$', 3), '') AS INTEGER), 0)) END")
     naive = f"TRY_CAST(regexp_replace({t}, '([zZ]|[+-]\\d{{2}}(:?\\d{{2}})?)$', '') AS TIMESTAMP)"
-    return (f"(CASE WHEN regexp_matches({t}, '{ZONE_RE}') THEN {naive} - ({off}) * INTERVAL 1 MINUTE END)")
+    trimmed = "" if strip else f" AND {e} = {_strip(e)}"  # no whitespace around unstripped text
+    return (f"(CASE WHEN regexp_matches({t}, '{ZONE_RE}'){trimmed} THEN {naive} - ({off}) * INTERVAL 1 MINUTE END)")
 
 
 def _nb(e: str) -> str:

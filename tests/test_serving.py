@@ -59,3 +59,15 @@ def test_bounded_history_keeps_results_and_prunes_the_scan(spark, tmp_dir):
     plan = bounded._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(window_start" in plan  # the bound reaches the Parquet scan
     assert "PartitionFilters: [isnotnull(date" in plan  # and skips whole date folders
+
+
+def test_no_model_fails_every_valid_request_first(spark):
+    req = spark.createDataFrame([(1, "station_1", "2025-06-01T12:00:00"), (2, "  ", "2025-06-01T12:00:00"),
+                                 (3, "station_1", "not-a-time")],
+                                "request_id long, entity_id string, timestamp string")
+    i = Inputs(spark, MEDIUM)
+    got = {r["request_id"]: r for r in predict_requests(req, i.metrics, None, DEFAULT_CONTRACT, "v1").collect()}
+    assert (got[1]["code"], got[1]["outcome"], got[1]["error_type"], got[1]["http_status"]) == \
+        ("model_not_ready", "failure", "model_load", 503)
+    assert got[2]["code"] == "invalid_request"
+    assert got[3]["code"] == "model_not_ready"  # the model check comes before time parsing

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import has_zone, py_strip
 from tidemark.schemas import (
     OUTCOME_DOMAIN, OUTCOME_DTYPE, OUTCOME_INTERNAL, OUTCOME_INVALID_REQUEST, OUTCOME_MISSING,
-    OUTCOME_NOT_FOUND, OUTCOME_OK, OUTCOME_STALE,
+    OUTCOME_MODEL_NOT_READY, OUTCOME_NOT_FOUND, OUTCOME_OK, OUTCOME_STALE,
 )
 
 PARITY_CODES = [OUTCOME_DOMAIN, OUTCOME_STALE, OUTCOME_MISSING, OUTCOME_DTYPE]
@@ -44,12 +44,12 @@ def serving_outcome(code: Column) -> tuple[Column, Column, Column]:
                .when(code == OUTCOME_INVALID_REQUEST, F.lit("invalid"))
                .otherwise(F.lit("failure")))
     error_type = (F.when(code == OUTCOME_NOT_FOUND, F.lit("feature_lookup"))
-                  .when(code == "model_not_ready", F.lit("model_load"))
+                  .when(code == OUTCOME_MODEL_NOT_READY, F.lit("model_load"))
                   .when(code.isin(OUTCOME_OK, OUTCOME_INVALID_REQUEST, *PARITY_CODES), F.lit(None).cast("string"))
                   .otherwise(F.lit("internal")))
     http = (F.when(code == OUTCOME_OK, F.lit(200))
             .when(code.isin(OUTCOME_INVALID_REQUEST, *PARITY_CODES), F.lit(422))
             .when(code == OUTCOME_NOT_FOUND, F.lit(404))
-            .when(code == "model_not_ready", F.lit(503))
+            .when(code == OUTCOME_MODEL_NOT_READY, F.lit(503))
             .otherwise(F.lit(500)))
     return outcome, error_type, http

@@ -17,7 +17,7 @@ from tidemark.operators import contract as con
 from tidemark.operators.features import reconstruct
 from tidemark.operators.outcomes import normalize_requests, serving_outcome
 from tidemark.operators.scoring import predict_column
-from tidemark.schemas import OUTCOME_DTYPE, OUTCOME_OK
+from tidemark.schemas import OUTCOME_DTYPE, OUTCOME_INVALID_REQUEST, OUTCOME_MODEL_NOT_READY, OUTCOME_OK
 
 
 def predict_requests(requests: DataFrame, metrics: DataFrame, model, contract: con.Contract,
@@ -26,6 +26,14 @@ def predict_requests(requests: DataFrame, metrics: DataFrame, model, contract: c
     key = contract.entity_key
     req = normalize_requests(requests, id_col=id_col, ts_col=ts_col, key=key)
     payload = [c for c in req.columns if c not in (key, "obs_ts", "status")]
+    if model is None:
+        # No model loaded: every request past validation fails before any
+        # time parsing or feature work (model_load, 503), as in the reference.
+        code = F.when(F.col("status") == OUTCOME_INVALID_REQUEST, F.col("status")) \
+            .otherwise(F.lit(OUTCOME_MODEL_NOT_READY))
+        out = req.select(*payload, key, "obs_ts", code.alias("code"),
+                         F.lit(None).cast("double").alias("prediction"))
+        return _records(out, payload, key, contract, model_version, include_features_used)
     valid = req.where(F.col("status") == OUTCOME_OK).drop("status")
     feats = reconstruct(valid, metrics, key=key)
     con.check_present(feats, contract)
@@ -39,6 +47,11 @@ def predict_requests(requests: DataFrame, metrics: DataFrame, model, contract: c
     rejected = req.where(F.col("status") != OUTCOME_OK).select(
         *payload, key, "obs_ts", F.col("status").alias("code"), F.lit(None).cast("double").alias("prediction"))
     out = checked.unionByName(rejected)
+    return _records(out, payload, key, contract, model_version, include_features_used)
+
+
+def _records(out: DataFrame, payload: list[str], key: str, contract: con.Contract,
+             model_version: str, include_features_used: bool) -> DataFrame:
     outcome, error_type, http = serving_outcome(F.col("code"))
     cols = [*payload, F.col(key).alias("entity_id"), iso_text("obs_ts").alias("timestamp"), "code",
             outcome.alias("outcome"), error_type.alias("error_type"), http.alias("http_status"),

@@ -73,6 +73,7 @@ OUTCOME_MISSING = "missing_feature"
 OUTCOME_DTYPE = "dtype_error"
 OUTCOME_INVALID_REQUEST = "invalid_request"
 OUTCOME_INTERNAL = "internal"
+OUTCOME_MODEL_NOT_READY = "model_not_ready"
 
 # Serving error types counted in metrics windows.
 ERROR_TYPES = ["feature_lookup", "model_load", "inference_runtime", "internal"]

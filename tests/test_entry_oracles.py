@@ -52,3 +52,14 @@ def test_scale_conf_sizes_partitions():
     conf = scale_conf(100 * (1 << 40), total_cores=8000)  # 100 TiB on 1000 x 8 cores
     assert int(conf["spark.sql.shuffle.partitions"]) == 409600  # 100 TiB / 256 MiB
     assert scale_conf(1 << 20, total_cores=8)["spark.sql.shuffle.partitions"] == "24"
+
+
+def test_modules_import_without_a_spark_session():
+    """Nothing may build Spark columns at import time (the driver imports the
+    entry module before it has a session)."""
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import tidemark, tidemark.streaming, tidemark.plans.oracle, __spark_entry__ as E;"
+            "assert len(E.queries()) == 31 and len(E.oracle_sql()) == 30")
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

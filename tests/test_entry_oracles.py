@@ -7,6 +7,8 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SMALL
+from tidemark.plans.oracle import ORACLES
+from tidemark.plans.queries import QUERIES
 from tools.compare import TABLES, digest
 
 
@@ -18,7 +20,7 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) - set(E.oracle_sql()) == {"score_batch"}
+    assert set(QUERIES) - set(ORACLES) == {"score_batch"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +33,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
     s = E.queries()[name](spark, SMALL).toPandas()
     d = duck.execute(E.oracle_sql()[name]).df()
@@ -61,5 +63,5 @@ def test_modules_import_without_a_spark_session():
     import sys
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = ("import tidemark, tidemark.streaming, tidemark.plans.oracle, __spark_entry__ as E;"
-            "assert len(E.queries()) == 31 and len(E.oracle_sql()) == 30")
+            "assert len(E.queries()) >= 31 and len(E.oracle_sql()) >= 30")
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

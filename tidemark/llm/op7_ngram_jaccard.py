@@ -9,14 +9,15 @@ fragment, each by itself, and the partial counts are summed per pair and
 tested exactly: 100 * intersection >= threshold * union.
 
 Candidates share one of the first (rarest) ``n - ceil(t n) + 1`` n-grams, as
-any linked pair must. Equal sets are one class before anything is joined. The
-documents behind one n-gram are not paired with each other: in rounds, each
-n-gram compares its documents to a few pivots, links merge into components, and
-n-grams whose documents are all in one component are done (their other pairs
-cannot change a component). What then still spans components is compared in
-full, pairs of different components only, after length and position filters.
-So a group of copies costs a few comparisons per member, and no link between
-components is lost.
+any linked pair must, and pass length and position filters. Equal sets are one
+class before anything is joined. The documents behind an n-gram that ``PAIRED``
+or fewer share are paired; those behind a more frequent one are not: in
+rounds, each such n-gram compares its documents to a few pivots, links merge
+into components, and n-grams whose documents are all in one component are done
+(their other pairs cannot change a component). What then still spans
+components is compared in full, pairs of different components only. So a group
+of copies costs a few comparisons per member, and no link between components
+is lost. Only sets of documents in a candidate pair are ever moved.
 
 Defined results: a null or empty text, or one without words, has the empty
 set and is linked with nothing; fewer words than ``n`` are one n-gram;
@@ -42,9 +43,10 @@ from tidemark.llm.graph import components
 FRAGMENTS = 4
 SKETCH_BITS = 22  # 4 MB as magnitudes
 CHUNK = 1 << 16
+PAIRED = 32  # documents
 FILTER_BITS = 26  # 8 MB
 PIVOTS = (1, 4, 16)  # per n-gram, round by round, before the rest is compared in full
-SIGNATURE = "rid bigint, doc_id bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>"
+SIGNATURE = "rid bigint, doc_id bigint, th bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>"
 
 
 def sets_of(texts: list[str | None], n: int):
@@ -149,24 +151,23 @@ def _signatures(order, n, percent):
                 d2.append(c)
                 prefixes.append(order.value.ordered(s)[0][:prefix_size(len(s), percent) if len(s) else 0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(rid, rid + len(sizes))), b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()),
-                 pa.array(d2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["rid", "doc_id", "n", "d1", "d2", "prefix"])
+                [pa.array(np.arange(rid, rid + len(sizes))), b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()),
+                 pa.array(d2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["rid", "doc_id", "th", "n", "d1", "d2", "prefix"])
             rid += len(sizes)
     return signatures
 
 
 def _segments(order, n, words_):
-    """Rows (d1, d2, fragment, segment) of the sets whose digest the filter may hold; copies in a task once."""
+    """Rows (d1, d2, fragment, segment) of the texts that the filter may hold; copies in a task once."""
     def segments(batches):
         o, bits, seen = order.value, words_.value, set()
         for b in batches:
             rows = []
-            for s in sets_of(b.column("text").to_pylist(), n):
-                if not len(s):
-                    continue
+            at = b.column("th").to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)
+            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
+            for s in sets_of(b.column("text").filter(pa.array(hit.astype(bool))).to_pylist(), n):
                 d = digest(s)
-                at = d[0] & ((1 << FILTER_BITS) - 1)
-                if not int(bits[at >> 6]) >> (at & 63) & 1 or d in seen:
+                if not len(s) or d in seen:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(d)
@@ -179,16 +180,24 @@ def _segments(order, n, words_):
     return segments
 
 
-def digest_filter(spark: SparkSession, classes: DataFrame) -> np.ndarray:
-    """A bit per digest, modulo a fixed size; it only saves work, the join behind it decides."""
-    at = F.col("d1").bitwiseAND((1 << FILTER_BITS) - 1)
-    words_ = (classes.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(d1 & 63 as int))").alias("bit"))
+def text_filter(needed: DataFrame) -> np.ndarray:
+    """A bit per text hash, modulo a fixed size; it only saves work, the join behind it decides."""
+    at = F.col("th").bitwiseAND((1 << FILTER_BITS) - 1)
+    words_ = (needed.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(th & 63 as int))").alias("bit"))
               .groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow())
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[words_.column("w").to_numpy()] = words_.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def segments_of(rows: DataFrame, needed: DataFrame, order, n: int) -> DataFrame:
+    """rid, n, fragment, segment of the needed sets, from one more pass over the texts."""
+    bits = rows.sparkSession.sparkContext.broadcast(text_filter(needed))
+    found = (rows.select("text", "th").mapInArrow(_segments(order, n, bits), "d1 bigint, d2 bigint, fragment int, segment array<bigint>")
+             .groupBy("d1", "d2", "fragment").agg(F.first("segment").alias("segment")))
+    return found.join(needed.select("d1", "d2", "rid", "n"), ["d1", "d2"]).select("rid", "n", "fragment", "segment")
+
+
 def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked: partial overlaps by fragment, summed per pair."""
     left = segments.select(F.col("rid").alias("a"), "fragment", F.col("segment").alias("sa"), F.col("n").alias("na"))
@@ -206,52 +215,61 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
     sc = spark.sparkContext
     keep = lambda df, name: saved(df, scratch(spark, name))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
     order = sc.broadcast(global_order(rows, n, fragments))
     signed = keep(rows.mapInArrow(_signatures(order, n, percent), SIGNATURE), "signatures")
     classes = keep(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
 
     tokens = signed.join(classes.select("rid"), "rid", "left_semi").select("rid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     tokens = keep(tokens.join(shared, "token"), "shared-tokens")
-    involved = classes.join(tokens.select("rid").distinct(), "rid")
-    bits = sc.broadcast(digest_filter(spark, involved))
-    found = (rows.select("text").mapInArrow(_segments(order, n, bits), "d1 bigint, d2 bigint, fragment int, segment array<bigint>")
-             .groupBy("d1", "d2", "fragment").agg(F.first("segment").alias("segment")))
-    segments = keep(found.join(involved.select("d1", "d2", "rid", "n"), ["d1", "d2"]).select("rid", "n", "fragment", "segment"), "segments")
+    few = tokens.where(F.col("k") <= PAIRED).drop("k")
+    many = tokens.where(F.col("k") > PAIRED).drop("k")
 
-    edges, labels, spread = None, None, tokens.withColumn("label", F.col("rid"))
+    def other(of: DataFrame, *more) -> DataFrame:
+        return of.select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *more)
+
+    def candidates(met: DataFrame) -> DataFrame:
+        # What two sets can share from this n-gram on must reach the overlap that a link needs.
+        most = F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("pos"))
+        return (met.where(most * (100 + percent) >= (F.col("na") + F.col("n")) * percent)
+                .where((F.col("na") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("na") * percent))
+                .select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")))
+
+    labels, segments, spread = None, None, many.withColumn("label", F.col("rid"))
     for turn in range(len(PIVOTS) + 1):
-        if labels is not None:
-            spread = tokens.join(labels, tokens["rid"] == labels["a"], "left").select(
+        if turn:
+            spread = many.join(labels, many["rid"] == labels["a"], "left").select(
                 "token", "rid", "n", "pos", F.coalesce("b", "rid").alias("label"))
             open_ = (spread.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
                      .agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token"))
             spread = keep(spread.join(open_, "token"), "open-tokens")
+        label = F.col("label").alias("la")
         if turn < len(PIVOTS):
             # First the same pivot for as many n-grams as possible; then more of them, drawn anew for each n-gram and round.
             key = F.col("rid") if turn == 0 else F.xxhash64("rid", "token", F.lit(turn))
             slot = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(PIVOTS[turn]))
             pivots = spread.groupBy("token", slot.alias("slot")).agg(F.min(key).alias("key")).drop("slot")
-            pivot = spread.withColumn("key", key).join(pivots, ["token", "key"]).select(
-                "token", F.col("rid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-            pairs = spread.join(pivot, "token")
+            pivot = other(spread.withColumn("key", key).join(pivots, ["token", "key"]), label)
+            pairs = candidates(spread.join(pivot, "token").where("la <> label"))
         else:
             # Components meet first, so documents of one component are never set against each other.
             groups = spread.select("token", "label").distinct()
-            meet = groups.select("token", F.col("label").alias("la")).join(groups, "token").where("la < label")
-            pivot = spread.select("token", F.col("rid").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-            pairs = pivot.join(meet, ["token", "la"]).join(spread, ["token", "label"])
-        # What two sets can share from this n-gram on must reach the overlap that a link needs.
-        most = F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("pos"))
-        pairs = (pairs.where("la <> label").where(most * (100 + percent) >= (F.col("na") + F.col("n")) * percent)
-                 .where((F.col("na") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("na") * percent))
-                 .select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")).distinct())
+            meet = groups.select("token", label).join(groups, "token").where("la < label")
+            pairs = candidates(other(spread, label).join(meet, ["token", "la"]).join(spread, ["token", "label"]))
+        if turn == 0:
+            pairs = pairs.unionByName(candidates(few.join(other(few), "token").where("a < rid")))
+        pairs = keep(pairs.distinct(), "pairs")
+        wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        if segments is not None:
+            wanted = wanted.join(segments.select("rid").distinct(), "rid", "left_anti")
+        wanted = keep(signed.select("rid", "th", "n", "d1", "d2").join(wanted, "rid"), "wanted")
+        if segments is None or not wanted.isEmpty():
+            more = keep(segments_of(rows, wanted, order, n), "segments")
+            segments = more if segments is None else segments.unionByName(more)
         new = keep(links(pairs, segments, percent), "links")
-        edges = new if edges is None else edges.unionByName(new)
-        if labels is not None and turn < len(PIVOTS) and new.isEmpty():
-            continue
-        labels = components(edges if labels is None else labels.select("a", "b").unionByName(new))
-        edges = labels
+        if labels is None or not new.isEmpty():
+            labels = components(new if labels is None else labels.unionByName(new))
 
     of = classes.join(labels, classes["rid"] == labels["a"], "left").select(
         "d1", "d2", "rid", "least", F.coalesce("b", "rid").alias("component"))

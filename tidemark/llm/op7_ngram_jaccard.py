@@ -1,8 +1,9 @@
 """N-gram Jaccard join by vertical partitioning.
 
 Documents are sets of word n-gram hashes. All n-grams have one global order:
-by the magnitude of their frequency (from a count sketch of fixed size over
-all texts), then by hash, so that common passages come last. The order is cut
+by the magnitude of their frequency (from a count sketch over all texts, of a
+size that follows theirs up to a bound), then by hash, so that common passages
+come last. The order is cut
 into ``FRAGMENTS`` fragments of about equal mass; a document's set falls into
 one segment per fragment. The overlap of a pair is counted fragment by
 fragment, each by itself, and the partial counts are summed per pair and
@@ -29,19 +30,18 @@ them). Texts are used whole.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, saved, scratch, shingles, table, text_of, word_batches
+from tidemark.llm.common import mix, saved, scratch, shingles, shuffle_partitions, table, text_of, word_batches
 from tidemark.llm.graph import components
 
 FRAGMENTS = 4
-SKETCH_BITS = 22  # 4 MB as magnitudes
+BYTES_PER_SLOT = 32  # of text, for a slot of the count sketch
+SKETCH_BITS = (16, 26)  # least and most: 64 MB as magnitudes at most
 CHUNK = 1 << 16
 PAIRED = 32  # documents
 FILTER_BITS = 26  # 8 MB
@@ -66,21 +66,36 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 
 # ---- the global order
 
-def _sketch(n):
+def sketch_bits(rows: DataFrame) -> int:
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(int(size // BYTES_PER_SLOT).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
+def _sketch(n, bits):
+    """Counts of a task's n-grams by slot, in chunks: dense, or as (place, count) where few slots are hit."""
     def sketch(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
+        counts = np.zeros(1 << bits, np.uint16)
         for b in batches:
-            held = []
-            for s in sets_of(b.column("text").to_pylist(), n):
-                held.append(s)
-                if len(held) >= 512:
-                    counts += np.bincount(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint32)
-                    held = []
-            if held:
-                counts += np.bincount(np.concatenate(held) >> np.uint64(64 - SKETCH_BITS), minlength=len(counts)).astype(np.uint32)
-        if counts.any():
-            rows = [zlib.compress(counts[k:k + CHUNK].tobytes(), 1) for k in range(0, len(counts), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["chunk", "z"])
+            held, size = [], 0
+            for s in [*sets_of(b.column("text").to_pylist(), n), None]:
+                if s is not None:
+                    held.append(s)
+                    size += len(s)
+                if held and (s is None or size > 1 << 20):
+                    slot, c = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
+                    counts[slot] = np.minimum(counts[slot] + c, 65535)
+                    held, size = [], 0
+        rows = []
+        for k in range(0, len(counts), CHUNK):
+            chunk = np.minimum(counts[k:k + CHUNK], 255).astype(np.uint8)
+            hit = np.flatnonzero(chunk)
+            if 0 < len(hit) < CHUNK // 4:
+                rows.append((k // CHUNK, len(hit), hit.astype(np.uint16).tobytes() + chunk[hit].tobytes()))
+            elif len(hit):
+                rows.append((k // CHUNK, 0, chunk.tobytes()))
+        columns = list(zip(*rows)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()))],
+                                         ["chunk", "hits", "counts"])
     return sketch
 
 
@@ -88,20 +103,23 @@ def _merge(batches):
     """Sums chunks as they stream by; holds one array per chunk number of this task."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for k, z in zip(b.column("chunk").to_pylist(), b.column("z").to_pylist()):
-            x = np.frombuffer(zlib.decompress(z), np.uint32).astype(np.uint64)
-            sums[k] = sums[k] + x if k in sums else x
+        for k, hits, raw in zip(*(b.column(c).to_pylist() for c in ("chunk", "hits", "counts"))):
+            total = sums.setdefault(k, np.zeros(CHUNK, np.uint32))
+            if hits:
+                total[np.frombuffer(raw, np.uint16, hits)] += np.frombuffer(raw, np.uint8, hits, 2 * hits)
+            else:
+                total += np.frombuffer(raw, np.uint8)
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(sums), pa.int32()),
-         pa.array([np.frexp(x.astype(np.float64))[1].astype(np.uint8).tobytes() for x in sums.values()], pa.binary()),
-         pa.array([int(x.sum()) for x in sums.values()], pa.int64())], ["chunk", "magnitude", "mass"])
+         pa.array([np.frexp(x.astype(np.float64))[1].astype(np.uint8).tobytes() for x in sums.values()], pa.binary())],
+        ["chunk", "magnitude"])
 
 
 class Order:
     """Rank of an n-gram: its magnitude (count below 2**magnitude), then its hash; and the fragments' cuts."""
 
     def __init__(self, magnitudes: np.ndarray, fragments: int):
-        self.magnitudes = magnitudes
+        self.magnitudes, self.shift = magnitudes, np.uint64(65 - len(magnitudes).bit_length())
         mass = np.bincount(magnitudes, np.exp2(magnitudes.astype(np.float64)), 64)
         mass[0] = 0
         total, before, cuts = mass.sum(), np.cumsum(mass) - mass, []
@@ -114,7 +132,7 @@ class Order:
         self.cuts = np.array(cuts, np.uint64)
 
     def rank(self, s: np.ndarray) -> np.ndarray:
-        m = self.magnitudes[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64)
+        m = self.magnitudes[s >> self.shift].astype(np.uint64)
         return (m << np.uint64(56)) | (s >> np.uint64(8))
 
     def ordered(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,10 +142,11 @@ class Order:
 
 
 def global_order(rows: DataFrame, n: int, fragments: int = FRAGMENTS) -> Order:
-    parts = (1 << SKETCH_BITS) // CHUNK
-    got = (rows.select("text").mapInArrow(_sketch(n), "chunk int, z binary").repartition(parts, "chunk")
-           .mapInArrow(_merge, "chunk int, magnitude binary, mass bigint").collect())
-    magnitudes = np.zeros(1 << SKETCH_BITS, np.uint8)
+    bits = sketch_bits(rows)
+    got = (rows.select("text").mapInArrow(_sketch(n, bits), "chunk int, hits int, counts binary")
+           .repartition(min((1 << bits) // CHUNK, shuffle_partitions(rows.sparkSession)), "chunk")
+           .mapInArrow(_merge, "chunk int, magnitude binary").toLocalIterator())
+    magnitudes = np.zeros(1 << bits, np.uint8)
     for r in got:
         magnitudes[r["chunk"] * CHUNK:(r["chunk"] + 1) * CHUNK] = np.frombuffer(r["magnitude"], np.uint8)
     return Order(magnitudes, fragments)
@@ -253,10 +272,7 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
             pivot = other(spread.withColumn("key", key).join(pivots, ["token", "key"]), label)
             pairs = candidates(spread.join(pivot, "token").where("la <> label"))
         else:
-            # Components meet first, so documents of one component are never set against each other.
-            groups = spread.select("token", "label").distinct()
-            meet = groups.select("token", label).join(groups, "token").where("la < label")
-            pairs = candidates(other(spread, label).join(meet, ["token", "la"]).join(spread, ["token", "label"]))
+            pairs = candidates(spread.join(other(spread, label), "token").where("la < label"))
         if turn == 0:
             pairs = pairs.unionByName(candidates(few.join(other(few), "token").where("a < rid")))
         pairs = keep(pairs.distinct(), "pairs")

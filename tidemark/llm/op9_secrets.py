@@ -1,8 +1,8 @@
 """Secret scan: fixed rules, and a character CNN over every candidate string.
 
 Rules (fixed patterns below) give base findings; they always stay. Candidates
-are all runs of ``[A-Za-z0-9+/_.=-]`` of 12 characters or more that hold a
-digit or an inner capital. A convolutional network in numpy reads each
+are all runs of ``[A-Za-z0-9+/_.-]`` of 12 characters or more, with ``=`` signs
+behind, that hold a digit or an inner capital. A convolutional network in numpy reads each
 candidate with its surrounding characters (a longer candidate in overlapping
 windows, the highest score counts) and adds a span of kind ``cnn`` where its
 calibrated probability reaches the threshold.
@@ -12,8 +12,9 @@ overlaps are positive, all others negative. It is fitted on a bounded sample
 (``SAMPLE`` findings per label, those of least hash over the whole corpus)
 with each secret's surroundings blanked half of the time, so that it learns
 the string and not just the key word before it. A third of the sample, by
-hash, is held out: Platt scaling is fitted on it, and the threshold is the
-highest that keeps ``RECALL`` of the held-out positives (at least 0.5).
+hash, is held out, with and without surroundings: Platt scaling is fitted on
+it, and the threshold is the highest that keeps ``RECALL`` of the held-out
+positives (at least 0.5).
 
 Defined results: a null or empty text has no findings (0 counts, the digest
 of the empty string, empty spans); repeated rows each give a row; a null id
@@ -46,7 +47,7 @@ ASSIGN = re.compile(RULES["assign"][0], re.IGNORECASE | re.ASCII)
 ASSIGN_KEY = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(RULES["access"][0])
 HEX = re.compile(r"[0-9a-f]{32,}")  # maximal runs: the shorter ones are dropped anyway
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.-]{12,}={0,2}")
 MIXED = re.compile(r"[0-9]|[a-z+/_.=-][A-Z]")
 
 SAMPLE = 3000  # labelled findings per label
@@ -212,7 +213,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, recall: f
     bare = np.where(x >= ALPHABET, x, 0)
     net.fit(np.concatenate([x[~held], bare[~held]]), np.concatenate([y[~held], y[~held]]))
     check = held if held.any() else ~held
-    net.calibrate(net.logits(x[check]), y[check], recall)
+    net.calibrate(net.logits(np.concatenate([x[check], bare[check]])), np.concatenate([y[check], y[check]]), recall)
     return net
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_of
+from tidemark.llm.common import sliced, table, text_of
 
 RATE = 0.08  # edits a character
 BLOCK_CHARS = 1 << 22  # of items matched together
@@ -151,7 +151,7 @@ def matches(docs: DataFrame, bench: DataFrame, rate: float = RATE, id_col="doc_i
 def _search(items, rate):
     def search(batches):
         m = Matcher(items, rate)
-        for b in batches:
+        for b in sliced(batches):
             got = [(d, *hit) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
                    for hit in m.match(normalised(t))]
             columns = list(zip(*got)) or [[], [], [], []]
@@ -173,7 +173,7 @@ def clean(docs: DataFrame, bench: DataFrame, rate: float = RATE, text_col="text"
 def _without(items, rate, text_col):
     def keep(batches):
         m = Matcher(items, rate)
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([not m.match(normalised(t or "")) for t in b.column(text_col).to_pylist()], pa.bool_()))
     return keep
 

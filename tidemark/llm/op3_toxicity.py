@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, table, text_of
+from tidemark.llm.common import fold_of, sliced, table, text_of
 
 SAMPLE = 20_000  # labelled documents
 FEATURES = 4096
@@ -78,7 +78,7 @@ def swaps(words: set[str], per_term: int = SWAPS) -> list[set[str]]:
 class Vocabulary(dict):
     """Numbers of the model's features that a word carries; words met are kept, up to a bound."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17
 
     def __init__(self, features: list[str]):
         super().__init__()
@@ -146,20 +146,27 @@ def train(features: list[str], rows: list[list[int]], labels: np.ndarray, pairs:
 
 def _count_features(batches):
     toxic, clean = Counter(), Counter()
-    for b in batches:
+
+    def out():
+        keys = list(toxic.keys() | clean.keys())
+        got = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([toxic[x] for x in keys], pa.int64()),
+                                          pa.array([clean[x] for x in keys], pa.int64())], ["feature", "t", "c"])
+        toxic.clear()
+        clean.clear()
+        return got
+
+    for b in sliced(batches):
         for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
             (toxic if label else clean).update({f for w in distinct_words(text) for f in word_features(w)})
-    keys = list(toxic.keys() | clean.keys())
-    for i in range(0, len(keys), 1 << 16):
-        k = keys[i:i + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array([toxic[x] for x in k], pa.int64()),
-                                          pa.array([clean[x] for x in k], pa.int64())], ["feature", "t", "c"])
+            if len(toxic) + len(clean) > 1 << 17:  # what is held does not grow with the task
+                yield out()
+    yield out()
 
 
 def _number(features):
     def number(batches):
         v = Vocabulary(features)
-        for b in batches:
+        for b in sliced(batches):
             words = [distinct_words(t) for t in b.column("text").to_pylist()]
             other = [[v.of(s) for s in swaps(ws)] for ws in words]
             yield pa.RecordBatch.from_arrays(
@@ -199,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 def _score(model):
     def score(batches):
         v = Vocabulary(model.features)
-        for b in batches:
+        for b in sliced(batches):
             s = model.scores(b.column("text").to_pylist(), v)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s),
                                               pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -216,7 +223,7 @@ def clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Data
     """The rows of ``docs``, all columns as they are, that the model does not call toxic."""
     def keep(batches):
         v = Vocabulary(model.features)
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array(model.scores(b.column(text_col).to_pylist(), v) < 0.5, pa.bool_()))
     return docs.mapInArrow(keep, docs.schema)
 

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold_of, saved, scratch, table, text_of, word_batches
+from tidemark.llm.common import fold_of, saved, scratch, sliced, table, text_of, word_batches
 
 STATES = 8
 CLASSES = 4096
@@ -79,7 +79,7 @@ def _count(batches):
     def out(keys, n):
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    for b in batches:
+    for b in sliced(batches):
         for _, w in word_batches(b.column("text").to_pylist(), lower=True):
             tally.add(np.append(w.hashes, np.full(len(w.first) - 1, END, np.uint64)))
             if tally.full():
@@ -240,7 +240,7 @@ def expected_counts(model: Hmm, symbols: np.ndarray, bounds: np.ndarray, first:
 def _encode(lex):
     def encode(batches):
         lx = lex.value
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for _, w in word_batches(b.column("text").to_pylist(), lower=True):
                 s, end = lx.symbols(w.hashes).astype(np.uint16), lx.symbols(np.array([END], np.uint64)).astype(np.uint16)
@@ -307,7 +307,7 @@ def _parts(lex, model):
         logs = np.log10(lx.counts + 0.5)
         end_at = int(lx.find(np.array([END], np.uint64))[0][0])
         rid = TaskContext.get().partitionId() << 34
-        for b in batches:
+        for b in sliced(batches):
             ids, held = b.column("doc_id"), b.column("held_out")
             for first, w in word_batches(b.column("text").to_pylist(), lower=True):
                 docs = len(w.first) - 1

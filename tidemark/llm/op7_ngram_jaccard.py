@@ -36,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, saved, scratch, shingles, shuffle_partitions, table, text_of, word_batches
+from tidemark.llm.common import mix, saved, scratch, shingles, shuffle_partitions, sliced, table, text_of, word_batches
 from tidemark.llm.graph import components
 
 FRAGMENTS = 4
-BYTES_PER_SLOT = 32  # of text, for a slot of the count sketch
+BYTES_PER_SLOT = 64  # of text, for a slot of the count sketch
 SKETCH_BITS = (16, 26)  # least and most: 64 MB as magnitudes at most
 CHUNK = 1 << 16
 PAIRED = 32  # documents
@@ -74,20 +74,20 @@ def sketch_bits(rows: DataFrame) -> int:
 def _sketch(n, bits):
     """Counts of a task's n-grams by slot, in chunks: dense, or as (place, count) where few slots are hit."""
     def sketch(batches):
-        counts = np.zeros(1 << bits, np.uint16)
-        for b in batches:
+        counts = np.zeros(1 << bits, np.uint8)
+        for b in sliced(batches):
             held, size = [], 0
             for s in [*sets_of(b.column("text").to_pylist(), n), None]:
                 if s is not None:
                     held.append(s)
                     size += len(s)
-                if held and (s is None or size > 1 << 20):
+                if held and (s is None or size > 1 << 18):
                     slot, c = np.unique(np.concatenate(held) >> np.uint64(64 - bits), return_counts=True)
-                    counts[slot] = np.minimum(counts[slot] + c, 65535)
+                    counts[slot] = np.minimum(counts[slot] + c, 255)
                     held, size = [], 0
         rows = []
         for k in range(0, len(counts), CHUNK):
-            chunk = np.minimum(counts[k:k + CHUNK], 255).astype(np.uint8)
+            chunk = counts[k:k + CHUNK]
             hit = np.flatnonzero(chunk)
             if 0 < len(hit) < CHUNK // 4:
                 rows.append((k // CHUNK, len(hit), hit.astype(np.uint16).tobytes() + chunk[hit].tobytes()))
@@ -161,7 +161,7 @@ def prefix_size(n: int, percent: int) -> int:
 def _signatures(order, n, percent):
     def signatures(batches):
         rid = TaskContext.get().partitionId() << 34
-        for b in batches:
+        for b in sliced(batches):
             sizes, d1, d2, prefixes = [], [], [], []
             for s in sets_of(b.column("text").to_pylist(), n):
                 a, c = digest(s)
@@ -180,7 +180,7 @@ def _segments(order, n, words_):
     """Rows (d1, d2, fragment, segment) of the texts that the filter may hold; copies in a task once."""
     def segments(batches):
         o, bits, seen = order.value, words_.value, set()
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             at = b.column("th").to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)
             hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import saved, scratch, table, text_of
+from tidemark.llm.common import saved, scratch, sliced, table, text_of
 
 # Kinds in their order, patterns, the group that is the value, and the least length of that group.
 KINDS = ("assign", "access", "hex")
@@ -183,7 +183,7 @@ class CharCNN:
 
 
 def _labelled(batches):
-    for b in batches:
+    for b in sliced(batches):
         rows = []
         for text in b.column("text").to_pylist():
             values = [(vs, ve) for _, _, _, vs, ve in base_findings(text)]
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, recall: f
 
 def _scan(net: CharCNN | None):
     def scan(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column("text").to_pylist()
             base = [base_findings(t) for t in texts]
             added: list[list[tuple[int, int]]] = [[] for _ in texts]

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import op3_toxicity, op4_mixture, op7_ngram_jaccard, op8_packed_ids, op10_decontaminate
-from tidemark.llm.common import saved, scratch, table
+from tidemark.llm.common import bound_batches, saved, scratch, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    bound_batches(spark)
     return op7_ngram_jaccard.deduplicate(docs, 5, 80)
 
 
@@ -32,11 +33,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens meet the source, language and topic targets."""
+    bound_batches(spark)
     return op4_mixture.sample(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids, read back: doc_id, start, n_tokens, ids_crc32."""
+    bound_batches(spark)
     return op8_packed_ids.digests(docs)
 
 

@@ -13,7 +13,17 @@ from pyspark.sql import functions as F
 from tidemark.session import checkpoint_dir
 
 
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 10,000 rows: whole texts are long. A caller's own choice stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,7 +51,7 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """Arrow batches in stretches of ``rows``, which bounds the Python objects alive at once."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
@@ -63,7 +73,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * _K)
-_PIECE = 1 << 20  # bytes hashed together
+_PIECE = 1 << 18  # bytes hashed together
 _BASE = 0xD1342543DE82EF95
 
 
@@ -131,7 +141,7 @@ class Words:
         return total
 
 
-def word_batches(texts: list[str | None], lower: bool = False, size: int = 1 << 22):
+def word_batches(texts: list[str | None], lower: bool = False, size: int = 1 << 20):
     """(index of the first text, Words) over texts of about ``size`` bytes together; null is empty."""
     raw, at, held = [], 0, 0
     for t in texts:

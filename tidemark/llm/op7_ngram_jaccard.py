@@ -188,7 +188,7 @@ def _segments(order, n, words_):
                 d = digest(s)
                 if not len(s) or d in seen:
                     continue
-                if len(seen) < 1 << 18:
+                if len(seen) < 1 << 16:
                     seen.add(d)
                 ordered, rank = o.ordered(s)
                 cut = np.concatenate([[0], np.searchsorted(rank, o.cuts), [len(s)]])

@@ -263,7 +263,7 @@ def write_shards(docs: DataFrame, model: bytes, out: str, end_id: int = END_ID,
                 store.create_dir(os.path.dirname(place), recursive=True)
                 sink = store.open_output_stream(place, compression=None)
                 writer = ShardWriter(sink, bits, block)
-            for first, w in word_batches(b.column("text").to_pylist()):
+            for first, w in word_batches(b.column("text").to_pylist(), size=1 << 22):
                 ids, bounds = runs.encode(w)
                 for k, doc_id in enumerate(doc_ids[first:first + len(bounds) - 1]):
                     writer.add(doc_id, np.append(ids[bounds[k]:bounds[k + 1]], np.uint32(end_id)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -52,10 +53,17 @@ def text_of(col: str = "text") -> Column:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
-    """Arrow batches in stretches of ``rows``, which bounds the Python objects alive at once."""
+    """Arrow batches in stretches of ``rows``, which bounds the Python objects alive at once.
+
+    Python workers outlive their tasks, so what a task has freed goes back to the system at its end.
+    """
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    b = None
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 _K = np.uint64(0x9E3779B97F4A7C15)

@@ -209,9 +209,8 @@ def text_filter(needed: DataFrame) -> np.ndarray:
     return out
 
 
-def segments_of(rows: DataFrame, needed: DataFrame, order, n: int) -> DataFrame:
+def segments_of(rows: DataFrame, needed: DataFrame, order, n: int, bits) -> DataFrame:
     """rid, n, fragment, segment of the needed sets, from one more pass over the texts."""
-    bits = rows.sparkSession.sparkContext.broadcast(text_filter(needed))
     found = (rows.select("text", "th").mapInArrow(_segments(order, n, bits), "d1 bigint, d2 bigint, fragment int, segment array<bigint>")
              .groupBy("d1", "d2", "fragment").agg(F.first("segment").alias("segment")))
     return found.join(needed.select("d1", "d2", "rid", "n"), ["d1", "d2"]).select("rid", "n", "fragment", "segment")
@@ -281,12 +280,15 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
             wanted = wanted.join(segments.select("rid").distinct(), "rid", "left_anti")
         wanted = keep(signed.select("rid", "th", "n", "d1", "d2").join(wanted, "rid"), "wanted")
         if segments is None or not wanted.isEmpty():
-            more = keep(segments_of(rows, wanted, order, n), "segments")
+            bits = sc.broadcast(text_filter(wanted))
+            more = keep(segments_of(rows, wanted, order, n, bits), "segments")
+            bits.unpersist()
             segments = more if segments is None else segments.unionByName(more)
         new = keep(links(pairs, segments, percent), "links")
         if labels is None or not new.isEmpty():
             labels = components(new if labels is None else labels.unionByName(new))
 
+    order.unpersist()
     of = classes.join(labels, classes["rid"] == labels["a"], "left").select(
         "d1", "d2", "rid", "least", F.coalesce("b", "rid").alias("component"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))

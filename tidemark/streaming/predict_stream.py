@@ -1,11 +1,9 @@
 """Predictions for a stream of requests: each micro-batch runs the batch
 function ``predict_requests`` against the metrics table and appends the
-results (Parquet, partitioned by the UTC date of the batch)."""
+results (Parquet, partitioned by the batch id)."""
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,45 +12,22 @@ from tidemark.operators.serving import predict_requests
 from tidemark.session import checkpoint_dir
 
 
-def bounded_history(metrics: DataFrame, requests: DataFrame, history_days: int,
-                    ts_col: str = "timestamp") -> DataFrame:
-    """Metrics from ``history_days`` before the earliest request time on.
-
-    The bound is one scalar per batch, so the filter on ``window_start``
-    reaches the Parquet scan (and date partitions) instead of reading all
-    history every micro-batch. Rolling features stay exact for
-    ``history_days >= 2``; an as-of look-up differs only for a station with
-    no metrics row inside the bound (then it is not found).
-    """
-    first = requests.select(F.min(F.col(ts_col).try_cast("timestamp_ntz")).alias("m")).first()["m"]
-    if first is None:
-        return metrics
-    since = first - timedelta(days=history_days)
-    bounded = metrics.where(F.col("window_start") >= F.lit(since).cast("timestamp_ntz"))
-    if "date" in metrics.columns:  # partition column of write_station_metrics: skip folders
-        bounded = bounded.where(F.col("date") >= F.lit(since.strftime("%Y-%m-%d")))
-    return bounded
-
-
 def start_prediction_stream(requests: DataFrame, metrics: DataFrame, model, contract: Contract,
                             model_version: str, out_dir: str, *, checkpoint: str | None = None,
-                            history_days: int | None = None, available_now: bool = False,
+                            available_now: bool = False,
                             processing_time: str | None = None):
-    """Score each micro-batch of requests. ``history_days=None`` keeps the
-    reference's unbounded as-of look-back (reads all metrics per batch);
-    a bound prunes the metrics scan (see ``bounded_history``)."""
+    """Score each micro-batch of requests against the whole metrics history:
+    a station silent for long is stale, which a cut history would make unknown.
+    A replayed batch id overwrites its own folder, on whatever day it runs."""
     spark = requests.sparkSession
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/prediction-stream"
 
     def _batch(batch: DataFrame, batch_id: int) -> None:
-        m = metrics if history_days is None else bounded_history(metrics, batch, history_days)
-        out = (predict_requests(batch, m, model, contract, model_version)
+        out = (predict_requests(batch, metrics, model, contract, model_version)
                .withColumn("completed_at", F.current_timestamp().cast("timestamp_ntz"))
-               .withColumn("batch_id", F.lit(batch_id))
-               .withColumn("date", F.date_format("completed_at", "yyyy-MM-dd")))
-        # replay of a batch id overwrites only that batch's own partition
+               .withColumn("batch_id", F.lit(batch_id)))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("date", "batch_id").parquet(out_dir))
+         .partitionBy("batch_id").parquet(out_dir))
 
     w = requests.writeStream.option("checkpointLocation", ckpt).foreachBatch(_batch)
     if available_now:

@@ -40,5 +40,6 @@ def test_readme_flow(spark, tmp_dir):
     write_deployment_events(lineage.deployment_events(acts, ctx), out)
     windows = metrics.window_records(metrics.metrics_windows(i.request_log), ctx.where("valid"))
     n = windows.count()
-    assert n > 0 and write_metrics_windows(windows, out)
+    assert n > 0
+    write_metrics_windows(windows, out)
     assert spark.read.json(os.path.join(out, "artifacts", "serving", "metrics")).count() == n

@@ -1,4 +1,4 @@
-"""Contract reading, lint, order and coercion (the reference validator cases)."""
+"""Contract reading, lint, order and coercion."""
 
 import json
 import os
@@ -8,50 +8,64 @@ from pyspark.sql import Row
 
 from tidemark.operators import contract as con
 
-SCHEMA = con.Contract("v1", "station_id", (("feat_a", "float64"), ("feat_b", "float64"), ("feat_c", "int64")), "t")
+TIDE = con.Contract("tide-3", "buoy", (("depth_m", "float32"), ("swell", "int32"), ("zone", "str"),
+                                       ("calm", "bool"), ("speed_kn", "float64")), "drift")
 
 
-def test_vector_in_declared_order_extra_ignored(spark):
-    df = spark.createDataFrame([Row(extra_col="ignored", feat_c=3, feat_b=2.0, feat_a=1.0)])
-    v = con.vector(df, SCHEMA)
-    assert v.columns == ["feat_a", "feat_b", "feat_c"]
-    assert tuple(v.collect()[0]) == (1.0, 2.0, 3)
+def buoys(spark, *rows):
+    return spark.createDataFrame(rows, "zone string, speed_kn double, swell double, calm int, depth_m string, note string")
 
 
-def test_int_coerced_to_float(spark):
-    df = spark.createDataFrame([Row(feat_a=1, feat_b=2, feat_c=3)])
-    r = con.coerce(df, SCHEMA, strict=True).collect()[0]
-    assert isinstance(r["feat_a"], float) and r["dtype_status"] == "ok"
+def test_projection_takes_the_contract_order_and_nothing_else(spark):
+    df = buoys(spark, ("north", 4.5, 2.0, 0, "11.25", "x"), ("south", None, 7.9, 1, "3", None))
+    assert con.vector(df, TIDE, keep=["note"]).columns == ["note", "depth_m", "swell", "zone", "calm", "speed_kn"]
 
 
-def test_missing_feature_raises(spark):
-    df = spark.createDataFrame([Row(feat_a=1.0, feat_c=3)])
-    with pytest.raises(con.FeatureParityError, match="missing"):
-        con.vector(df, SCHEMA)
+def test_every_dtype_of_one_row(spark):
+    r = con.coerce(buoys(spark, ("north", 4.5, -2.9, 3, "11.25", "x")), TIDE, strict=True).collect()[0]
+    assert (r["depth_m"], r["swell"], r["zone"], r["calm"], r["speed_kn"]) == (11.25, -2, "north", True, 4.5)
+    assert (r["dtype_status"], r["error_feature"]) == ("ok", None)
 
 
-def test_unconvertible_value_is_a_dtype_error(spark):
-    df = spark.createDataFrame([Row(feat_a=1.0, feat_b=2.0, feat_c="not_a_number")])
-    r = con.coerce(df, SCHEMA, strict=True).collect()[0]
-    assert r["dtype_status"] == "dtype_error" and r["error_feature"] == "feat_c"
+@pytest.mark.parametrize("absent", ["depth_m", "calm", "speed_kn"])
+def test_a_frame_without_a_declared_feature_is_refused(spark, absent):
+    with pytest.raises(con.FeatureParityError, match=absent):
+        con.coerce(buoys(spark).drop(absent), TIDE, strict=False)
 
 
-def test_strict_and_nullable_missing_values(spark):
-    df = spark.createDataFrame([(None, 2.0, None)], "feat_a double, feat_b double, feat_c double")
-    strict = con.coerce(df, SCHEMA, strict=True).collect()[0]
-    assert strict["dtype_status"] == "dtype_error" and strict["error_feature"] == "feat_c"
-    loose = con.coerce(df, SCHEMA, strict=False).collect()[0]
-    assert loose["dtype_status"] == "ok" and loose["feat_c"] is None and loose["feat_a"] is None
+def test_the_first_failing_feature_in_contract_order_is_named(spark):
+    df = buoys(spark, ("a", 1.0, float("inf"), 0, "deep", "both"), ("b", 1.0, float("nan"), 0, "1", "swell only"),
+               ("c", 1.0, 3e9, 0, "1", "too large for int32"), ("d", 1.0, 1.0, 0, "1e1", "fine"))
+    got = {r["note"]: r["error_feature"] for r in con.coerce(df, TIDE, strict=False, keep=["note"]).collect()}
+    assert got == {"both": "depth_m", "swell only": "swell", "too large for int32": "swell", "fine": None}
 
 
-def test_truncation_text_and_truthiness(spark):
-    c = con.Contract("v", "k", (("x", "int32"), ("s", "str"), ("b", "bool"), ("t", "bool"), ("n", "int64")), "t")
-    df = spark.createDataFrame([(3.9, 12, float("nan"), "False", "5")], "x double, s int, b double, t string, n string")
-    r = con.coerce(df, c, strict=True).collect()[0]
-    assert (r["x"], r["s"], r["b"], r["t"], r["n"]) == (3, "12", True, True, 5)
-    bad = spark.createDataFrame([(float("nan"), "3.9")], "x double, n string")
-    c2 = con.Contract("v", "k", (("x", "int64"), ("n", "int64")), "t")
-    assert con.coerce(bad, c2, strict=False).collect()[0]["error_feature"] == "x"
+def test_missing_values_by_mode(spark):
+    df = buoys(spark, (None, None, None, None, None, None))
+    strict = con.coerce(df, TIDE, strict=True).collect()[0]
+    assert (strict["error_feature"], strict["zone"], strict["calm"]) == ("swell", "None", False)
+    loose = con.coerce(df, TIDE, strict=False).collect()[0]
+    assert loose["dtype_status"] == "ok" and all(loose[n] is None for n in TIDE.names)
+
+
+def test_integer_text_and_truthy_text(spark):
+    c = con.Contract("v", "k", (("n", "int64"), ("t", "bool")), "t")
+    df = spark.createDataFrame([("5", "False"), ("3.9", "")], "n string, t string")
+    a, b = con.coerce(df, c, strict=False).collect()
+    assert (a["n"], a["t"], a["error_feature"]) == (5, True, None)
+    assert (b["n"], b["t"], b["error_feature"]) == (None, False, "n")
+
+
+def test_a_contract_without_features_and_a_folder_of_two(spark, tmp_dir):
+    _write(tmp_dir, "none.json", {"version": "v0", "entity_key": "k", "target": "y", "features": []})
+    _write(tmp_dir, "one.json", {"version": "v1", "entity_key": "k", "target": "y",
+                                 "features": [{"name": "a", "dtype": "int32"}]})
+    both = con.read_contracts(spark, tmp_dir)
+    assert con.lint_contracts(both).count() == 0
+    empty = con.collect_contract(both.where(both.source_file.endswith("none.json")))
+    assert empty.names == [] and con.coerce(buoys(spark), empty, strict=True).columns == ["error_feature", "dtype_status"]
+    with pytest.raises(con.FeatureParityError, match="one contract file"):
+        con.collect_contract(both)
 
 
 def _write(tmp_dir, name, obj):

@@ -6,9 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import OBS_TS, metrics_df, metrics_rows
+from tidemark.functions.scalars import iso_time
 from tidemark.operators import outcomes as outc
 from tidemark.operators import scoring as sco
+from tidemark.operators.contract import Contract
 from tidemark.operators.features import reconstruct
+from tidemark.operators.serving import predict_requests
 from tidemark.schemas import FEATURE_ORDER
 
 
@@ -25,13 +28,55 @@ def test_normalize_requests(spark):
     got = {r["request_id"]: r for r in outc.normalize_requests(req, now=now).collect()}
     assert got[1]["station_id"] == "station_1" and got[1]["status"] == "ok" and got[1]["obs_ts"] == OBS_TS
     assert got[2]["status"] == "invalid_request"
-    assert got[3]["status"] == "internal" and got[3]["obs_ts"] is None
+    assert got[3]["status"] == "ok" and got[3]["zoned"] and got[3]["obs_ts"] == OBS_TS
     assert got[4]["status"] == "internal"
     assert got[5]["status"] == "ok" and got[5]["obs_ts"] == datetime(2030, 1, 1)
     assert got[6]["station_id"] == "station_2" and got[6]["obs_ts"] == datetime(2030, 1, 1)
     assert got[7]["status"] == "internal"  # fromisoformat takes no surrounding whitespace
 
 
+SHAPES = ["2024", "2024-01", "2024-1-1", "2024-01-01", "20240101", "2024-W01", "2024-W01-1", "2024W011", "2024-W01-8",
+          "2020-W53-4", "2021-W53-1", "2024-W00-1", "2024-02-30", "0000-01-01", "2024-01-01T12", "2024-01-01T12:30",
+          "2024-01-01 1:2:3", "2024-01-01T12:00:00 UTC", "2024-01-01T12:00:00 Europe/Rome", "20240101T120000",
+          "20240101T1200", "2024-01-01T12:00:00,5", "2024-01-01T12:00:00.123456789", "2024-01-01T12:00:00.", "",
+          "2024-01-01T25:00", "2024-01-01T12:00:00Z", "2024-01-01T12:00:00+02", "2024-01-01T12:00:00-0530",
+          "2024-01-01T12:00:00+05:30:15", "2024-01-01T12Z", "20240101T120000Z", "2024-01-01x12:00", "2024-01-01T",
+          "2024-01-01T12:00:00+24:00", " 2024-01-01", "2024-01-01T12:0000", "2024-366", "soon", "2024-W01-1T10+01:00"]
+
+
+def test_iso_text_is_taken_as_fromisoformat_takes_it(spark):
+    df = spark.createDataFrame([(s,) for s in SHAPES], "s string")
+    for r in df.select("s", iso_time("s").alias("t")).select("s", "t.*").collect():
+        try:
+            want = datetime.fromisoformat(r["s"])
+        except ValueError:
+            want = None
+        zone = want.utcoffset() if want is not None else None
+        assert r["wall"] == (want and want.replace(tzinfo=None)), r["s"]
+        assert r["offset"] == (None if zone is None else zone.total_seconds()), r["s"]
+        assert r["utc"] == (None if zone is None else want.replace(tzinfo=None) - zone), r["s"]
+
+
+def test_the_lookup_comes_before_the_zone(spark):
+    m = metrics_df(spark, metrics_rows(minutes=90) + metrics_rows(stations=(("tiny", 1.0),), capacity=3.0, minutes=90))
+    contract = Contract("v", "station_id", (("ft_bikes_available", "float64"),), "t")
+    req = spark.createDataFrame([(n, e, t, 1.23456) for n, (e, t) in enumerate(
+        (e, f"2025-06-0{d}T12:00:00{z}") for e in ("nowhere", "tiny", "station_1") for d in (1, 2) for z in ("", "Z"))],
+        "n int, entity_id string, timestamp string, took double")
+    got = predict_requests(req, m, sco.ConstantModel(1.0), contract, "v", latency_col="took").orderBy("n").collect()
+    assert [r["code"] for r in got] == (["not_found"] * 4 + ["domain_violation"] * 4
+                                        + ["ok", "internal", "stale", "internal"])
+    assert [r["latency_ms"] for r in got if r["latency_ms"] is not None] == [1.235]
+
+
+def test_rows_on_which_the_model_fails(spark):
+    """Text reaches the model as text: the linear one takes digits and fails on the rest, row by row."""
+    df = spark.createDataFrame([(1.0, "3"), (-1.0, "x"), (2.0, "4")], "a double, b string")
+    model = sco.LinearModel(["a", "b"], {"a": 2.0, "b": 1.0})
+    got = df.select(sco.prediction_struct(df, model, ["a", "b"]).alias("p")).select("p.*").collect()
+    assert [(r["v"], r["failed"]) for r in got] == [(5.0, False), (0.0, True), (8.0, False)]
+
+
 def test_outcome_mapping(spark):
     codes = spark.createDataFrame([(c,) for c in ["ok", "not_found", "domain_violation", "stale",
                                                   "dtype_error", "invalid_request", "internal"]], "code string")

@@ -4,7 +4,6 @@ from tidemark.functions.scalars import (  # noqa: F401
     micros,
     py_strip,
     truthy,
-    has_zone,
     parse_zoned_utc,
     non_blank,
 )

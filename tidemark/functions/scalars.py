@@ -11,19 +11,75 @@ def _epoch() -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
 
-# Text ends in a time followed by an explicit zone: "Z" or +HH:MM / +HHMM / +HH.
-ZONE_PATTERN = r"(?i)\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?(z|[+-]\d{2}(:?\d{2})?)$"
+# The shapes of ISO-8601 text: a calendar or week date, extended or basic, then
+# optionally any one separator, a time in the same two forms, and a zone.
+_DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
+_CLOCK = r"(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?|(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?"
+_ZONE = r"(Z|[+-]\d{2}(?::?[0-5]\d(?::?[0-5]\d)?)?)"
+ISO_PATTERN = f"(?s)^{_DATE}(?:.{_CLOCK}{_ZONE}?)?$"
+_PARTS = "$1|$2$4|$3$5|$6$8|$7$9|$10|$11$14|$12$15|$13$16|$17"  # year .. fraction, zone
 
 
-def micros(col: Column | str) -> Column:
-    """Wall-clock microseconds since 1970 of a TIMESTAMP_NTZ (zone-free)."""
+def _bound(value: Column, fn) -> Column:
+    """``fn`` of a value that is evaluated once however often ``fn`` names it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _date_text(year: Column, month: Column, day: Column, week: Column, weekday: Column) -> Column:
+    def of_week(jan4: Column) -> Column:  # 4 January is always in ISO week 1
+        nth, on = week.try_cast("int"), F.coalesce(weekday.try_cast("int"), F.lit(1))
+        return _bound(F.date_add(jan4, (nth - 1) * 7 + on - 1 - F.weekday(jan4)),
+                      lambda d: F.when((F.weekofyear(d) == nth) & on.between(1, 7), d.cast("string")))
+
+    return (F.when(week == "", F.concat_ws("-", year, month, day))
+            .otherwise(_bound(F.make_date(year.try_cast("int"), F.lit(1), F.lit(4)), of_week)))
+
+
+def _offset_seconds(zone: Column) -> Column:
+    def digits(z: Column) -> Column:
+        def at(n: int) -> Column:
+            return F.coalesce(F.substring(z, n, 2).try_cast("int"), F.lit(0))
+
+        size = at(2) * 3600 + at(4) * 60 + at(6)
+        return F.when(F.startswith(z, F.lit("-")), -size).otherwise(size)
+
+    return F.when(zone != "", _bound(F.replace(zone, F.lit(":"), F.lit("")), digits))
+
+
+def iso_time(col: Column | str) -> Column:
+    """A struct ``(wall, offset, utc)`` of ISO-8601 text: the time as written,
+    the seconds its zone is ahead of UTC, and the instant in UTC.
+
+    All are NULL for text of no such shape or with values out of range;
+    offset and utc are NULL for text without a zone. No surrounding
+    whitespace is taken; a fraction is cut to microseconds.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.timestamp_diff("MICROSECOND", _epoch(), c.cast("timestamp_ntz"))
+
+    def read(part: Column) -> Column:
+        year, month, day, week, weekday, hour, minute, second, fraction, zone = (F.get(part, F.lit(n)) for n in range(10))
+
+        def two(x: Column) -> Column:
+            return F.lpad(x, 2, "0")  # absent: 00
+
+        text = F.concat(F.when(year != "0000", _date_text(year, month, day, week, weekday)), F.lit(" "),
+                        two(hour), F.lit(":"), two(minute), F.lit(":"), two(second),
+                        F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0"))
+        return F.struct(text.try_cast("timestamp_ntz").alias("wall"), _offset_seconds(zone).alias("offset"))
+
+    def checked(t: Column) -> Column:
+        known = t["wall"].isNotNull() & F.coalesce(F.abs(t["offset"]) < 86400, F.lit(True))
+        return F.struct(F.when(known, t["wall"]).alias("wall"), F.when(known, t["offset"]).alias("offset"),
+                        F.when(known, F.timestamp_add("SECOND", -t["offset"], t["wall"])).alias("utc"))
+
+    parts = F.split(F.when(c.rlike(ISO_PATTERN), F.regexp_replace(c, ISO_PATTERN, _PARTS)), r"\|")
+    return _bound(_bound(parts, read), checked)
 
 
-def from_micros(col: Column | str) -> Column:
+def micros(col: Column | str) -> Column:
+    """Wall-clock microseconds since 1970 of a TIMESTAMP_NTZ (zone-free)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.timestamp_add("MICROSECOND", c, _epoch())
+    return F.timestamp_diff("MICROSECOND", _epoch(), c.cast("timestamp_ntz"))
 
 
 def day_of_week_sun0(col: Column | str) -> Column:
@@ -48,22 +104,13 @@ def non_blank(col: Column | str) -> Column:
     return F.coalesce(F.length(py_strip(c)) > 0, F.lit(False))
 
 
-def has_zone(col: Column | str) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(c.rlike(ZONE_PATTERN), F.lit(False))
-
-
 def parse_zoned_utc(col: Column | str, strip: bool = True) -> Column:
     """ISO-8601 text with a zone -> naive UTC wall time (TIMESTAMP_NTZ).
 
     Text without a zone gives NULL (naive times are rejected, not guessed).
-    Session zone must be UTC (see tidemark.session).
     """
     c = F.col(col) if isinstance(col, str) else col
-    c = py_strip(c) if strip else c
-    parsed = F.try_to_timestamp(c)
-    ok = has_zone(c) if strip else has_zone(c) & (c == py_strip(c))  # no whitespace around
-    return F.when(ok, parsed.cast("timestamp_ntz"))
+    return iso_time(py_strip(c) if strip else c)["utc"]
 
 
 def iso_text(col: Column | str, zone_suffix: str = "", sep: str = "T") -> Column:

@@ -51,28 +51,19 @@ def read_contracts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exploded(raw: DataFrame) -> DataFrame:
-    return raw.select("source_file", "version", "entity_key", "target",
+    return raw.select("source_file", "version", "entity_key", "target", F.col("features").isNotNull().alias("declared"),
                       F.posexplode_outer("features").alias("pos", "feature")) \
-        .select("source_file", "version", "entity_key", "target", "pos",
+        .select("source_file", "version", "entity_key", "target", "declared", "pos",
                 F.col("feature.name").alias("name"), F.col("feature.dtype").alias("dtype"))
 
 
-def contract_frame(spark: SparkSession, contract: Contract, source: str = "inline") -> DataFrame:
-    raw = spark.createDataFrame(
-        [(source, contract.version, contract.entity_key,
-          [{"name": n, "dtype": d} for n, d in contract.features], contract.target)],
-        T.StructType([T.StructField("source_file", T.StringType()), *CONTRACT_SCHEMA.fields[:2],
-                      CONTRACT_SCHEMA.fields[2], CONTRACT_SCHEMA.fields[3]]))
-    return exploded(raw)
-
-
 def lint_contracts(entries: DataFrame) -> DataFrame:
     """Violations of exploded contracts: missing envelope keys, blank names,
     unknown dtypes and duplicate names (within one contract file)."""
-    envelope = (entries.select("source_file", "version", "entity_key", "target", "pos").where(F.col("pos").isNull() | (F.col("pos") == 0))
+    envelope = (entries.select("source_file", "version", "entity_key", "target", "declared", "pos").where(F.col("pos").isNull() | (F.col("pos") == 0))
                 .select("source_file", F.explode(F.array_compact(F.array(
                     *[F.when(F.col(k).isNull(), F.lit(f"missing_{k}")) for k in ("version", "entity_key", "target")],
-                    F.when(F.col("pos").isNull(), F.lit("missing_features"))))).alias("rule"))
+                    F.when(~F.col("declared"), F.lit("missing_features"))))).alias("rule"))
                 .select("source_file", F.lit(None).cast("string").alias("name"), "rule"))
     per_entry = (entries.where(F.col("pos").isNotNull())
                  .select("source_file", "name", F.explode(F.array_compact(F.array(
@@ -90,10 +81,11 @@ def collect_contract(entries: DataFrame) -> Contract:
     if bad:
         raise FeatureParityError(f"invalid contract: {[(r['name'], r['rule']) for r in bad]}")
     rows = entries.orderBy("pos").collect()
-    if not rows:
-        raise FeatureParityError("empty contract")
+    files = {r["source_file"] for r in rows}
+    if len(files) != 1:
+        raise FeatureParityError(f"one contract file expected, found {sorted(files)}")
     return Contract(rows[0]["version"], rows[0]["entity_key"],
-                    tuple((r["name"], r["dtype"]) for r in rows), rows[0]["target"])
+                    tuple((r["name"], r["dtype"]) for r in rows if r["pos"] is not None), rows[0]["target"])
 
 
 def check_present(df: DataFrame, contract: Contract) -> None:
@@ -154,6 +146,6 @@ def coerce(df: DataFrame, contract: Contract, *, strict: bool, keep: list[str] =
         v, bad = _coerce(F.col(name), types[name], dtype, strict)
         cols.append(v.alias(name))
         fails.append(F.when(bad, F.lit(name)))
-    first = F.coalesce(*fails) if len(fails) > 1 else fails[0]
+    first = F.coalesce(F.lit(None).cast("string"), *fails)
     return df.select(*keep, *cols, first.alias("error_feature")).withColumn(
         "dtype_status", F.when(F.col("error_feature").isNull(), F.lit("ok")).otherwise(F.lit("dtype_error")))

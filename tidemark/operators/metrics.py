@@ -31,6 +31,12 @@ def handled(log: DataFrame) -> DataFrame:
     return log.where(F.col("outcome").isin(*HANDLED))
 
 
+def rejected_log(log: DataFrame) -> DataFrame:
+    """Log rows that no window counts although they are not 'invalid': an
+    absent or unknown outcome. Write them where someone looks."""
+    return log.where(~F.coalesce(F.col("outcome").isin(*HANDLED, "invalid"), F.lit(False)))
+
+
 def with_window(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
     """Attach the minute-aligned window of each handled request (kept as columns)."""
     w = F.window(time_col, f"{WINDOW_SECONDS} seconds")
@@ -120,12 +126,14 @@ def window_records(windows: DataFrame, lineage: DataFrame,
 
     ``lineage`` holds one valid context per ``deployment_id``; a window whose
     deployment has no valid lineage is not emitted (as the reference writes
-    no window without a context). The join lets AQE pick the strategy from
+    no window without a context), nor is one whose deployment has several
+    different contexts, which would repeat it. The join lets AQE pick the strategy from
     measured sizes: the window side is small after aggregation.
     """
-    ctx = lineage.select("deployment_id", "service_name", "service_version", "environment",
-                         "model_name", "model_version", "bundle_id",
-                         "input_dataset_name", "input_dataset_version")
+    context = F.struct("service_name", "service_version", "environment", "model_name", "model_version",
+                       "bundle_id", "input_dataset_name", "input_dataset_version")
+    ctx = (lineage.groupBy("deployment_id").agg(F.min(context).alias("lo"), F.max(context).alias("hi"))
+           .where(F.col("lo") == F.col("hi")).select("deployment_id", "lo.*"))
     j = windows.join(ctx, "deployment_id")
     extra = {"schema_version": F.lit(SCHEMA_VERSION)}
     for c in WINDOW_ALWAYS_ZERO:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import has_zone, py_strip
+from tidemark.functions.scalars import iso_time, non_blank, py_strip
 from tidemark.schemas import (
     OUTCOME_DOMAIN, OUTCOME_DTYPE, OUTCOME_INTERNAL, OUTCOME_INVALID_REQUEST, OUTCOME_MISSING,
     OUTCOME_MODEL_NOT_READY, OUTCOME_NOT_FOUND, OUTCOME_OK, OUTCOME_STALE,
@@ -21,20 +21,29 @@ def utc_now_ntz() -> Column:
 
 def normalize_requests(req: DataFrame, id_col: str = "entity_id", ts_col: str = "timestamp",
                        key: str = "station_id", now: Column | None = None) -> DataFrame:
-    """Strip the entity id (blank -> invalid_request); parse the observation
-    time (absent or empty -> now in UTC; zoned or unparsable -> internal)."""
+    """Strip the entity id (blank or absent -> invalid_request); parse the
+    observation time (absent or empty -> now in UTC; no ISO text -> internal).
+    A time with a zone is taken at its UTC instant and marked ``zoned``: it
+    goes through the look-up and fails later (``zone_checked``)."""
     ent = py_strip(F.col(id_col))
     text = F.col(ts_col)
     absent = text.isNull() | (text == "")
-    parsed = text.try_cast("timestamp_ntz")
-    # fromisoformat takes no surrounding whitespace (Spark's cast would trim it)
-    bad_time = has_zone(text) | parsed.isNull() | (text != py_strip(text))
-    obs_ts = F.when(absent, now if now is not None else utc_now_ntz()).when(~bad_time, parsed)
-    status = (F.when(F.length(ent) == 0, F.lit(OUTCOME_INVALID_REQUEST))
-              .when(~absent & bad_time, F.lit(OUTCOME_INTERNAL))
+    t = F.col("_iso")
+    zoned = ~absent & t["utc"].isNotNull()
+    obs_ts = (F.when(absent, now if now is not None else utc_now_ntz())
+              .otherwise(F.coalesce(t["utc"], t["wall"])))
+    status = (F.when(~non_blank(id_col), F.lit(OUTCOME_INVALID_REQUEST))
+              .when(~absent & t["wall"].isNull(), F.lit(OUTCOME_INTERNAL))
               .otherwise(F.lit(OUTCOME_OK)))
     others = [c for c in req.columns if c not in (id_col, ts_col)]
-    return req.select(*others, ent.alias(key), obs_ts.alias("obs_ts"), status.alias("status"))
+    return req.withColumn("_iso", iso_time(text)).select(*others, ent.alias(key), obs_ts.alias("obs_ts"), zoned.alias("zoned"), status.alias("status"))
+
+
+def zone_checked(outcome: Column, zoned: Column) -> Column:
+    """The outcome of a request whose time had a zone: an unknown station and
+    a small capacity are found first; the age of the snapshot, a zoned time
+    less a naive one, cannot be taken."""
+    return F.when(zoned & outcome.isin(OUTCOME_OK, OUTCOME_STALE), F.lit(OUTCOME_INTERNAL)).otherwise(outcome)
 
 
 def serving_outcome(code: Column) -> tuple[Column, Column, Column]:

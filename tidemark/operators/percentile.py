@@ -22,7 +22,8 @@ from tidemark.session import checkpoint_dir
 def nearest_rank(df: DataFrame, group_cols: list[str], value_col: str,
                  percentiles: dict[str, float], num_slices: int | None = None,
                  sums: dict[str, Column] | None = None) -> DataFrame:
-    """One row per group with a column per percentile (NULL values ignored).
+    """One row per group with a column per percentile (NULL values ignored;
+    NULL percentiles for a group without values).
 
     ``sums`` are per-row additive expressions summed per group in the same
     pass (they ride along with the value counts), so a caller needing both
@@ -32,8 +33,7 @@ def nearest_rank(df: DataFrame, group_cols: list[str], value_col: str,
     sums = sums or {}
     g = [F.col(c) for c in group_cols]
     v = F.col(value_col)
-    src = df if sums else df.where(v.isNotNull())
-    vc = src.groupBy(*g, v).agg(F.count(v).alias("_pr_c"),
+    vc = df.groupBy(*g, v).agg(F.count(v).alias("_pr_c"),
                                 *[F.sum(e).alias(n) for n, e in sums.items()])
     vc = (vc.repartitionByRange(num_slices, *g, v) if num_slices
           else vc.repartitionByRange(*g, v))
@@ -66,7 +66,7 @@ def nearest_rank(df: DataFrame, group_cols: list[str], value_col: str,
         outs.append(F.max(F.when(hit, v)).alias(name))
     if sums:
         return ranked.groupBy(*g).agg(*[F.sum(n).alias(n) for n in sums], *outs)
-    any_hit = hits[0]
-    for h in hits[1:]:
+    any_hit = F.col("_pr_n") == 0  # a group of NULLs alone stays, with no percentile
+    for h in hits:
         any_hit = any_hit | h
     return ranked.where(any_hit).groupBy(*g).agg(*outs)

@@ -159,6 +159,12 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
     as_struct = F.struct(F.col(_T), *[F.col(c).alias(f"_pt_tb{n}") for n, c in enumerate(tiebreak)],
                          *[F.col(c) for c in payload])
 
+    # The readings any left bucket sees besides its carried row: its own day and
+    # the days its frames reach back into. All copies below are made of these.
+    reach = 2 if rolling else 1
+    seen = Lc.select(key, F.explode(F.sequence(F.col(_D) - reach, F.col(_D))).alias(_D))
+    near = R.join(seen, [key, _D], "left_semi")
+
     # ---- pass 1: rolling aggregates at the break points of the right side
     if rolling:
         widths = sorted({r.width_us for r in rolling})
@@ -170,7 +176,7 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
                    for w in widths]
         carried = list(dict.fromkeys(list(tiebreak) + payload + roll_cols))
         enter = F.col("_pt_e.k") == ENTER
-        P1 = (R.select(key, *carried, F.explode(F.array(*events)).alias("_pt_e"))
+        P1 = (near.select(key, *carried, F.explode(F.array(*events)).alias("_pt_e"))
               .select(key, F.col("_pt_e.t").alias(_T), F.col("_pt_e.k").alias(_K),
                       F.col("_pt_e.rep").alias(_REP),
                       *[F.when(enter, F.col(c)).alias(c) for c in carried]))
@@ -188,7 +194,7 @@ def point_in_time(left: DataFrame, right: DataFrame, *, key: str, left_time: str
             for r in rolling])
         RT = P1.where(F.col(_REP) == 0).drop(_REP, _D, *only_rolling)
     else:
-        RT = R.withColumn(_K, F.lit(ENTER)).drop(_D, *only_rolling)
+        RT = near.withColumn(_K, F.lit(ENTER)).drop(_D, *only_rolling)
 
     # ---- carried as-of row: newest right row at least one full bucket
     # before the bucket's replicated history starts (day <= d - 2).

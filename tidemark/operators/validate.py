@@ -22,14 +22,6 @@ def reasons(rules: list[tuple[str, Column]]) -> Column:
                                      for name, bad in rules]))
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """Pass the rows through a generator so later filters on these columns
-    stay above it: the optimizer would otherwise inline every derived column
-    into a pushed-down filter and evaluate it twice (in the filter, then in
-    the projection), below any repartition."""
-    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
-
-
 def apply_rules(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
     r = reasons(rules)
     return (df.withColumn("reasons", r)

@@ -19,10 +19,15 @@ from tidemark.operators import lineage as lin
 from tidemark.operators import metrics as met
 from tidemark.operators import outcomes as outc
 from tidemark.operators import scoring as sco
+from tidemark.operators import serving as srv
 from tidemark.operators import snapshot as snp
 from tidemark.operators import validate as val
-from tidemark.plans.common import Inputs, round_doubles
-from tidemark.schemas import CONTRACT_VERSION, ENTITY_KEY, FEATURE_CONTRACT, FEATURE_ORDER, TARGET
+from tidemark.plans.common import Inputs, round6, round_doubles
+from tidemark.schemas import (
+    CONTRACT_VERSION, ENTITY_KEY, EVENT_NON_BLANK, EVENT_TIME_FIELDS, FEATURE_CONTRACT, FEATURE_ORDER, TARGET,
+    WINDOW_COUNT_FIELDS, WINDOW_ERROR_FIELDS, WINDOW_INPUT_FIELDS, WINDOW_NON_BLANK, WINDOW_OPTIONAL_DOUBLE,
+    WINDOW_OPTIONAL_LONG, WINDOW_PREDICTION_FIELDS,
+)
 from tidemark.sources.sinks import event_partitions, metrics_partitions
 from tidemark.sources.standins import zoned_text
 
@@ -168,7 +173,7 @@ def snapshot_lookup(spark, sf_dir):
 # ---------------------------------------------------------------- requests
 @register("request_normalize")
 def request_normalize(spark, sf_dir):
-    return outc.normalize_requests(Inputs(spark, sf_dir).requests)
+    return outc.normalize_requests(Inputs(spark, sf_dir).requests).drop("elapsed_ms")
 
 
 def request_codes(i: Inputs):
@@ -176,7 +181,7 @@ def request_codes(i: Inputs):
     req = outc.normalize_requests(i.requests)
     valid = req.where(F.col("status") == "ok").drop("status")
     checked = feat.reconstruct(valid, i.metrics).select("request_id", "station_id", "obs_ts",
-                                                         F.col("outcome").alias("code"))
+                                                         outc.zone_checked(F.col("outcome"), F.col("zoned")).alias("code"))
     rest = req.where(F.col("status") != "ok").select("request_id", "station_id", "obs_ts",
                                                       F.col("status").alias("code"))
     return checked.unionByName(rest)
@@ -221,6 +226,14 @@ def score_linear(spark, sf_dir):
     return round_doubles(scored.select("station_id", "obs_ts", "prediction"))
 
 
+@register("predict_requests")
+def predict_requests(spark, sf_dir):
+    """The serving path for every request: text to checked features to records."""
+    i = Inputs(spark, sf_dir)
+    out = srv.predict_requests(i.requests, i.metrics, LINEAR, DEFAULT_CONTRACT, "v1", latency_col="elapsed_ms")
+    return out.withColumn("prediction", round6("prediction"))
+
+
 # ---------------------------------------------------------------- metrics windows
 @register("metrics_window_counts")
 def metrics_window_counts(spark, sf_dir):
@@ -244,7 +257,7 @@ def prediction_quality(spark, sf_dir):
 
 @register("latency_percentiles")
 def latency_percentiles(spark, sf_dir):
-    return round_doubles(met.latency_percentiles(Inputs(spark, sf_dir).request_log))
+    return met.latency_percentiles(Inputs(spark, sf_dir).request_log)
 
 
 def valid_lineage(i: Inputs):
@@ -258,7 +271,7 @@ def window_records(i: Inputs):
 @register("metrics_window")
 def metrics_window(spark, sf_dir):
     """Full window records (heartbeat left out: it is the emission time)."""
-    return round_doubles(window_records(Inputs(spark, sf_dir)).drop("heartbeat_emitted_at"))
+    return window_records(Inputs(spark, sf_dir)).drop("heartbeat_emitted_at")
 
 
 @register("metrics_window_lineage")
@@ -274,11 +287,29 @@ def sink_metrics_layout(spark, sf_dir):
     return r.select("window_start", "deployment_id", "date", "hour", "minute")
 
 
+def broken(df, number, faults):
+    """Row with ``number`` modulo the list = n gets the n-th (field, bad value); 0 keeps its row whole."""
+    out = {}
+    for n, (field, bad) in enumerate(faults, 1):
+        out[field] = F.when(number % (len(faults) + 1) == n, bad.cast(df.schema[field].dataType)) \
+            .otherwise(out.get(field, F.col(field)))
+    return df.withColumns(out)
+
+
 @register("validate_windows")
 def validate_windows(spark, sf_dir):
-    v = val.validate_windows(window_records(Inputs(spark, sf_dir)))
-    return v.select("window_start", "endpoint_name", "deployment_id", "valid",
-                    F.array_join("reasons", ",").alias("reasons"))
+    """Every rule meets windows that break it."""
+    numbers = (WINDOW_COUNT_FIELDS + WINDOW_ERROR_FIELDS + WINDOW_INPUT_FIELDS + WINDOW_PREDICTION_FIELDS
+               + ["latency_p50_ms", "latency_p95_ms", "latency_p99_ms"] + WINDOW_OPTIONAL_DOUBLE + WINDOW_OPTIONAL_LONG)
+    none = F.lit(None)
+    faults = ([(c, F.lit("  ")) for c in WINDOW_NON_BLANK] + [("window_end", F.col("window_start"))]
+              + [(c, F.lit(-1)) for c in numbers]
+              + [("schema_version", F.lit("v0")), ("heartbeat_emitted_at", none), ("window_end", none)])
+    r = window_records(Inputs(spark, sf_dir)).withColumns(
+        {"deployment": F.col("deployment_id"), "endpoint": F.col("endpoint_name"),
+         "minute_no": F.timestamp_diff("MINUTE", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("window_start"))})
+    v = val.validate_windows(broken(r, F.col("minute_no"), faults))
+    return v.select("window_start", "endpoint", "deployment", "valid", F.array_join("reasons", ",").alias("reasons"))
 
 
 # ---------------------------------------------------------------- lineage and events
@@ -296,10 +327,14 @@ def deployment_events(spark, sf_dir):
 
 @register("validate_events")
 def validate_events(spark, sf_dir):
+    """Every rule meets events that break it."""
     i = Inputs(spark, sf_dir)
-    ev = lin.event_records(i.activations, lin.bundle_lineage(i.bundle_metadata))
-    v = val.validate_events(ev)
-    return v.select("deployment_id", "valid", F.array_join("reasons", ",").alias("reasons"))
+    faults = ([(c, F.lit(" ")) for c in EVENT_NON_BLANK] + [(c, F.lit(None)) for c in EVENT_TIME_FIELDS]
+              + [("event_type", F.lit("other")), ("schema_version", F.lit("v0"))])
+    ev = lin.event_records(i.activations, lin.bundle_lineage(i.bundle_metadata)) \
+        .withColumn("order_no", F.col("deployment_id").cast("long"))
+    v = val.validate_events(broken(ev, F.col("order_no"), faults))
+    return v.select("order_no", "valid", F.array_join("reasons", ",").alias("reasons"))
 
 
 @register("sink_events_layout")

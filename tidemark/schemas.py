@@ -75,9 +75,6 @@ OUTCOME_INVALID_REQUEST = "invalid_request"
 OUTCOME_INTERNAL = "internal"
 OUTCOME_MODEL_NOT_READY = "model_not_ready"
 
-# Serving error types counted in metrics windows.
-ERROR_TYPES = ["feature_lookup", "model_load", "inference_runtime", "internal"]
-
 ENDPOINT = "/predict"
 SCHEMA_VERSION = "v1"
 EVENT_TYPE = "serving_deployment_activated"
@@ -103,7 +100,6 @@ LINEAGE_STRING_FIELDS = [
     "model_name", "model_version", "bundle_id", "bundle_uri",
     "input_dataset_name", "input_dataset_version",
 ]
-LINEAGE_TIME_FIELDS = ["bundle_created_at", "started_at", "completed_at"]
 
 # Deployment event record, in contract order.
 EVENT_FIELDS = [

@@ -1,3 +1,3 @@
 """Sources (tables, artifacts, stand-in derivations) and sinks."""
 
-from tidemark.sources.tables import load_table, load_tables  # noqa: F401
+from tidemark.sources.tables import load_table  # noqa: F401

@@ -44,18 +44,19 @@ def station_metrics(events: DataFrame, n_stations: int = 8) -> DataFrame:
 
 
 def observation_points(events: DataFrame, n_stations: int = 8) -> DataFrame:
-    """Distinct (station_id, obs_ts) from purchases; one more station than the
+    """Distinct (station_id, obs_ts) of all events; one more station than the
     metrics have, so the last station is never found."""
     n_obs = n_stations + 1
-    return (events.where(F.col("event_type") == "purchase")
+    return (events
             .select(_station(F.pmod(F.col("user_id") + F.col("event_id"), F.lit(n_obs))).alias("station_id"),
                     (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("obs_ts"))
             .distinct())
 
 
 def request_text(events: DataFrame, n_stations: int = 8) -> DataFrame:
-    """Raw prediction requests as text: padded or blank ids, timestamps in
-    several ISO shapes, some zoned (rejected as internal) or unparsable."""
+    """Raw prediction requests as text: padded or blank ids, times in many
+    shapes (basic and extended, week dates, zones, and text that is no time),
+    and the milliseconds each took."""
     n_obs = n_stations + 1
     eid = F.col("event_id")
     obs_ts = F.col("ts") + F.expr("INTERVAL 10 MINUTES")
@@ -64,18 +65,27 @@ def request_text(events: DataFrame, n_stations: int = 8) -> DataFrame:
               .otherwise(F.concat(F.when(F.pmod(eid, F.lit(3)) == 0, F.lit(" ")).otherwise(F.lit("")),
                                   station,
                                   F.when(F.pmod(eid, F.lit(4)) == 0, F.lit("\t")).otherwise(F.lit("")))))
-    shape = F.pmod(eid, F.lit(6))
-    ts_text = (F.when(shape == 0, F.date_format(obs_ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-               .when(shape == 1, F.date_format(obs_ts, "yyyy-MM-dd HH:mm:ss"))
-               .when(shape == 2, F.concat(F.date_format(obs_ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")))
-               .when(shape == 3, F.concat(F.date_format(obs_ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
-               .when(shape == 4, F.lit("not-a-time"))
-               .otherwise(F.date_format(obs_ts, "yyyy-MM-dd'T'HH:mm")))
-    return (events.where(F.col("event_type") == "purchase")
-            .select(eid.alias("request_id"), entity.alias("entity_id"), ts_text.alias("timestamp")))
-
-
-def request_log(events: DataFrame, n_deployments: int = 5) -> DataFrame:
+
+    def text(pattern: str) -> Column:
+        return F.date_format(obs_ts, pattern)
+
+    second = text("yyyy-MM-dd'T'HH:mm:ss")
+    jan4_year = F.extract(F.lit("YEAROFWEEK"), obs_ts).cast("string")
+    week = F.concat(jan4_year, F.lit("-W"), F.lpad(F.weekofyear(obs_ts).cast("string"), 2, "0"),
+                    F.lit("-"), (F.weekday(obs_ts) + 1).cast("string"), text("'T'HH"))
+    shapes = [text("yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), text("yyyy-MM-dd HH:mm:ss"), F.concat(second, F.lit("Z")),
+              F.concat(second, F.lit("+00:00")), F.lit("not-a-time"), text("yyyy-MM-dd'T'HH:mm"),
+              text("yyyyMMdd'T'HHmmss"), week, text("yyyy-MM"), text("yyyy-MM-dd'T'HH:mm:ss,SSSSSS"),
+              F.concat(second, F.lit(" UTC")), F.concat(second, F.lit("-0530")), F.concat(second, F.lit("+02")),
+              text("yyyy-MM-dd"), F.lit("2024-1-1T1:2:3"), F.concat(F.lit(" "), second), text("yyyy")]
+    ts_text = F.lit(None).cast("string")
+    for n, shape in enumerate(shapes):
+        ts_text = F.when(F.pmod(eid, F.lit(len(shapes))) == n, shape).otherwise(ts_text)
+    return events.select(eid.alias("request_id"), entity.alias("entity_id"), ts_text.alias("timestamp"),
+                         (F.col("value") / 7).alias("elapsed_ms"))
+
+
+def request_log(events: DataFrame, n_deployments: int = 30) -> DataFrame:
     """Request outcomes: completion time, latency, outcome, error type, prediction."""
     eid = F.col("event_id")
     outcome = (F.when(F.col("event_type") == "error", F.lit("failure"))

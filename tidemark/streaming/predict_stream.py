@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.contract import Contract
+from tidemark.operators.scoring import broadcast_model
 from tidemark.operators.serving import predict_requests
 from tidemark.session import checkpoint_dir
 
@@ -22,8 +23,10 @@ def start_prediction_stream(requests: DataFrame, metrics: DataFrame, model, cont
     spark = requests.sparkSession
     ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/prediction-stream"
 
+    shared = None if model is None else broadcast_model(spark, model)  # once for all batches
+
     def _batch(batch: DataFrame, batch_id: int) -> None:
-        out = (predict_requests(batch, metrics, model, contract, model_version)
+        out = (predict_requests(batch, metrics, shared, contract, model_version)
                .withColumn("completed_at", F.current_timestamp().cast("timestamp_ntz"))
                .withColumn("batch_id", F.lit(batch_id)))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

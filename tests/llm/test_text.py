@@ -76,6 +76,16 @@ def test_bands_reject_noise_and_loops(spark):
     assert kept == set(range(200))
 
 
+def test_bands_follow_the_spread_of_each_side(spark):
+    """Skewed and narrow distributions: junk a few spreads out is rejected on both sides, the bulk stays."""
+    rng = np.random.default_rng(6)
+    z = np.clip(rng.normal(0, 1, 4000), -2.8, 2.8)
+    bulk = 2 + np.where(z < 0, 0.02 * z, 0.03 * z)
+    rows = [("xx", False, float(x)) for x in [*bulk, *[1.9] * 60, *[2.15] * 60]] + [("xx", True, 9.0)] * 4000
+    (low, high), = op2.bands(spark.createDataFrame(rows, "lang string, base_failed boolean, log_ppl double")).values()
+    assert 1.9 < low < bulk.min() and bulk.max() < high < 2.15
+
+
 def test_toxicity_learns_from_its_folds_and_is_fair(spark):
     rng = np.random.default_rng(4)
     words = [f"w{''.join(rng.choice(list('abcdefg'), 5))}" for _ in range(300)]

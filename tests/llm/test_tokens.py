@@ -119,6 +119,29 @@ def test_scan_learns_and_adds_but_never_drops(spark):
     assert got[1000]["n_cnn"] == 1 and sum(r["n_cnn"] for r in got.values()) <= 4
 
 
+def test_threshold_keeps_its_recall_below_a_half():
+    net = op9.CharCNN()
+    bins, y, n = np.array([-200, -20, 300, -200, -20]), np.array([1, 1, 1, 0, 0]), np.array([1.0, 19.0, 180.0, 4000.0, 400.0])
+    net.calibrate(bins, y, n, 0.99)
+    assert net.threshold < net.probability(np.array([-20 / op9.BINS]))[0] < 0.5
+    assert net.threshold > net.probability(np.array([-200 / op9.BINS]))[0]
+
+
+def test_calibration_counts_every_finding(spark):
+    """The calibrated probabilities have the corpus's ratio of labels, also where the sample's is 1:1."""
+    rng = np.random.default_rng(8)
+    key = lambda n: "".join(rng.choice(list("abcdefABCDEF0123456789"), n))
+    rows = [(k, f"use token = {key(24)} here" if k < 120 else f"see page {key(8)}.{key(4)} there") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    net = op9.fit(docs, sample=60)
+    p = net.score([op9.windows(t, s, e) for _, t in rows for s, e in op9.candidates(t)])
+    assert len(p) > 1400 and p.mean() < 0.2
+    found = docs.mapInArrow(op9._labelled, "h bigint, label int, codes binary").distinct()
+    every = {0: (-1, b""), 1: (-1, b"")}
+    bins, y, n = op9.score_counts(found, net, every, True)
+    assert n.sum() == 2 * found.count() and n[y == 1].sum() == 2 * found.where("label = 1").count()
+
+
 def test_scan_without_labels_or_rows(spark, docs, none):
     assert op9.fit(none) is None
     assert op9.scan(none, None).count() == 0

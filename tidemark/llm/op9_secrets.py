@@ -12,9 +12,12 @@ overlaps are positive, all others negative. It is fitted on a bounded sample
 (``SAMPLE`` findings per label, those of least hash over the whole corpus)
 with each secret's surroundings blanked half of the time, so that it learns
 the string and not just the key word before it. A third of the sample, by
-hash, is held out, with and without surroundings: Platt scaling is fitted on
-it, and the threshold is the highest that keeps ``RECALL`` of the held-out
-positives (at least 0.5).
+hash, is held out. Spark then scores every distinct labelled finding of the
+corpus, with and without surroundings, and counts them by label and score bin
+(``BINS`` a logit): Platt scaling is fitted on these counts, at the corpus's own
+ratio of labels, and the threshold is the highest that keeps ``RECALL`` of the
+positives. Findings that the network was fitted on have no say of their own:
+the held-out third of the sample stands for them, with their number.
 
 Defined results: a null or empty text has no findings (0 counts, the digest
 of the empty string, empty spans); repeated rows each give a row; a null id
@@ -28,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +59,7 @@ RECALL = 0.99
 WIDTH = 40  # characters of a candidate in one window
 CONTEXT = 16  # characters on either side
 STEP = 24
+BINS, EDGE = 64, 64  # score bins a logit, and the logit beyond which scores share a bin
 EMBED, FILTERS, SPAN = 8, 24, 5
 EPOCHS = 12
 
@@ -157,19 +162,26 @@ class CharCNN:
         return {"emb": demb, "conv": dconv + 1e-4 * self.p["conv"], "cb": dtop.sum(0), "out": act.T @ d + 1e-4 * self.p["out"],
                 "ob": np.array([d.sum()])}
 
-    def calibrate(self, z: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        """Platt scaling, then the highest threshold that keeps ``recall`` of the positives, 0.5 at least."""
-        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    def calibrate(self, bins: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = RECALL) -> None:
+        """Platt scaling of counts ``n`` by score bin and label, then the highest threshold that keeps ``recall`` of the positives."""
+        z = (bins + 0.5) / BINS
+        positives, negatives = n[y == 1].sum(), n[y == 0].sum()
+        target = np.where(y == 1, (positives + 1) / (positives + 2), 1 / (negatives + 2))
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps on two parameters
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            g = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
-            w = p * (1 - p)
+            g = np.array([(n * (p - target) * z).sum() + 1e-3 * (a - 1), (n * (p - target)).sum()])
+            w = n * p * (1 - p)
             h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum()]]) + 1e-6 * np.eye(2)
             a, b = np.array([a, b]) - np.clip(np.linalg.solve(h, g), -1, 1)
         self.slope, self.offset = float(max(a, 1e-3)), float(b)
-        positive = np.sort(self.probability(z[y == 1]))
-        self.threshold = max(0.5, float(positive[int((1 - recall) * len(positive))]) - 1e-9) if len(positive) else 1.0
+        if positives <= 0:
+            self.threshold = 1.0
+            return
+        order = np.argsort(-bins[y == 1], kind="stable")
+        kept = np.cumsum(n[y == 1][order])
+        lowest = int(bins[y == 1][order][np.searchsorted(kept, recall * positives * (1 - 1e-12))])
+        self.threshold = float(self.probability(np.array([lowest / BINS]))[0]) - 1e-9 if lowest > -EDGE * BINS else 0.0
 
     def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -30, 30)))
@@ -196,8 +208,43 @@ def _labelled(batches):
                                          ["h", "label", "codes"])
 
 
+def _held(codes: bytes) -> bool:
+    return zlib.crc32(codes) // 7 % 3 == 0
+
+
+def _bins(net: CharCNN, last: dict[int, tuple[int, bytes]], fold: bool):
+    """Counts by label, score bin and part: 0 beyond the sample, 1 its held-out findings, 2 those the network was fitted on."""
+    def bins(batches):
+        counts: Counter = Counter()
+        for b in sliced(batches):
+            if not b.num_rows:
+                continue
+            codes, labels = b.column("codes").to_pylist(), b.column("label").to_pylist()
+            x = np.stack([np.frombuffer(c, np.int16) for c in codes]).astype(np.int64)
+            part = [0 if (h, c) > last[y] else 1 if not fold or _held(c) else 2
+                    for h, c, y in zip(b.column("h").to_pylist(), codes, labels)]
+            for seen in (x, np.where(x >= ALPHABET, x, 0)):
+                at = np.floor(np.clip(net.logits(seen), -EDGE, EDGE) * BINS).astype(int)
+                counts.update(zip(labels, at.tolist(), part))
+        rows = [(*k, n) for k, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int64()))],
+                                         ["label", "bin", "part", "n"])
+    return bins
+
+
+def score_counts(found: DataFrame, net: CharCNN, last: dict[int, tuple[int, bytes]], fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Score bins, labels and counts of all distinct findings; the sample's held-out part also stands for the fitted one."""
+    rows = (found.mapInArrow(_bins(net, last, fold), "label int, bin int, part int, n bigint")
+            .groupBy("label", "bin", "part").agg(F.sum("n").alias("n")).orderBy("label", "bin", "part").collect())
+    sums = {(y, k): sum(r["n"] for r in rows if (r["label"], r["part"]) == (y, k)) for y in (0, 1) for k in (1, 2)}
+    weight = {(y, 0): 1.0 for y in (0, 1)} | {(y, 1): (sums[y, 1] + sums[y, 2]) / max(1, sums[y, 1]) for y in (0, 1)}
+    rows = [r for r in rows if r["part"] < 2]
+    return (np.array([r["bin"] for r in rows]), np.array([r["label"] for r in rows]),
+            np.array([r["n"] * weight[r["label"], r["part"]] for r in rows]))
+
+
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, recall: float = RECALL) -> CharCNN | None:
-    """Network fitted on at most ``sample`` distinct findings of each label, those of least hash."""
+    """Network fitted on at most ``sample`` distinct findings of each label, those of least hash, and calibrated on all."""
     found = docs.select(text_of(text_col).alias("text")).mapInArrow(_labelled, "h bigint, label int, codes binary").distinct()
     found = saved(found, scratch(docs.sparkSession, "findings"))
     rows = [r for label in (0, 1)
@@ -206,14 +253,15 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, recall: f
     if len(set(y.tolist())) < 2:
         return None
     x = np.stack([np.frombuffer(r["codes"], np.int16) for r in rows]).astype(np.int64)
-    held = np.array([zlib.crc32(r["codes"]) // 7 % 3 == 0 for r in rows])
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+    held = np.array([_held(bytes(r["codes"])) for r in rows])
+    fold = len(set(y[held].tolist())) == 2 and len(set(y[~held].tolist())) == 2
+    if not fold:
         held = np.zeros(len(y), bool)
     net = CharCNN()
     bare = np.where(x >= ALPHABET, x, 0)
     net.fit(np.concatenate([x[~held], bare[~held]]), np.concatenate([y[~held], y[~held]]))
-    check = held if held.any() else ~held
-    net.calibrate(net.logits(np.concatenate([x[check], bare[check]])), np.concatenate([y[check], y[check]]), recall)
+    last = {label: max((r["h"], bytes(r["codes"])) for r in rows if r["label"] == label) for label in (0, 1)}
+    net.calibrate(*score_counts(found, net, last, fold), recall)
     return net
 
 

@@ -32,9 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the source, language and topic targets."""
+    """A sample whose expected tokens meet the source, language and topic targets, as far as there are tokens."""
     bound_batches(spark)
-    return op4_mixture.sample(docs)
+    return op4_mixture.sample(docs, tolerance=op4_mixture.TOLERANCE)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

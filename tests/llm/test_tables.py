@@ -55,6 +55,32 @@ def test_mixture_meets_targets(spark):
     assert fixed == 0.0
 
 
+def water(raw, tokens, goal):
+    """Plain water-filling: scarce groups whole, the rest in proportion."""
+    full = set()
+    while True:
+        left = goal - sum(tokens[k] for k in full)
+        level = left / sum(raw[k] for k in raw if k not in full)
+        more = {k for k in raw if k not in full and level * raw[k] > tokens[k]}
+        if not more:
+            return {k: tokens[k] if k in full else level * raw[k] for k in raw}
+        full |= more
+
+
+def test_mixture_meets_all_marginals_at_production_parameters(spark):
+    """Scarce topics are whole, and sources, languages and the other topics meet their targets."""
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    got = op4.mixture(docs, tolerance=op4.TOLERANCE).toPandas()
+    total = got.n_tokens.sum()
+    assert abs((got.n_tokens * got.probability).sum() / (op4.RATE * total) - 1) < 0.002
+    for kind in ("source", "lang", "topic"):
+        tokens = got.groupby(kind).n_tokens.sum().to_dict()
+        goal = water({k: (n / total) ** op4.POWER for k, n in tokens.items()}, tokens, op4.RATE * total)
+        expected = (got.n_tokens * got.probability).groupby(got[kind]).sum()
+        assert all(abs(expected[k] / goal[k] - 1) < 0.002 for k in goal), kind
+    assert got[got.topic != "prose"].probability.min() == 1.0
+
+
 def test_mixture_edges(spark, docs, none):
     got = op4.mixture(docs).collect()
     assert len(got) == docs.count() and all(0 <= r["probability"] <= 1 for r in got)

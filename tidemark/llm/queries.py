@@ -13,6 +13,7 @@ from tidemark.llm import (
     op8_packed_ids,
     op9_secrets,
     op10_decontaminate,
+    op11_repeats,
 )
 
 LLM_QUERIES = {
@@ -26,4 +27,5 @@ LLM_QUERIES = {
     "op8_packed_ids": op8_packed_ids.query,
     "op9_secrets": op9_secrets.query,
     "op10_decontaminate": op10_decontaminate.query,
+    "op11_repeats": op11_repeats.query,
 }

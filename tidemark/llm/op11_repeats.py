@@ -235,7 +235,7 @@ class Repeats:
         else:
             asked = texts.groupBy("chunk").applyInArrow(lambda t: ask(t), packed.QUESTION)
         reply = packed.frequent(2, k) if k < ladder.exact else _repeated(k)
-        answers = asked.groupBy("bucket").applyInArrow(lambda t: reply(t), packed.ANSWER)
+        answers = asked.groupBy("bucket").applyInArrow(reply, packed.ANSWER)
         self.answers.append(saved(answers, scratch(self.spark, f"repeats-level-{ladder.lengths[k]}")))
 
     def per_document(self) -> DataFrame:

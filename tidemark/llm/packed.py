@@ -130,7 +130,7 @@ def empty_question() -> pa.Table:
 
 def cogrouped(table: DataFrame, answers: DataFrame, func: Callable, schema: str) -> DataFrame:
     """``func(chunk row, its answers)`` for every chunk; the chunk table is not moved."""
-    return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, a: func(t, a), schema)
+    return table.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(func, schema)
 
 
 def total(table: DataFrame, column: str) -> int:

@@ -14,6 +14,8 @@ from tidemark.llm import (
     op9_secrets,
     op10_decontaminate,
     op11_repeats,
+    op12_collocations,
+    op13_orchard,
 )
 
 LLM_QUERIES = {
@@ -28,4 +30,6 @@ LLM_QUERIES = {
     "op9_secrets": op9_secrets.query,
     "op10_decontaminate": op10_decontaminate.query,
     "op11_repeats": op11_repeats.query,
+    "op12_collocations": op12_collocations.query,
+    "op13_orchard": op13_orchard.query,
 }

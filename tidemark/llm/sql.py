@@ -73,4 +73,50 @@ SELECT w.doc_id, coalesce(any_value(n.k), 0)::BIGINT AS n_shingles, min(r.c) AS
 FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
 """
 
-LLM_ORACLES = {"op4_mixture": mixture(), "op6_warc": WARC, "op7_ngram_jaccard": JACCARD}
+REPEATS = f"""
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
+p AS MATERIALIZED (
+  SELECT row_id, unnest(list_transform(range(1, greatest(len(ws) - 33, 1)), lambda i: md5(array_to_string(ws[i:i + 34], ' ')))) AS k,
+         unnest(range(1, greatest(len(ws) - 33, 1))) AS i
+  FROM w),
+again AS (SELECT k FROM p GROUP BY k HAVING count(*) > 1),
+starts AS MATERIALIZED (SELECT row_id, i FROM p SEMI JOIN again USING (k)),
+gone AS (SELECT DISTINCT row_id, i + j AS pos FROM (SELECT row_id, i, unnest(range(0, 35)) AS j FROM starts)),
+words AS (SELECT row_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (SELECT row_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM words ANTI JOIN gone USING (row_id, pos) GROUP BY row_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (row_id)
+"""
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+grams AS (
+  SELECT lang, 1 AS size, unnest(ws) AS g FROM w UNION ALL
+  SELECT lang, 2, unnest(list_transform(range(1, greatest(len(ws), 1)), lambda i: array_to_string(ws[i:i + 1], ' '))) FROM w UNION ALL
+  SELECT lang, 3, unnest(list_transform(range(1, greatest(len(ws) - 1, 1)), lambda i: array_to_string(ws[i:i + 2], ' '))) FROM w),
+f AS MATERIALIZED (SELECT lang, size, g, count(*) AS c FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, size, g, c AS a, string_split(g, ' ') AS v FROM f WHERE size > 1 AND c >= 10),
+cuts AS (
+  SELECT lang, g, a, k, array_to_string(v[1:k], ' ') AS head, array_to_string(v[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand)),
+scored AS (
+  SELECT cuts.lang, cuts.g, a, k, x.c AS l, y.c AS r, (1000000::HUGEINT * a * a // (x.c::HUGEINT * y.c))::BIGINT AS score
+  FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.g = head JOIN f AS y ON y.lang = cuts.lang AND y.g = rest),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+around AS (
+  SELECT lang, g, max(a) AS longer
+  FROM (SELECT lang, a, unnest([array_to_string(v[1:2], ' '), array_to_string(v[2:3], ' ')]) AS g FROM cand WHERE size = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM worst JOIN total USING (lang) LEFT JOIN around USING (lang, g)
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""
+
+LLM_ORACLES = {"op4_mixture": mixture(), "op6_warc": WARC, "op7_ngram_jaccard": JACCARD, "op11_repeats": REPEATS,
+               "op12_collocations": COLLOCATIONS}

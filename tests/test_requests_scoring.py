@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from helpers import OBS_TS, metrics_df, metrics_rows
-from tidemark.functions.scalars import iso_time
+from tidemark.functions.scalars import iso_time, with_iso
 from tidemark.operators import outcomes as outc
 from tidemark.operators import scoring as sco
 from tidemark.operators.contract import Contract
@@ -103,3 +103,18 @@ def test_linear_model_and_nan_for_missing(spark):
     got = [r["prediction"] for r in sco.score(df, lm, ["a", "b"]).collect()]
     assert got[0] == 4.5 and np.isnan(got[1])
     assert lm.predict(np.array([[1.0, 2.0]]))[0] == 4.5
+
+
+def test_text_is_parsed_once_a_row(spark):
+    """The plan form gives what the expression gives, and a filter on a parsed time parses nothing again."""
+    df = spark.createDataFrame([(k, s, SHAPES[-1 - k]) for k, s in enumerate(SHAPES)]
+                               + [(98, "2024-01-01T12:00:00Z\n", None), (99, "0000-01-01T00:00:00", "")],
+                               "k int, s string, t string")
+    want = {r["k"]: (r["a"], r["b"]) for r in df.select("k", iso_time("s").alias("a"), iso_time("t").alias("b")).collect()}
+    parsed = with_iso(df, {"a": F.col("s"), "b": F.col("t")})
+    assert parsed.columns == ["k", "s", "t", "a", "b"]
+    assert {r["k"]: (r["a"], r["b"]) for r in parsed.collect()} == want
+    late = parsed.where(F.col("a.utc") > F.lit("2020-01-01").cast("timestamp_ntz")).where(F.col("b.wall").isNotNull())
+    plan = late.select("k", "a.utc", "a.wall", "b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?!0000)") == 2 and plan.count("regexp_replace(") == 2, plan
+    assert late.count() == sum(a["utc"] is not None and b["wall"] is not None and a["utc"].year >= 2020 for a, b in want.values())

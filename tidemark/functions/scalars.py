@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,9 +16,12 @@ def _epoch() -> Column:
 _DATE = r"(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2})|-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)"
 _CLOCK = r"(\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?|(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?"
 _ZONE = r"(Z|[+-]\d{2}(?::?[0-5]\d(?::?[0-5]\d)?)?)"
-ISO_PATTERN = f"(?s)^{_DATE}(?:.{_CLOCK}{_ZONE}?)?$"
+ISO_PATTERN = rf"(?s)^{_DATE}(?:.{_CLOCK}{_ZONE}?)?\z"
 _PARTS = "$1|$2$4|$3$5|$6$8|$7$9|$10|$11$14|$12$15|$13$16|$17"  # year .. fraction, zone
 
+# The shape that most text has; it is cast as it stands.
+COMMON_PATTERN = r"^(?!0000)\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(?:\.\d{1,6})?(?:Z|[+-]\d\d:[0-5]\d)?\z"
+
 
 def _bound(value: Column, fn) -> Column:
     """``fn`` of a value that is evaluated once however often ``fn`` names it."""
@@ -26,24 +29,44 @@ def _bound(value: Column, fn) -> Column:
 
 
 def _date_text(year: Column, month: Column, day: Column, week: Column, weekday: Column) -> Column:
-    def of_week(jan4: Column) -> Column:  # 4 January is always in ISO week 1
-        nth, on = week.try_cast("int"), F.coalesce(weekday.try_cast("int"), F.lit(1))
-        return _bound(F.date_add(jan4, (nth - 1) * 7 + on - 1 - F.weekday(jan4)),
-                      lambda d: F.when((F.weekofyear(d) == nth) & on.between(1, 7), d.cast("string")))
-
+    nth, on = week.try_cast("int"), F.coalesce(weekday.try_cast("int"), F.lit(1))
+    jan4 = F.make_date(year.try_cast("int"), F.lit(1), F.lit(4))  # always in ISO week 1
+    d = F.date_add(jan4, (nth - 1) * 7 + on - 1 - F.weekday(jan4))
     return (F.when(week == "", F.concat_ws("-", year, month, day))
-            .otherwise(_bound(F.make_date(year.try_cast("int"), F.lit(1), F.lit(4)), of_week)))
+            .when((F.weekofyear(d) == nth) & on.between(1, 7), d.cast("string")))
 
 
 def _offset_seconds(zone: Column) -> Column:
-    def digits(z: Column) -> Column:
-        def at(n: int) -> Column:
-            return F.coalesce(F.substring(z, n, 2).try_cast("int"), F.lit(0))
+    z = F.replace(zone, F.lit(":"), F.lit(""))
+
+    def at(n: int) -> Column:
+        return F.coalesce(F.substring(z, n, 2).try_cast("int"), F.lit(0))
+
+    size = at(2) * 3600 + at(4) * 60 + at(6)
+    return F.when(zone != "", F.when(F.startswith(z, F.lit("-")), -size).otherwise(size))
+
+
+def _iso_parts(c: Column) -> Column:
+    return F.split(F.when(c.rlike(ISO_PATTERN), F.regexp_replace(c, ISO_PATTERN, _PARTS)), r"\|")
+
+
+def _read(part: Column) -> tuple[Column, Column]:
+    """(time as written, seconds ahead of UTC) of the parts of a text."""
+    year, month, day, week, weekday, hour, minute, second, fraction, zone = (F.get(part, F.lit(n)) for n in range(10))
 
-        size = at(2) * 3600 + at(4) * 60 + at(6)
-        return F.when(F.startswith(z, F.lit("-")), -size).otherwise(size)
+    def two(x: Column) -> Column:
+        return F.lpad(x, 2, "0")  # absent: 00
 
-    return F.when(zone != "", _bound(F.replace(zone, F.lit(":"), F.lit("")), digits))
+    text = F.concat(F.when(year != "0000", _date_text(year, month, day, week, weekday)), F.lit(" "),
+                    two(hour), F.lit(":"), two(minute), F.lit(":"), two(second),
+                    F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0"))
+    return text.try_cast("timestamp_ntz"), _offset_seconds(zone)
+
+
+def _checked(wall: Column, offset: Column) -> Column:
+    known = wall.isNotNull() & F.coalesce(F.abs(offset) < 86400, F.lit(True))
+    return F.struct(F.when(known, wall).alias("wall"), F.when(known, offset).alias("offset"),
+                    F.when(known, F.timestamp_add("SECOND", -offset, wall)).alias("utc"))
 
 
 def iso_time(col: Column | str) -> Column:
@@ -52,28 +75,56 @@ def iso_time(col: Column | str) -> Column:
 
     All are NULL for text of no such shape or with values out of range;
     offset and utc are NULL for text without a zone. No surrounding
-    whitespace is taken; a fraction is cut to microseconds.
+    whitespace is taken; a fraction is cut to microseconds. An expression for
+    single uses; ``with_iso`` evaluates the same in a plan, once a row.
     """
     c = F.col(col) if isinstance(col, str) else col
 
-    def read(part: Column) -> Column:
-        year, month, day, week, weekday, hour, minute, second, fraction, zone = (F.get(part, F.lit(n)) for n in range(10))
+    def struct(part: Column) -> Column:
+        wall, offset = _read(part)
+        return F.struct(wall.alias("wall"), offset.alias("offset"))
 
-        def two(x: Column) -> Column:
-            return F.lpad(x, 2, "0")  # absent: 00
+    return _bound(_bound(_iso_parts(c), struct), lambda t: _checked(t["wall"], t["offset"]))
 
-        text = F.concat(F.when(year != "0000", _date_text(year, month, day, week, weekday)), F.lit(" "),
-                        two(hour), F.lit(":"), two(minute), F.lit(":"), two(second),
-                        F.lit("."), F.rpad(F.substring(fraction, 1, 6), 6, "0"))
-        return F.struct(text.try_cast("timestamp_ntz").alias("wall"), _offset_seconds(zone).alias("offset"))
 
-    def checked(t: Column) -> Column:
-        known = t["wall"].isNotNull() & F.coalesce(F.abs(t["offset"]) < 86400, F.lit(True))
-        return F.struct(F.when(known, t["wall"]).alias("wall"), F.when(known, t["offset"]).alias("offset"),
-                        F.when(known, F.timestamp_add("SECOND", -t["offset"], t["wall"])).alias("utc"))
+def settled(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns of ``cols``, each evaluated once a row.
+
+    The optimizer puts the expression of a projected column into every filter
+    and projection above that names it; it does not do so with what a
+    generator gives, so the columns come from a generator of one row.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()])))
+    return df.select("*", made.alias("_settled")).select(*[F.col(c) for c in df.columns], "_settled.*")
 
-    parts = F.split(F.when(c.rlike(ISO_PATTERN), F.regexp_replace(c, ISO_PATTERN, _PARTS)), r"\|")
-    return _bound(_bound(parts, read), checked)
+
+def with_iso(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """``df`` with a struct as of ``iso_time`` for each named text, parsed once a row.
+
+    Text of the common shape (``COMMON_PATTERN``) is cast at once; the other
+    shapes are taken apart only where a text has none of it.
+    """
+    def name(k: int, what: str) -> str:
+        return f"_iso{k}_{what}"
+
+    n = range(len(texts))
+    at = [F.col(name(k, "text")) for k in n]
+    out = df.select("*", *[c.alias(name(k, "text")) for k, c in enumerate(texts.values())])
+    out = out.select("*", *[at[k].rlike(COMMON_PATTERN).alias(name(k, "common")) for k in n])
+    out = out.select("*", *[F.when(F.col(name(k, "common")), F.when(F.endswith(at[k], F.lit("Z")), F.lit("Z"))
+                                   .when(F.substring(at[k], -6, 1).isin("+", "-"), F.substring(at[k], -6, 6))
+                                   .otherwise(F.lit(""))).alias(name(k, "zone")) for k in n],
+                     *[F.when(~F.col(name(k, "common")), _iso_parts(at[k])).alias(name(k, "parts")) for k in n])
+    read = []
+    for k in n:
+        common, zone = F.col(name(k, "common")), F.col(name(k, "zone"))
+        wall, offset = _read(F.col(name(k, "parts")))
+        read += [F.when(common, F.substring(at[k], F.lit(1), F.length(at[k]) - F.length(zone)).try_cast("timestamp_ntz"))
+                 .otherwise(wall).alias(name(k, "wall")),
+                 F.when(common, _offset_seconds(zone)).otherwise(offset).alias(name(k, "offset"))]
+    out = out.select(*df.columns, *read)
+    made = settled(out, {c: _checked(F.col(name(k, "wall")), F.col(name(k, "offset"))) for k, c in enumerate(texts)})
+    return made.select(*df.columns, *texts)
 
 
 def micros(col: Column | str) -> Column:

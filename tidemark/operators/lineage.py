@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import non_blank, parse_zoned_utc, py_strip
+from tidemark.functions.scalars import non_blank, py_strip, with_iso
 from tidemark.operators.validate import apply_rules, blank_rules
 from tidemark.schemas import EVENT_FIELDS, EVENT_TYPE, SCHEMA_VERSION
 
@@ -56,7 +56,8 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
             .when(F.startswith(raw, F.lit("file:")), F.substring(raw, 6, 1 << 30))
             .otherwise(raw))
     bundle_dir = _parent(path)  # the version folder holding the model file
-    ctx = meta.select(
+    times = with_iso(meta, {f"_{c}": F.col(c) for c in ("trained_at", "started_at", "completed_at")})
+    ctx = times.select(
         F.lit(settings.service_name).alias("service_name"),
         F.lit(settings.service_version).alias("service_version"),
         F.lit(settings.environment).alias("environment"),
@@ -66,11 +67,11 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
         F.col("model_version"),
         bundle_dir.alias("bundle_id"),
         F.concat(F.lit("file://"), _uri_path(bundle_dir)).alias("bundle_uri"),
-        parse_zoned_utc(F.col("trained_at"), strip=False).alias("bundle_created_at"),
+        F.col("_trained_at.utc").alias("bundle_created_at"),
         F.when(non_blank("input_dataset_name"), py_strip("input_dataset_name")).alias("input_dataset_name"),
         F.when(non_blank("input_dataset_version"), py_strip("input_dataset_version")).alias("input_dataset_version"),
-        parse_zoned_utc(F.col("started_at"), strip=False).alias("started_at"),
-        parse_zoned_utc(F.col("completed_at"), strip=False).alias("completed_at"),
+        F.col("_started_at.utc").alias("started_at"),
+        F.col("_completed_at.utc").alias("completed_at"),
     )
     rules = (
         [("model_version_missing", ~non_blank("model_version"))]

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import iso_time, non_blank, py_strip
+from tidemark.functions.scalars import non_blank, py_strip, with_iso
 from tidemark.schemas import (
     OUTCOME_DOMAIN, OUTCOME_DTYPE, OUTCOME_INTERNAL, OUTCOME_INVALID_REQUEST, OUTCOME_MISSING,
     OUTCOME_MODEL_NOT_READY, OUTCOME_NOT_FOUND, OUTCOME_OK, OUTCOME_STALE,
@@ -36,7 +36,7 @@ def normalize_requests(req: DataFrame, id_col: str = "entity_id", ts_col: str =
               .when(~absent & t["wall"].isNull(), F.lit(OUTCOME_INTERNAL))
               .otherwise(F.lit(OUTCOME_OK)))
     others = [c for c in req.columns if c not in (id_col, ts_col)]
-    return req.withColumn("_iso", iso_time(text)).select(*others, ent.alias(key), obs_ts.alias("obs_ts"), zoned.alias("zoned"), status.alias("status"))
+    return with_iso(req, {"_iso": text}).select(*others, ent.alias(key), obs_ts.alias("obs_ts"), zoned.alias("zoned"), status.alias("status"))
 
 
 def zone_checked(outcome: Column, zoned: Column) -> Column:

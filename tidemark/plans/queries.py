@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import iso_text, parse_zoned_utc
+from tidemark.functions.scalars import iso_text, py_strip, with_iso
 from tidemark.operators import contract as con
 from tidemark.operators import features as feat
 from tidemark.operators import lineage as lin
@@ -346,6 +346,5 @@ def sink_events_layout(spark, sf_dir):
 
 @register("normalize_utc")
 def normalize_utc(spark, sf_dir):
-    z = zoned_text(Inputs(spark, sf_dir).orders)
-    utc = parse_zoned_utc("ts_text")
-    return z.select("o_orderkey", "ts_text", utc.alias("utc_ts"), utc.isNotNull().alias("valid"))
+    z = with_iso(zoned_text(Inputs(spark, sf_dir).orders), {"t": py_strip("ts_text")})
+    return z.select("o_orderkey", "ts_text", F.col("t.utc").alias("utc_ts"), F.col("t.utc").isNotNull().alias("valid"))

@@ -4,10 +4,13 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.metrics import latency_percentiles, metrics_windows, window_aggregates
-from tidemark.operators.percentile import nearest_rank
+from tidemark.operators.percentile import nearest_rank, ordered_key
 
 LOG = ("completed_at timestamp_ntz, endpoint_name string, deployment_id string, outcome string, "
        "error_type string, latency_ms double, prediction double")
@@ -132,3 +135,46 @@ def test_requests_rejected_before_the_handler_are_in_no_window(spark):
     got = metrics_windows(log(spark, rows)).collect()
     assert len(got) == 1 and got[0]["request_count"] == 1 and got[0]["latency_p99_ms"] == 10.0
     assert window_aggregates(log(spark, rows)).collect()[0]["request_count"] == 1
+
+
+def test_keys_sort_as_the_values_do(spark):
+    """Every power of two, its neighbours, subnormal, infinite and NaN values, against the bits of the number."""
+    rng = np.random.default_rng(8)
+    powers = np.ldexp(1.0, np.arange(-1074, 1024))
+    xs = np.concatenate([powers, np.nextafter(powers, np.inf), np.nextafter(powers, 0), [0.0, np.inf],
+                         rng.integers(0, 0x7FF0 << 48, 3000).view(np.float64), rng.lognormal(3, 2, 2000).round(3)])
+    xs = np.unique(np.concatenate([xs, -xs]))
+    df = spark.createDataFrame([(float(x),) for x in xs] + [(float("nan"),), (None,)], "v double")
+    got = {r["v"]: r["k"] for r in df.select("v", ordered_key(F.col("v"), T.DoubleType()).alias("k")).collect() if r["v"] == r["v"]}
+    assert got.pop(None) is None
+    for x, k in got.items():
+        assert k == int(np.copysign(1, x)) * int(np.abs(np.float64(x)).view(np.int64)), x
+    assert df.where("isnan(v)").select(ordered_key(F.col("v"), T.DoubleType())).first()[0] > max(got.values())
+    ints = spark.createDataFrame([(5,), (-3,), (None,)], "v int")
+    assert [r[0] for r in ints.select(ordered_key(F.col("v"), T.IntegerType())).collect()] == [5, -3, None]
+
+
+def test_percentiles_are_one_lazy_plan(spark):
+    """Nothing runs and nothing is written while the plan is built; groups of NULLs, NaN and null group keys."""
+    rows = ([("a", float(v % 37)) for v in range(500)] + [(None, 1.5), (None, -0.0), (None, 0.0), ("n", None), ("n", None),
+            ("x", float("nan")), ("x", 1.0), ("x", float("-inf")), ("y", 5e-324), ("y", -5e-324)])
+    df = spark.createDataFrame(rows, "g string, v double")
+    spark.sparkContext.setJobGroup("building", "")
+    out = nearest_rank(df, ["g"], "v", {"lo": 1, "mid": 50, "hi": 100}, sums={"n": F.lit(1)})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Checkpoint" not in plan
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("building")) == []
+    spark.sparkContext.setJobGroup("running", "")
+    got = {r["g"]: (r["lo"], r["mid"], r["hi"], r["n"]) for r in out.collect()}
+    assert got["a"] == (0.0, 17.0, 36.0, 500) and got["n"] == (None, None, None, 2) and got[None] == (0.0, 0.0, 1.5, 3)
+    assert got["x"][:2] == (float("-inf"), 1.0) and np.isnan(got["x"][2]) and got["y"] == (-5e-324, -5e-324, 5e-324, 2)
+
+
+def test_weighted_values_equal_repeated_ones(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(g), float(v), int(w)) for g, v, w in zip(rng.integers(0, 3, 200), rng.normal(0, 5, 200).round(1), rng.integers(0, 6, 200))]
+    df = spark.createDataFrame(rows, "g int, v double, w int")
+    repeated = spark.createDataFrame([(g, v) for g, v, w in rows for _ in range(w)], "g int, v double")
+    ps = {"a": 10, "b": 50, "c": 99}
+    got = nearest_rank(df, ["g"], "v", ps, weight_col="w").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, nearest_rank(repeated, ["g"], "v", ps).collect()))

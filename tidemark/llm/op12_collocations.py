@@ -10,12 +10,14 @@ its interval: the distinct ids there are the extensions, their numbers the
 counts; LF-mapping gives the new interval on that side, the ids below them
 the offset on the other.
 
-Level by level the shards ask (``packed``) which of their phrases occur
-``min_count`` times over all shards, and extend only those whose first and
-last words are frequent too. Then each shard gives its frequent phrases as
-strings, and Spark sums them exactly: counts, occurrences with a word on the
-left and with one on the right in the same piece. Scores use 38-digit
-decimals.
+Level by level the shards send the 64-bit keys of their phrases with their
+counts (packed by hash bucket, ``packed``). The task of a bucket sums them
+and answers each shard which of its keys occur ``min_count`` times over all
+shards; a shard extends only phrases whose first and last words are frequent
+too. For each frequent phrase one shard is named its owner and told the
+totals; it alone gives the phrase as text, so a phrase becomes one row
+however many shards hold it. Totals: occurrences, and those with a word on
+the left and on the right in the same piece. Scores use 38-digit decimals.
 
 Pieces are what ``[.,;:!?\\x0A-\\x0D]`` separates, words ``[^\\x20\\x09]+``,
 A-Z lower-cased.
@@ -23,8 +25,8 @@ A-Z lower-cased.
 Defined results: a null or empty text has no words; a null language is
 ``und``; every row counts, also repeated ones, whatever its id; equal scores
 are ordered by count, then by the phrase's bytes; an empty table gives an
-empty result; other columns are ignored. Texts are taken whole. Word ids
-come from 64-bit hashes inside a shard.
+empty result; other columns are ignored. Texts are taken whole. Words and
+phrases are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -135,33 +137,100 @@ class Frontier:
         return Frontier(self.ids[keep], self.low[keep], self.low_reverse[keep], self.size[keep])
 
 
+CEILING = 255  # counts up to here take a byte, others eight more
+
+
+def _body(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted 64-bit keys and their three counts, column by column; counts of 255 and more follow in full."""
+    low = np.minimum(counts, CEILING).astype(np.uint8)
+    return b"".join([np.uint32(len(keys)).tobytes(), keys.tobytes(), low.T.tobytes(), counts.T[low.T == CEILING].astype("<u8").tobytes()])
+
+
+def _parsed(body: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    raw = memoryview(body.as_buffer())
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    keys = np.frombuffer(raw, "<u8", n, 4)
+    counts = np.frombuffer(raw, np.uint8, 3 * n, 4 + 8 * n).reshape(3, n).astype(np.int64)
+    big = counts == CEILING
+    counts[big] = np.frombuffer(raw, "<u8", int(big.sum()), 4 + 11 * n)
+    return keys, counts.T
+
+
+def summed(threshold: int, level: int):
+    """The answer of one bucket: of each shard's keys, which are frequent, which it owns, and the totals of those."""
+
+    def answer(t: pa.Table) -> pa.Table:
+        rows = [_parsed(x) for x in t["body"]]
+        keys = np.concatenate([k for k, _ in rows])
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] ^ np.uint64(1)))
+        sums = np.add.reduceat(np.concatenate([c for _, c in rows])[order], first)
+        frequent = sums[:, 0] >= threshold
+        told, owner, totals = (np.zeros(len(keys), bool), np.zeros(len(keys), bool), np.zeros((len(keys), 3), np.int64))
+        told[order] = np.repeat(frequent, np.diff(np.append(first, len(keys))))
+        mine = order[first[frequent]]  # the first shard of the bucket that has the key
+        owner[mine], totals[mine] = True, sums[frequent]
+        at = np.concatenate([[0], np.cumsum([len(k) for k, _ in rows])])
+        out = [(c, b, np.packbits(told[i:j]).tobytes() + np.packbits(owner[i:j]).tobytes() + totals[i:j][owner[i:j]].tobytes())
+               for c, b, i, j in zip(t["chunk"].to_pylist(), t["bucket"].to_pylist(), at, at[1:]) if told[i:j].any()]
+        return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "level": pa.array([level] * len(out), pa.int32()),
+                         "bucket": pa.array([x[1] for x in out], pa.int64()), "body": pa.array([x[2] for x in out], pa.binary())})
+
+    return answer
+
+
 class Shard:
-    def __init__(self, t: pa.Table, buckets: int):
+    """A shard's index and, with the answers so far, its phrases of each length in the order of their keys."""
+
+    def __init__(self, t: pa.Table, buckets: int, answers: pa.Table | None = None):
         self.chunk, self.lang, self.buckets = t["chunk"][0].as_py(), t["lang"][0].as_py(), buckets
         self.words = t["words"].combine_chunks().flatten()
         self.forward, self.reverse = (Side(np.frombuffer(t[c][0].as_buffer(), "<i4")) for c in ("forward", "reverse"))
-        hashes = Words([self.lang.encode("utf-8") + b"\x00"]).hashes[0] if self.lang else np.uint64(0)
         raw = self.words.to_pylist()
         own = PieceWords(raw).hashes if raw else np.empty(0, np.uint64)
-        self.hashes = np.concatenate([np.zeros(1, np.uint64), mix(own ^ hashes)])
+        self.hashes = np.concatenate([np.zeros(1, np.uint64), mix(own ^ PieceWords([self.lang.encode() + b"x"]).hashes[0])])
+        self.told: dict[int, list] = {}
+        for level, bucket, body in zip(*(answers[c].to_pylist() for c in ("level", "bucket", "body"))) if answers else ():
+            self.told.setdefault(level, []).append((bucket, body))
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         k = np.full(len(ids), ids.shape[1], np.uint64)
         for c in range(ids.shape[1]):
             k = mix(k * _K + self.hashes[ids[:, c]])
-        return packed.placed(k, self.buckets)
+        return k
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys >> packed.SHIFT) % np.uint64(self.buckets)).astype(np.int64)
 
-    def level(self, n: int, answers: pa.Table | None, known: bool = False) -> Frontier:
-        """Phrases of ``n`` words whose parts are frequent by the answers; with ``known``, only frequent ones."""
+    def level(self, n: int) -> tuple[Frontier, np.ndarray]:
+        """Phrases of ``n`` words whose parts are frequent, by bucket and key, and their keys."""
         if n == 1:
             counts = np.bincount(self.forward.bwt, minlength=len(self.hashes))
             low = np.cumsum(counts) - counts
             out = Frontier(np.arange(1, len(counts))[:, None], low[1:], low[1:], counts[1:])
         else:
-            out = self.extended(self.level(n - 1, answers, True), n, packed.passed(answers, n - 1))
-        return out.only(packed.among(self.keys(out.ids), packed.passed(answers, n))) if known else out
-
-    def extended(self, part: Frontier, n: int, frequent: np.ndarray) -> Frontier:
+            out = self.extended(*self.frequent(n - 1), n)
+        keys = self.keys(out.ids)
+        order = np.lexsort((keys, self.bucket(keys)))
+        return out.only(order), keys[order]
+
+    def heard(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By the answers of a level: which of its keys are frequent, which are owned, and the totals of the owned."""
+        told, owned, totals = np.zeros(len(keys), bool), np.zeros(len(keys), bool), np.zeros((len(keys), 3), np.int64)
+        bucket = self.bucket(keys)
+        for b, body in self.told.get(n, ()):
+            i, j = np.searchsorted(bucket, [b, b + 1])
+            size = -(-(j - i) // 8)
+            told[i:j], owned[i:j] = (np.unpackbits(np.frombuffer(body, np.uint8, size, k * size), count=int(j - i)).astype(bool) for k in (0, 1))
+            totals[i:j][owned[i:j]] = np.frombuffer(body, np.int64, -1, 2 * size).reshape(-1, 3)
+        return told, owned, totals
+
+    def frequent(self, n: int) -> tuple[Frontier, np.ndarray]:
+        found, keys = self.level(n)
+        told = self.heard(n, keys)[0]
+        return found.only(told), keys[told]
+
+    def extended(self, part: Frontier, frequent: np.ndarray, n: int) -> Frontier:
         """Phrases one word longer: even lengths grow to the left, odd ones to the right."""
         if not len(part):
             return Frontier(np.empty((0, n), np.int64), *(np.empty(0, np.int64) for _ in range(3)))
@@ -172,34 +241,34 @@ class Shard:
         words = [word[:, None].astype(np.int64), part.ids[whose]]
         out = Frontier(np.hstack(words if left else words[::-1]), here if left else other, other if left else here, count)
         out = out.only(word > 0)
-        return out.only(packed.among(self.keys(out.ids[:, :-1] if left else out.ids[:, 1:]), frequent))
+        return out.only(packed.among(self.keys(out.ids[:, :-1] if left else out.ids[:, 1:]), np.sort(frequent)))
 
-    def asked(self, n: int, answers: pa.Table | None) -> pa.Table:
-        found = self.level(n, answers)
+    def asked(self, n: int) -> pa.Table:
+        found, keys = self.level(n)
         if not len(found):
             return packed.empty_question()
-        keys = self.keys(found.ids)
-        order = np.argsort(keys, kind="stable")
-        return packed.counted(self.chunk, keys[order], found.size[order])
-
-    def grams(self, most: int, answers: pa.Table) -> pa.Table:
-        """The frequent phrases as strings with this shard's counts."""
-        parts = []
+        alone = [found.size - (side.real[low + found.size] - side.real[low])
+                 for side, low in ((self.forward, found.low), (self.reverse, found.low_reverse))]
+        counts = np.stack([found.size, *alone], axis=1)
+        cuts = np.flatnonzero(np.diff(self.bucket(keys), prepend=-1))
+        ends = np.append(cuts[1:], len(keys))
+        return pa.table({"bucket": pa.array(self.bucket(keys)[cuts]), "chunk": pa.array(np.full(len(cuts), self.chunk)),
+                         "body": pa.array([_body(keys[a:b], counts[a:b]) for a, b in zip(cuts, ends)], pa.binary())})
+
+    def owned(self, most: int) -> pa.Table:
+        """The frequent phrases that this shard owns, as text with their totals."""
+        parts = [pa.table({"lang": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "phrase": pa.array([], pa.string()),
+                           **{c: pa.array([], pa.int64()) for c in ("n", "n_left", "n_right")}})]
         for n in range(1, most + 1):
-            found = self.level(n, answers, True)
-            if len(found):
-                words = [self.words.take(pa.array(found.ids[:, c] - 1)) for c in range(n)]
-                phrase = pc.binary_join_element_wise(*words, b" ") if n > 1 else words[0]
-                with_left, with_right = (side.real[low + found.size] - side.real[low] for side, low in
-                                         ((self.forward, found.low), (self.reverse, found.low_reverse)))
-                parts.append(pa.table({
-                    "lang": pa.array([self.lang] * len(found)), "size": pa.array(np.full(len(found), n, np.int32)),
-                    "phrase": phrase.cast(pa.string()), "n": pa.array(found.size.astype(np.int64)),
-                    "n_left": pa.array(with_left), "n_right": pa.array(with_right)}))
-        if parts:
-            return pa.concat_tables(parts)
-        return pa.table({"lang": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "phrase": pa.array([], pa.string()),
-                         **{c: pa.array([], pa.int64()) for c in ("n", "n_left", "n_right")}})
+            found, keys = self.level(n)
+            _, mine, totals = self.heard(n, keys)
+            ids, (size, no_left, no_right) = found.ids[mine], totals[mine].T
+            words = [self.words.take(pa.array(ids[:, c] - 1)) for c in range(n)]
+            phrase = pc.binary_join_element_wise(*words, b" ") if n > 1 else words[0]
+            parts.append(pa.table({
+                "lang": pa.array([self.lang] * len(ids), pa.string()), "size": pa.array(np.full(len(ids), n, np.int32)),
+                "phrase": phrase.cast(pa.string()), "n": pa.array(size), "n_left": pa.array(size - no_left), "n_right": pa.array(size - no_right)}))
+        return pa.concat_tables(parts)
 
 
 def shards(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text", lang_col: str = "lang",
@@ -238,31 +307,29 @@ def shards(docs: DataFrame, max_words: int = MAX_WORDS, text_col: str = "text",
 def phrase_counts(table: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """Per language and phrase of up to ``max_words`` words that occurs ``min_count`` times or more:
     lang, size, phrase, n, n_left, n_right (occurrences with a neighbour on that side), summed over the shards."""
-    spark = table.sparkSession
+    spark, index = table.sparkSession, table.drop("n_words")
     buckets = packed.bucket_count(spark, packed.total(table, "n_words"))
     heard: DataFrame | None = None
     for n in range(1, max_words + 1):
+        ask = _asker(n, buckets)
         if heard is None:
-            asked = table.drop("n_words").groupBy("chunk").applyInArrow(lambda t: Shard(t, buckets).asked(1, None), packed.QUESTION)
+            asked = index.groupBy("chunk").applyInArrow(lambda t: ask(t, None), packed.QUESTION)
         else:
-            asked = packed.cogrouped(table.drop("n_words"), heard, _asker(n, buckets), packed.QUESTION)
-        reply = packed.frequent(min_count, n)
-        answers = saved(asked.groupBy("bucket").applyInArrow(reply, packed.ANSWER), scratch(spark, f"phrases-{n}"))
+            asked = packed.cogrouped(index, heard, ask, packed.QUESTION)
+        answers = saved(asked.groupBy("bucket").applyInArrow(summed(min_count, n), packed.ANSWER), scratch(spark, f"phrases-{n}"))
         heard = answers if heard is None else heard.unionByName(answers)
-    grams = packed.cogrouped(table.drop("n_words"), heard, _giver(max_words, buckets), GRAM)
-    total = grams.groupBy("lang", "size", "phrase").agg(*(F.sum(c).alias(c) for c in ("n", "n_left", "n_right")))
-    return saved(total.where(F.col("n") >= min_count), scratch(spark, "phrase-counts"))
+    return saved(packed.cogrouped(index, heard, _giver(max_words, buckets), GRAM), scratch(spark, "phrase-counts"))
 
 
 def _asker(n: int, buckets: int):
-    def ask(t: pa.Table, answers: pa.Table) -> pa.Table:
-        return Shard(t, buckets).asked(n, answers) if answers.num_rows else packed.empty_question()
+    def ask(t: pa.Table, answers: pa.Table | None) -> pa.Table:
+        return packed.empty_question() if n > 1 and not answers.num_rows else Shard(t, buckets, answers).asked(n)
     return ask
 
 
 def _giver(most: int, buckets: int):
     def give(t: pa.Table, answers: pa.Table) -> pa.Table:
-        return Shard(t, buckets).grams(most if answers.num_rows else 0, answers)
+        return Shard(t, buckets, answers).owned(most if answers.num_rows else 0)
     return give
 
 

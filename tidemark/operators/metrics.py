@@ -8,33 +8,43 @@ exist by construction (groups come from rows).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scalars import micros
 from tidemark.operators.percentile import nearest_rank
 from tidemark.schemas import (
-    PERCENTILES, SCHEMA_VERSION, WINDOW_ALWAYS_ZERO, WINDOW_FIELDS,
+    DAY_US, PERCENTILES, SCHEMA_VERSION, WINDOW_ALWAYS_ZERO, WINDOW_FIELDS,
     WINDOW_OPTIONAL_DOUBLE, WINDOW_OPTIONAL_LONG,
 )
 
 WINDOW_KEYS = ["window_start", "window_end", "endpoint_name", "deployment_id"]
 WINDOW_SECONDS = 60
-
+FROM_EVER = -(1 << 62)  # microseconds before any time
 
 HANDLED = ["success", "failure", "rejected"]
 
 
 def handled(log: DataFrame) -> DataFrame:
-    """Requests the handler saw. A request rejected before it (a blank
-    entity id fails request validation; outcome 'invalid') is in no window."""
+    """Requests the handler saw, at a known time. A request rejected before
+    it (a blank entity id fails request validation; outcome 'invalid') is in
+    no window, nor is one whose outcome is none of these: see ``rejected_log``."""
     return log.where(F.col("outcome").isin(*HANDLED))
 
 
-def rejected_log(log: DataFrame) -> DataFrame:
-    """Log rows that no window counts although they are not 'invalid': an
-    absent or unknown outcome. Write them where someone looks."""
-    return log.where(~F.coalesce(F.col("outcome").isin(*HANDLED, "invalid"), F.lit(False)))
+def reject_reason(time_col: str = "completed_at") -> Column:
+    """Why a log row is in no window; NULL for a row that is in one."""
+    outcome = F.col("outcome")
+    return (F.when(outcome == "invalid", F.lit("invalid_request"))
+            .when(~F.coalesce(outcome.isin(*HANDLED), F.lit(False)), F.lit("unknown_outcome"))
+            .when(F.col(time_col).isNull(), F.lit("no_time")))
+
+
+def rejected_log(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
+    """The log rows that no window counts, each with its ``reason``: every row
+    of a log is either here or in the ``request_count`` of one window."""
+    return log.withColumn("reason", reject_reason(time_col)).where(F.col("reason").isNotNull())
 
 
 def with_window(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
@@ -120,21 +130,74 @@ def metrics_windows(log: DataFrame, time_col: str = "completed_at") -> DataFrame
     return res.select(*WINDOW_KEYS, *COUNTERS, *_zero_if_empty(PERCENTILES))
 
 
+def value_counts(log: DataFrame, time_col: str = "completed_at") -> DataFrame:
+    """Partial aggregates that merge by being unioned: per window and latency
+    its number of requests ``n``, the counters and the microseconds of its
+    newest request. A hot window is as many rows as it has latencies, spread
+    over tasks."""
+    ind = indicators()
+    return (with_window(log, time_col).groupBy(*WINDOW_KEYS, "latency_ms")
+            .agg(F.count("latency_ms").alias("n"), *[F.sum(ind[c]).alias(c) for c in COUNTERS],
+                 F.max(micros(time_col)).alias("newest")))
+
+
+def windows_of(counts: DataFrame) -> DataFrame:
+    """The windows of ``value_counts``: counters and percentiles, as ``metrics_windows`` has them."""
+    res = nearest_rank(counts, WINDOW_KEYS, "latency_ms", PERCENTILES, sums={c: F.col(c) for c in COUNTERS}, weight_col="n")
+    return res.select(*WINDOW_KEYS, *COUNTERS, *_zero_if_empty(PERCENTILES))
+
+
+CONTEXT_FIELDS = ["service_name", "service_version", "environment", "model_name", "model_version", "bundle_id",
+                  "input_dataset_name", "input_dataset_version"]
+
+
+def with_context(windows: DataFrame, lineage: DataFrame) -> DataFrame:
+    """Windows with the lineage context that is valid at their start; NULL fields where there is none at all.
+
+    A context is valid from its time (``activated_at``; without that column
+    from ``bundle_created_at``; NULL: from ever) until the next one of its
+    deployment; a window that starts before the first has the first. Contexts
+    of equal time: the greatest by its fields. The last context comes by an
+    equi-join on the deployment, one row each; the closed intervals before it
+    are cut into days, so a window meets the contexts of its own day alone
+    and a busy deployment is spread over its days. With one context a
+    deployment the second join has nothing to read.
+    """
+    since = next((c for c in ("activated_at", "bundle_created_at") if c in lineage.columns), None)
+    at = F.coalesce(micros(since), F.lit(FROM_EVER)) if since else F.lit(FROM_EVER)
+    marks = lineage.groupBy("deployment_id", at.alias("at")).agg(F.max(F.struct(*CONTEXT_FIELDS)).alias("c"))
+    ends = marks.groupBy("deployment_id").agg(F.min_by("c", "at").alias("_first"), F.max_by("c", "at").alias("_last"),
+                                              F.max("at").alias("_last_at"))
+    until = F.lead("at").over(Window.partitionBy("deployment_id").orderBy("at"))
+    day = F.floor(F.col("at") / DAY_US).cast("bigint")
+    closed = (marks.withColumn("until", until).where("until IS NOT NULL AND at > " + str(FROM_EVER))
+              .select("deployment_id", F.col("at").alias("_at"), F.col("until").alias("_until"), F.col("c").alias("_then"),
+                      F.explode(F.sequence(day, F.floor((F.col("until") - 1) / DAY_US).cast("bigint"))).alias("_day")))
+    start = micros("window_start")
+    w = windows.withColumns({"_start": start, "_day": F.floor(start / DAY_US).cast("bigint")})
+    j = w.join(ends, "deployment_id", "left")
+    c = closed.select(F.col("deployment_id").alias("_dep"), F.col("_day").alias("_cday"), "_at", "_until", "_then")
+    j = j.join(c, (F.col("deployment_id") == F.col("_dep")) & (F.col("_day") == F.col("_cday"))
+               & (F.col("_start") >= F.col("_at")) & (F.col("_start") < F.col("_until")), "left")
+    j = j.withColumn("_c", F.when(F.col("_start") >= F.col("_last_at"), F.col("_last")).otherwise(F.coalesce("_then", "_first")))
+    return j.select(*windows.columns, *[F.col("_c")[f].alias(f) for f in CONTEXT_FIELDS], F.col("_last_at").isNotNull().alias("has_context"))
+
+
+def withheld_windows(windows: DataFrame, lineage: DataFrame) -> DataFrame:
+    """Windows whose deployment has no valid lineage context at all: no record is written for them."""
+    return windows.join(lineage.select("deployment_id"), "deployment_id", "left_anti").select(*windows.columns)
+
+
 def window_records(windows: DataFrame, lineage: DataFrame,
                    heartbeat: Column | None = None) -> DataFrame:
     """Full 43-field window records in contract order.
 
-    ``lineage`` holds one valid context per ``deployment_id``; a window whose
-    deployment has no valid lineage is not emitted (as the reference writes
-    no window without a context), nor is one whose deployment has several
-    different contexts, which would repeat it. The join lets AQE pick the strategy from
-    measured sizes: the window side is small after aggregation.
+    ``lineage`` holds the valid contexts of each ``deployment_id``; of
+    several, a window has the one valid at its start (``with_context``). A
+    window whose deployment has none is not emitted, as the reference writes
+    no window without a context: ``withheld_windows`` names those.
     """
-    context = F.struct("service_name", "service_version", "environment", "model_name", "model_version",
-                       "bundle_id", "input_dataset_name", "input_dataset_version")
-    ctx = (lineage.groupBy("deployment_id").agg(F.min(context).alias("lo"), F.max(context).alias("hi"))
-           .where(F.col("lo") == F.col("hi")).select("deployment_id", "lo.*"))
-    j = windows.join(ctx, "deployment_id")
+    j = with_context(windows, lineage).where("has_context")
     extra = {"schema_version": F.lit(SCHEMA_VERSION)}
     for c in WINDOW_ALWAYS_ZERO:
         extra[c] = F.lit(0).cast(T.LongType())

@@ -1,18 +1,14 @@
 """Serving-metrics windows over a request stream (Structured Streaming).
 
-Event time is the request's completion time. The stream is aggregated per
-60-second window, endpoint and deployment with a watermark, so state holds
-only windows that can still change:
-
-* ``append``: a window is written once the watermark passes its end (the
-  reference flushes a window when time passes its end). Rows later than
-  the watermark are dropped -- unlike the reference, which counts an older
-  row in the *current* bucket and can drop an unflushed bucket.
-* ``update``: every trigger writes the current value of the changed
-  windows (the reference's flush of the open window at shutdown).
-
-Percentiles use the exact ``percentile_disc`` aggregate, whose state is the
-value counts of the open windows only. Lineage is a stream-static join.
+``start_metrics_stream`` gives each micro-batch to a ``MetricsLedger``: exact
+windows, each written once, late rows recorded and counted in corrections,
+and a hot minute kept as many small rows. Event time is the request's
+completion time.
+
+``stream_window_aggregates`` is the same aggregation with Spark's own state
+and watermark, for sinks of one's choice: there rows later than the
+watermark are dropped, and the exact ``percentile_disc`` holds the value
+counts of an open window in one state row.
 """
 
 from __future__ import annotations
@@ -21,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import (
-    WINDOW_KEYS, handled, WINDOW_SECONDS, count_columns, error_columns, prediction_columns, window_records,
+    WINDOW_KEYS, WINDOW_SECONDS, count_columns, error_columns, handled, prediction_columns,
 )
 from tidemark.schemas import PERCENTILES
 from tidemark.session import checkpoint_dir
-from tidemark.sources.sinks import metrics_partitions, utc_text, write_metrics_windows
+from tidemark.streaming.ledger import MetricsLedger
 
 
 def _pct(p: float, col: str = "latency_ms"):
@@ -47,51 +43,57 @@ def stream_window_aggregates(log: DataFrame, watermark: str = "1 minute",
                       "endpoint_name", "deployment_id")
 
 
+class MetricsStream:
+    """A running metrics stream: the streaming query, and the ledger that it writes.
+
+    With ``flush_open`` the windows still open when the stream ends (by
+    itself or by ``stop``) are written then, once.
+    """
+
+    def __init__(self, query, ledger: MetricsLedger, flush_open: bool):
+        self.query, self.ledger, self.flush_open = query, ledger, flush_open
+
+    def awaitTermination(self, timeout: int | None = None) -> bool | None:
+        done = self.query.awaitTermination(timeout) if timeout is not None else self.query.awaitTermination()
+        if self.flush_open and not self.query.isActive:
+            self.ledger.flush()
+        return done
+
+    def stop(self) -> None:
+        self.query.stop()
+        if self.flush_open:
+            self.ledger.flush()
+
+    def __getattr__(self, name: str):
+        return getattr(self.query, name)
+
+
 def start_metrics_stream(log_stream: DataFrame, lineage: DataFrame, base_dir: str, *,
                          output_mode: str = "append", watermark: str = "1 minute",
                          checkpoint: str | None = None, available_now: bool = False,
-                         processing_time: str | None = None, query_name: str | None = None):
-    """Start the streaming job that appends window records under ``base_dir``.
+                         processing_time: str | None = None, query_name: str | None = None) -> MetricsStream:
+    """Start the streaming job that writes window records under ``base_dir``.
 
-    ``append`` uses Spark's JSON file sink (exactly-once through its
-    metadata log), partitioned by date/hour/minute like the batch sink.
-    ``update`` rewrites changed windows each trigger, which a file sink cannot
-    take, so each micro-batch goes through the batch sink in ``foreachBatch``;
-    a per-batch marker skips a batch already written when the query restarts
-    (a failure in the middle of a batch can still write that batch twice).
+    ``append``: a window is written once the watermark passes its end.
+    ``update``: so it is, and the windows open at the end of the run are
+    written when it ends. Either way a window stands in the output once,
+    over any stops and restarts; rows that come for a written window are
+    recorded as late and give a corrected version (``MetricsLedger``).
 
     The checkpoint defaults to a folder under the session's shared
     ``spark.checkpoint.dir``.
     """
-    windows = stream_window_aggregates(log_stream, watermark)
-    records = window_records(windows, lineage)
+    if output_mode not in ("append", "update"):
+        raise ValueError(f"unsupported output mode {output_mode!r}")
     spark = log_stream.sparkSession
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/metrics-stream"
-    out = f"{base_dir.rstrip('/')}/artifacts/serving/metrics"
-
-    if output_mode == "append":
-        writer = (utc_text(metrics_partitions(records)).writeStream.outputMode("append")
-                  .format("json").option("path", out).option("ignoreNullFields", "false")
-                  .option("checkpointLocation", ckpt).partitionBy("date", "hour", "minute"))
-    else:
-        done_dir = f"{ckpt.rstrip('/')}/_written"
-
-        def _write(batch: DataFrame, batch_id: int) -> None:
-            jvm = spark.sparkContext._jvm
-            hconf = spark.sparkContext._jsc.hadoopConfiguration()
-            marker = jvm.org.apache.hadoop.fs.Path(f"{done_dir}/{batch_id}")
-            fs = marker.getFileSystem(hconf)
-            if fs.exists(marker):
-                return
-            write_metrics_windows(batch, base_dir)
-            fs.create(marker, True).close()
-
-        writer = (records.writeStream.outputMode(output_mode).option("checkpointLocation", ckpt)
-                  .foreachBatch(_write))
+    ckpt = (checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/metrics-stream").rstrip("/")
+    delay = spark.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {watermark})").first()[0]
+    ledger = MetricsLedger(spark, lineage, base_dir, f"{ckpt}/_commits", delay_seconds=delay / 1_000_000)
+    writer = log_stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(ledger.ingest)
     if query_name:
         writer = writer.queryName(query_name)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
-    return writer.start()
+    return MetricsStream(writer.start(), ledger, output_mode == "update")

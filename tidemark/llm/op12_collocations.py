@@ -74,17 +74,28 @@ class PieceWords(Words):
         return np.diff(splits[self.starts], prepend=-1) > 0
 
 
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """Stable order of rows by non-negative keys, the first one foremost: radix sort by 16 bits at a time."""
+    order = None
+    for key in reversed(keys):
+        for shift in range(0, max(int(key.max()).bit_length(), 1) if len(key) else 0, 16):
+            digit = (key >> shift).astype(np.uint16)
+            order = np.argsort(digit, kind="stable") if order is None else order[np.argsort(digit[order], kind="stable")]
+    return np.arange(len(keys[0])) if order is None else order
+
+
 def transform(seq: np.ndarray, depth: int) -> np.ndarray:
     """Burrows-Wheeler transform of a cyclic sequence, rotations sorted by their first ``depth`` ids or more."""
-    rank, size = seq.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    rank, size = seq, 1
+    order = ordered(rank) if depth == 1 else None
     while size < depth:
-        key = rank * (int(rank.max()) + 1) + np.roll(rank, -size)
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(len(seq), np.int64)
-        rank[order] = np.cumsum(np.diff(ranked, prepend=ranked[0]) != 0)
+        after = np.roll(rank, -size)
+        order = ordered(rank, after)
         size *= 2
+        if size < depth:
+            new = (np.diff(rank[order], prepend=-1) != 0) | (np.diff(after[order], prepend=-1) != 0)
+            rank = np.empty(len(seq), np.int32)
+            rank[order] = np.cumsum(new) - 1
     return seq[order - 1]
 
 
@@ -106,7 +117,7 @@ class Side:
     def __init__(self, bwt: np.ndarray):
         self.bwt = bwt
         self.lf = np.empty(len(bwt), np.int64)
-        self.lf[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+        self.lf[ordered(bwt)] = np.arange(len(bwt))
         self.real = np.concatenate([[0], np.cumsum(bwt > 0)])
 
     def extensions(self, low: np.ndarray, size: np.ndarray):
@@ -114,11 +125,10 @@ class Side:
         start = np.cumsum(size) - size
         places = np.arange(int(size.sum())) - np.repeat(start - low, size)
         which = np.repeat(np.arange(len(low)), size)
-        key = which * (int(self.bwt.max()) + 1) + self.bwt[places]
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        first = np.flatnonzero(np.diff(ranked, prepend=-1))
-        count = np.diff(np.append(first, len(key)))
+        word = self.bwt[places]
+        order = ordered(which, word)
+        first = np.flatnonzero((np.diff(which[order], prepend=-1) != 0) | (np.diff(word[order], prepend=-1) != 0))
+        count = np.diff(np.append(first, len(word)))
         one = places[order[first]]  # the first place of the id in its interval
         whose = which[order[first]]
         return whose, self.bwt[one], count, self.lf[one], first - start[whose]
@@ -189,6 +199,7 @@ class Shard:
         raw = self.words.to_pylist()
         own = PieceWords(raw).hashes if raw else np.empty(0, np.uint64)
         self.hashes = np.concatenate([np.zeros(1, np.uint64), mix(own ^ PieceWords([self.lang.encode() + b"x"]).hashes[0])])
+        self.levels: dict[int, tuple[Frontier, np.ndarray]] = {}
         self.told: dict[int, list] = {}
         for level, bucket, body in zip(*(answers[c].to_pylist() for c in ("level", "bucket", "body"))) if answers else ():
             self.told.setdefault(level, []).append((bucket, body))
@@ -200,10 +211,13 @@ class Shard:
         return k
 
     def bucket(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys >> packed.SHIFT) % np.uint64(self.buckets)).astype(np.int64)
+        """Buckets are stretches of the keys, so keys in order are in the order of their buckets."""
+        return ((keys >> packed.SHIFT) * np.uint64(self.buckets) >> packed.SHIFT).astype(np.int64)
 
     def level(self, n: int) -> tuple[Frontier, np.ndarray]:
-        """Phrases of ``n`` words whose parts are frequent, by bucket and key, and their keys."""
+        """Phrases of ``n`` words whose parts are frequent, in the order of their keys, and the keys."""
+        if n in self.levels:
+            return self.levels[n]
         if n == 1:
             counts = np.bincount(self.forward.bwt, minlength=len(self.hashes))
             low = np.cumsum(counts) - counts
@@ -211,8 +225,9 @@ class Shard:
         else:
             out = self.extended(*self.frequent(n - 1), n)
         keys = self.keys(out.ids)
-        order = np.lexsort((keys, self.bucket(keys)))
-        return out.only(order), keys[order]
+        order = np.argsort(keys)
+        self.levels[n] = out.only(order), keys[order]
+        return self.levels[n]
 
     def heard(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By the answers of a level: which of its keys are frequent, which are owned, and the totals of the owned."""

@@ -71,7 +71,7 @@ def batch_windows(spark, rows, deployments=("0", "1")):
 
 
 def test_every_row_is_counted_once_or_rejected(spark, tmp_dir):
-    parts = batches()
+    parts = batches(n=5)
     ledger = MetricsLedger(spark, lineage(spark), tmp_dir, delay_seconds=30)
     for b, rows in enumerate(parts):
         assert ledger.ingest(spark.createDataFrame(rows, LOG), b)
@@ -85,7 +85,7 @@ def test_every_row_is_counted_once_or_rejected(spark, tmp_dir):
     assert {r["deployment_id"] for r in held} == {"2"} and max(Counter(map(key, held)).values()) == 1
     rejects = Counter(r["reason"] if "reason" in r else None for r in
                       (x.asDict() for x in spark.read.json(os.path.join(tmp_dir, "artifacts/serving/rejects")).collect()))
-    assert rejects["no_time"] == 6 and rejects["unknown_outcome"] == 12 and rejects["invalid_request"] == 6 and rejects["late"] >= 21
+    assert rejects["no_time"] == 5 and rejects["unknown_outcome"] == 10 and rejects["invalid_request"] == 5 and rejects["late"] >= 14
     counted = sum(r["request_count"] for r in written + held)
     assert counted + sum(rejects.values()) == len(every)
     now = {(r["window_start"], r["deployment_id"]): [r[v] for v in VALUES] for r in current_windows(spark, tmp_dir).collect()}
@@ -113,7 +113,7 @@ def test_a_killed_batch_run_again_leaves_one_copy(spark, tmp_dir, monkeypatch, w
             raise Killed
         return real(self, *args)
 
-    name = {"before": "rename_new", "during": "move", "after": "write"}[where]
+    name = {"before": "rename_new", "during": "move", "after": "write"}[where]  # the manifest, a folder, the marker
     real = getattr(commits.Files, name)
     if where == "after":
         def dying(self, path, text):  # noqa: F811
@@ -134,7 +134,7 @@ def test_a_killed_batch_run_again_leaves_one_copy(spark, tmp_dir, monkeypatch, w
     assert max(Counter(map(key, stored(tmp_dir, "metrics"))).values()) == 1
     now = {(r["window_start"], r["deployment_id"]): [r[v] for v in VALUES] for r in current_windows(spark, tmp_dir).collect()}
     assert now == batch_windows(spark, [r for rows in parts for r in rows])
-    assert not glob.glob(os.path.join(tmp_dir, "_staging", "*", "artifacts")) or where == "before"
+    assert os.listdir(os.path.join(tmp_dir, "_staging")) == [] or where == "before"
 
 
 def test_each_window_once_over_a_stop_and_a_restart(spark, tmp_dir):

@@ -39,7 +39,7 @@ _ROLLING = [
 def point_in_time_parts(obs: DataFrame, metrics: DataFrame, *, key: str = "station_id",
                         obs_time: str = "obs_ts", as_of_column: str = "window_start",
                         snapshot: bool = True, lags: bool = True, rolling: bool = True,
-                        rows_per_slice: int = 1_000_000) -> DataFrame:
+                        rows_per_slice: int = 1_000_000, carried: DataFrame | None = None) -> DataFrame:
     """The raw look-ups behind the features; each group can be switched off."""
     asof = []
     if snapshot:
@@ -51,7 +51,8 @@ def point_in_time_parts(obs: DataFrame, metrics: DataFrame, *, key: str = "stati
     m = metrics.select(*dict.fromkeys(need))
     return point_in_time(obs, m, key=key, left_time=obs_time, right_time=as_of_column,
                          asof=asof, rolling=_ROLLING if rolling else [],
-                         tiebreak=("emitted_at",), rows_per_slice=rows_per_slice)
+                         tiebreak=("emitted_at",), rows_per_slice=rows_per_slice,
+                         carried=None if carried is None else carried.select(*dict.fromkeys(need)))
 
 
 def snapshot_columns(parts: DataFrame) -> list:
@@ -101,12 +102,14 @@ def outcome_column(obs_time: str = "obs_ts") -> F.Column:
 
 def reconstruct(obs: DataFrame, metrics: DataFrame, *, key: str = "station_id",
                 obs_time: str = "obs_ts", as_of_column: str = "window_start",
-                rows_per_slice: int = 1_000_000) -> DataFrame:
+                rows_per_slice: int = 1_000_000, carried: DataFrame | None = None) -> DataFrame:
     """All obs rows: obs columns, ``snapshot_source_ts``, the 22 features in
     contract order and ``outcome``. A station with no metrics row at or
-    before ``obs_ts`` has NULL features and outcome ``not_found``."""
+    before ``obs_ts`` has NULL features and outcome ``not_found``.
+    ``carried``: the newest row of each station and day, when ``metrics``
+    holds only the days around the observations (``sources.readings``)."""
     parts = point_in_time_parts(obs, metrics, key=key, obs_time=obs_time,
-                                as_of_column=as_of_column, rows_per_slice=rows_per_slice)
+                                as_of_column=as_of_column, rows_per_slice=rows_per_slice, carried=carried)
     base = parts.select(*[F.col(c) for c in obs.columns], *snapshot_columns(parts),
                         *lag_columns(), *rolling_columns(), *temporal_columns(obs_time))
     full = base.select("*", *derived_columns())

@@ -44,12 +44,13 @@ def _uri_path(path):
 
 
 def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(),
-                   path_col: str = "model_path") -> DataFrame:
+                   path_col: str = "model_path", extra: list[str] | None = None) -> DataFrame:
     """One lineage context per metadata row, with ``valid`` and ``reasons``.
 
     ``meta`` needs ``model_path``, ``deployment_id`` and the metadata keys
     ``model_version, trained_at, input_dataset_name, input_dataset_version,
-    started_at, completed_at`` (missing keys read as NULL).
+    started_at, completed_at`` (missing keys read as NULL). Columns named in
+    ``extra`` are kept.
     """
     raw = F.col(path_col)
     path = (F.when(F.startswith(raw, F.lit("file://")), F.substring(raw, 8, 1 << 30))
@@ -72,6 +73,7 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
         F.when(non_blank("input_dataset_version"), py_strip("input_dataset_version")).alias("input_dataset_version"),
         F.col("_started_at.utc").alias("started_at"),
         F.col("_completed_at.utc").alias("completed_at"),
+        *(extra or []),
     )
     rules = (
         [("model_version_missing", ~non_blank("model_version"))]
@@ -83,18 +85,25 @@ def bundle_lineage(meta: DataFrame, settings: ServiceSettings = ServiceSettings(
     return apply_rules(ctx, rules)
 
 
-def event_records(activations: DataFrame, lineage: DataFrame) -> DataFrame:
+def event_records(activations: DataFrame, lineage: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Deployment event records: activations joined to their lineage context.
 
     Both sides are keyed by ``deployment_id``; a shuffle join (or a runtime
     broadcast chosen by AQE from measured sizes) -- no side is assumed small.
+    ``on`` adds columns that name one of several bundles of a deployment.
     """
     ctx = lineage.drop("valid", "reasons")
-    j = activations.join(ctx, "deployment_id")
+    j = activations.join(ctx, on or ["deployment_id"])
     fixed = {"event_type": F.lit(EVENT_TYPE), "schema_version": F.lit(SCHEMA_VERSION)}
     return j.select(*[fixed[c].alias(c) if c in fixed else F.col(c) for c in EVENT_FIELDS])
 
 
-def deployment_events(activations: DataFrame, lineage: DataFrame) -> DataFrame:
+def deployment_events(activations: DataFrame, lineage: DataFrame, on: list[str] | None = None) -> DataFrame:
     """Events for activations whose lineage context is valid."""
-    return event_records(activations, lineage.where(F.col("valid")))
+    return event_records(activations, lineage.where(F.col("valid")), on)
+
+
+def activated_contexts(events: DataFrame) -> DataFrame:
+    """The contexts that deployment events put in force, each from its ``activated_at`` on (``metrics.with_context``)."""
+    return events.withColumn("activated_at", F.col("event_time")).drop("event_type", "event_time", "activation_reason",
+                                                                       "traffic_status", "schema_version")

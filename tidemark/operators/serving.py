@@ -24,8 +24,9 @@ from tidemark.schemas import (
 
 def predict_requests(requests: DataFrame, metrics: DataFrame, model, contract: con.Contract,
                      model_version: str, *, id_col: str = "entity_id", ts_col: str = "timestamp",
-                     include_features_used: bool = False, latency_col: str | None = None) -> DataFrame:
-    """``latency_col`` names the measured milliseconds of a request; the
+                     include_features_used: bool = False, latency_col: str | None = None,
+                     carried: DataFrame | None = None) -> DataFrame:
+    """``carried``: as for ``features.reconstruct``. ``latency_col`` names the measured milliseconds of a request; the
     records of passed requests then carry them as ``latency_ms``, to 3 places.
     A row on which the model fails is ``internal``, the others keep theirs."""
     key = contract.entity_key
@@ -40,7 +41,7 @@ def predict_requests(requests: DataFrame, metrics: DataFrame, model, contract: c
                          F.lit(None).cast("double").alias("prediction"))
         return _records(out, payload, key, contract, model_version, include_features_used, latency_col)
     valid = req.where(F.col("status") == OUTCOME_OK).drop("status")
-    feats = reconstruct(valid, metrics, key=key)
+    feats = reconstruct(valid, metrics, key=key, carried=carried)
     con.check_present(feats, contract)
     feats = feats.withColumn("outcome", zone_checked(F.col("outcome"), F.col("zoned")))
     typed = con.coerce(feats, contract, strict=False, keep=[*payload, key, "obs_ts", "outcome"])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ensure_utc
+from tidemark.session import checkpoint_dir, ensure_utc
 from tidemark.sources import standins
 from tidemark.sources.tables import load_table
 
@@ -31,6 +33,11 @@ def round_doubles(df: DataFrame, places: int = ROUND) -> DataFrame:
                        for f in df.schema.fields])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 class Inputs:
     """Lazily built inputs of one sf directory (plans only; nothing runs here)."""
 

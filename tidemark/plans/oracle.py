@@ -582,3 +582,42 @@ FROM served"""
 
 
 ORACLES["predict_requests"] = _predict_requests()
+
+ORACLES["log_rejects"] = """
+SELECT * FROM (
+  SELECT event_id AS request_id,
+         CASE WHEN event_id % 31 <> 0 AND event_id % 37 <> 0 AND event_id % 41 = 0 THEN 'invalid_request'
+              WHEN event_id % 31 = 0 OR event_id % 37 = 0 THEN 'unknown_outcome'
+              WHEN event_id % 43 = 0 OR ts IS NULL THEN 'no_time' END AS reason
+  FROM events)
+WHERE reason IS NOT NULL"""
+
+ORACLES["metrics_window_contexts"] = _OBS_WITH + f""",
+marks AS (
+  SELECT CAST(o.o_orderkey % 30 AS VARCHAR) AS deployment_id, TIMESTAMP '2024-01-01' + to_minutes(o.o_orderkey % 10007) AS since,
+         c.model_version, c.bundle_id
+  FROM orders o JOIN ctx c ON c.deployment_id = CAST(o.o_orderkey AS VARCHAR) WHERE c.valid),
+firsts AS (SELECT deployment_id, min(since) AS since FROM marks GROUP BY 1),
+placed AS (
+  SELECT w.*, greatest(w.window_start, f.since) AS seen FROM win w JOIN firsts f USING (deployment_id))
+SELECT p.window_start, p.endpoint_name, p.deployment_id, m.model_version, m.bundle_id, p.request_count,
+       COALESCE(q.latency_p95_ms, 0.0) AS latency_p95_ms
+FROM placed p ASOF JOIN marks m ON m.deployment_id = p.deployment_id AND m.since <= p.seen
+LEFT JOIN pct q ON q.window_start = p.window_start AND q.endpoint_name = p.endpoint_name AND q.deployment_id = p.deployment_id"""
+
+ORACLES["raw_metrics_stored"] = "WITH " + metrics_cte().strip() + """ SELECT station_id, window_start, window_end, """ + ", ".join(
+    f"{r6(c)} AS {c}" for c in ("avg_bikes_available", "avg_docks_available", "avg_capacity", "avg_availability_ratio")) + """,
+  low_availability_events, event_count, emitted_at FROM metrics"""
+ORACLES["pit_from_store"] = ORACLES["pit_features"]
+ORACLES["snapshot_stored"] = ORACLES["snapshot_lookup"]
+
+_ROLLOUT = "(TIMESTAMP '2024-01-01' + to_minutes(CAST(deployment_id AS BIGINT) % 10007))"
+ORACLES["sink_events_records"] = _OBS_WITH + f""" SELECT {_iso(_ROLLOUT, "'Z'")} AS event_time, deployment_id, CAST(NULL AS VARCHAR) AS instance_id,
+  bundle_uri, {_iso('bundle_created_at', "'Z'")} AS bundle_created_at, {_iso('started_at', "'Z'")} AS started_at,
+  {_iso('completed_at', "'Z'")} AS completed_at, schema_version, CAST(19 AS INTEGER) AS n_fields, strftime({_ROLLOUT}, '%Y-%m-%d') AS date
+  FROM events_all WHERE valid"""
+
+ORACLES["metrics_ledger"] = _OBS_WITH + "," + RECORDS_CTE + f""" SELECT {_iso('window_start', "'Z'")} AS window_start, deployment_id, model_version,
+  request_count, success_count, failure_count, rejected_count, validation_error_count, feature_lookup_error_count, model_load_error_count,
+  inference_runtime_error_count, internal_error_count, prediction_count, prediction_null_count, prediction_non_finite_count,
+  latency_p50_ms, latency_p95_ms, latency_p99_ms FROM records"""

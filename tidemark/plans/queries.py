@@ -22,14 +22,17 @@ from tidemark.operators import scoring as sco
 from tidemark.operators import serving as srv
 from tidemark.operators import snapshot as snp
 from tidemark.operators import validate as val
-from tidemark.plans.common import Inputs, round6, round_doubles
+from tidemark.plans.common import Inputs, round6, round_doubles, scratch
 from tidemark.schemas import (
     CONTRACT_VERSION, ENTITY_KEY, EVENT_NON_BLANK, EVENT_TIME_FIELDS, FEATURE_CONTRACT, FEATURE_ORDER, TARGET,
     WINDOW_COUNT_FIELDS, WINDOW_ERROR_FIELDS, WINDOW_INPUT_FIELDS, WINDOW_NON_BLANK, WINDOW_OPTIONAL_DOUBLE,
     WINDOW_OPTIONAL_LONG, WINDOW_PREDICTION_FIELDS,
 )
-from tidemark.sources.sinks import event_partitions, metrics_partitions
+from tidemark.sources import standins
+from tidemark.sources.readings import ReadingStore
+from tidemark.sources.sinks import EVENTS_DIR, event_partitions, metrics_partitions, write_deployment_events
 from tidemark.sources.standins import zoned_text
+from tidemark.streaming.ledger import MetricsLedger, current_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -348,3 +351,82 @@ def sink_events_layout(spark, sf_dir):
 def normalize_utc(spark, sf_dir):
     z = with_iso(zoned_text(Inputs(spark, sf_dir).orders), {"t": py_strip("ts_text")})
     return z.select("o_orderkey", "ts_text", F.col("t.utc").alias("utc_ts"), F.col("t.utc").isNotNull().alias("valid"))
+
+
+# ---------------------------------------------------------------- rejects, contexts, stored inputs, the ledger
+@register("log_rejects")
+def log_rejects(spark, sf_dir):
+    """Every log row that is in no window, with its reason."""
+    return met.rejected_log(standins.noisy_log(Inputs(spark, sf_dir).events)).select("request_id", "reason")
+
+
+@register("metrics_window_contexts")
+def metrics_window_contexts(spark, sf_dir):
+    """Windows of deployments that get bundle after bundle: each has the context in force at its start."""
+    i = Inputs(spark, sf_dir)
+    rollout = standins.redeployments(i.orders)
+    events = lin.deployment_events(rollout, lin.bundle_lineage(i.bundle_metadata))
+    moved = events.join(rollout.select("deployment_id", "onto"), "deployment_id").drop("deployment_id")
+    contexts = lin.activated_contexts(moved.withColumnRenamed("onto", "deployment_id"))
+    return met.window_records(met.metrics_windows(i.request_log), contexts).select(
+        "window_start", "endpoint_name", "deployment_id", "model_version", "bundle_id", "request_count", "latency_p95_ms")
+
+
+def stored_readings(spark, i: Inputs) -> ReadingStore:
+    """The station metrics, stored in two batches of alternate minutes, the second sent twice."""
+    store = ReadingStore(spark, scratch(spark, "readings"))
+    for n in (0, 1, 1):
+        store.append(i.metrics.where(F.minute("window_start") % 2 == n), n)
+    return store
+
+
+@register("raw_metrics_stored")
+def raw_metrics_stored(spark, sf_dir):
+    """Raw one-minute metrics read back from their store."""
+    return round_doubles(stored_readings(spark, Inputs(spark, sf_dir)).readings.drop("date"))
+
+
+@register("pit_from_store")
+def pit_from_store(spark, sf_dir):
+    """Features from the days around the observations and the last reading of each station and day."""
+    i = Inputs(spark, sf_dir)
+    near, carried = stored_readings(spark, i).near(i.obs)
+    f = feat.reconstruct(i.obs, near, carried=carried)
+    return round_doubles(f.where(F.col("snapshot_source_ts").isNotNull()).select("station_id", "obs_ts", "snapshot_source_ts", *FEATURE_ORDER))
+
+
+@register("snapshot_stored")
+def snapshot_stored(spark, sf_dir):
+    """Look-ups in a Parquet snapshot opened as a view, by the key that the contract names."""
+    i = Inputs(spark, sf_dir)
+    path = scratch(spark, "snapshot")
+    snp.build_snapshot(i.metrics).write.parquet(path)
+    snp.open_snapshot(spark, path)
+    j = snp.lookup(i.obs, spark.table("online_features"), key=DEFAULT_CONTRACT.entity_key)
+    return round_doubles(j.select("station_id", "obs_ts", "found", "snapshot_ts_text", "ft_bikes_available"))
+
+
+@register("sink_events_records")
+def sink_events_records(spark, sf_dir):
+    """Event records as they stand in the sink: one batch sent twice, then an empty one; nulls kept, times as UTC text."""
+    i = Inputs(spark, sf_dir)
+    events, base = lin.deployment_events(standins.redeployments(i.orders), lin.bundle_lineage(i.bundle_metadata)), scratch(spark, "events")
+    for rows, batch_id in ((events, 1), (events, 1), (events.limit(0), 2)):
+        write_deployment_events(rows, base, batch_id)
+    line = spark.read.text(f"{base}/{EVENTS_DIR}")
+    at = {c: F.get_json_object("value", f"$.{c}").alias(c) for c in
+          ("event_time", "deployment_id", "instance_id", "bundle_uri", "bundle_created_at", "started_at", "completed_at", "schema_version")}
+    return line.select(*at.values(), F.size(F.json_object_keys("value")).alias("n_fields"), F.col("date").cast("string").alias("date"))
+
+
+@register("metrics_ledger")
+def metrics_ledger(spark, sf_dir):
+    """The windows of a log that comes in two batches, the second nearly all late: latest versions after the flush."""
+    i = Inputs(spark, sf_dir)
+    base = scratch(spark, "ledger")
+    ledger = MetricsLedger(spark, valid_lineage(i), base, layout=("date",), span_hours=24)
+    for n in (0, 1):
+        ledger.ingest(i.request_log.where(F.pmod("request_id", F.lit(2)) == n), n)
+    ledger.flush()
+    return current_windows(spark, base).select("window_start", "deployment_id", "model_version", *met.COUNTERS, "latency_p50_ms",
+                                               "latency_p95_ms", "latency_p99_ms")

@@ -2,8 +2,9 @@
 
 A batch is staged by Spark's own writers below ``<base>/_staging``, which
 readers skip. Its manifest, put in place by one atomic rename, names every
-staged file and its place; from then on the batch counts. The files are then
-moved, and a marker says so. Whoever opens the log first finishes what a
+staged folder of files and its place; from then on the batch counts. The
+folders are then moved, each as a whole or, where the place has one already,
+file by file (Spark's file names are unique), and a marker says so. Whoever opens the log first finishes what a
 killed driver left: a batch with a manifest is moved on, one without has
 left nothing that a reader sees. A batch id that has a manifest is not
 written again, so a batch run twice stands in the tables once, and the first
@@ -57,10 +58,19 @@ class CommitLog:
     def _move(self, name: str) -> None:
         told = json.loads(self.files.read(f"{self.log}/{name}"))
         for source, target in told["moves"]:
-            self.files.move(f"{self.base}/{source}", f"{self.base}/{target}")
+            self._move_folder(f"{self.base}/{source}", f"{self.base}/{target}")
         self.files.write(f"{self.log}/{name.replace('.json', '.done')}", "")
         self.files.remove(f"{self.base}/{told['staging']}")
 
+    def _move_folder(self, source: str, target: str) -> None:
+        """Nothing to do if an earlier attempt has moved it; another driver may be doing the same."""
+        self.files.folder(target.rpartition("/")[0])
+        if not self.files.exists(target):
+            self.files.move(source, target)
+            return
+        for f in self.files.files_below(source):
+            self.files.move(f"{source}/{f}", f"{target}/{f}")
+
     # ---- writing
     def begin(self, batch_id: int | str) -> Batch | None:
         """A batch to write, or None if this id is committed."""
@@ -68,10 +78,14 @@ class CommitLog:
 
     def _commit(self, batch: Batch, state: dict) -> bool:
         name = f"{self._name(batch.id)}.json"
-        moves = [[f"{batch.staging}/{folder}/{f}", f"{folder}/{self._placed(f, batch)}"]
-                 for folder in batch.folders for f in self.files.files_below(f"{self.base}/{batch.staging}/{folder}")]
+        moves = []
+        for folder in batch.folders:
+            top = f"{batch.staging}/{folder}"
+            held = {f.rpartition("/")[0] for f in self.files.files_below(f"{self.base}/{top}")}
+            moves += [[f"{top}/{f}" if f else top, f"{folder}/{f}" if f else folder] for f in sorted(held)]
         told = {"staging": batch.staging, "moves": moves, "state": state}
         draft = f"{self.log}/.{batch.token}.json"
+        self.files.folder(self.log)
         self.files.write(draft, json.dumps(told))
         if not self.files.rename_new(draft, f"{self.log}/{name}"):
             self.files.remove(draft)
@@ -83,12 +97,6 @@ class CommitLog:
             self.files.remove(f"{self.log}/{old.replace('.json', '.done')}")
         return True
 
-    @staticmethod
-    def _placed(path: str, batch: Batch) -> str:
-        """A staged file keeps its partition folders; its name says which batch and attempt it is of."""
-        folder, _, name = path.rpartition("/")
-        return f"{folder + '/' if folder else ''}{CommitLog._name(batch.id)}-{batch.token}-{name}"
-
 
 class Batch:
     """One attempt at a batch: tables staged by Spark, published together by ``commit``."""

@@ -113,6 +113,23 @@ def request_log(events: DataFrame, n_deployments: int = 30) -> DataFrame:
     )
 
 
+def noisy_log(events: DataFrame) -> DataFrame:
+    """The request log with rows that belong in no window: outcomes unknown, absent or refused beforehand, and no time."""
+    eid = F.col("request_id")
+    outcome = (F.when(F.pmod(eid, F.lit(31)) == 0, F.lit("timeout")).when(F.pmod(eid, F.lit(37)) == 0, F.lit(None).cast("string"))
+               .when(F.pmod(eid, F.lit(41)) == 0, F.lit("invalid")).otherwise(F.col("outcome")))
+    return request_log(events).withColumns({"outcome": outcome, "completed_at": F.when(F.pmod(eid, F.lit(43)) != 0, F.col("completed_at"))})
+
+
+def redeployments(orders: DataFrame, n_deployments: int = 30) -> DataFrame:
+    """Activations that put bundle after bundle on the deployments of the request log, in its week: one per order."""
+    key = F.col("o_orderkey")
+    minutes = F.pmod(key, F.lit(10_007)).cast("int")
+    return orders.select(key.cast("string").alias("deployment_id"), F.pmod(key, F.lit(n_deployments)).cast("string").alias("onto"),
+                         (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("event_time"),
+                         F.lit("rollout").alias("activation_reason"), F.lit("serving").alias("traffic_status"))
+
+
 def bundle_metadata(orders: DataFrame, n_valid_keys: int = 5) -> DataFrame:
     """One model_metadata record per order, as the JSON reader would give it
     (all text), plus the path of the bundle's model file.

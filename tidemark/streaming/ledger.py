@@ -11,7 +11,7 @@ Everything that a batch gives is published by one manifest (``CommitLog``)
 together with the watermark, so a batch killed in the middle and run again
 counts once:
 
-    _partials/hour_id=N/                          value counts
+    _partials/span_id=N/                          value counts, by hour (``span_hours``)
     artifacts/serving/metrics/                    every closed window, once
     artifacts/serving/metrics_corrections/        a closed window again, when late rows came: version, record
     artifacts/serving/metrics_withheld/           closed windows of a deployment without lineage
@@ -45,20 +45,23 @@ PARTIAL_SCHEMA = T.StructType(
     + [T.StructField(c, T.StringType()) for c in ("endpoint_name", "deployment_id")]
     + [T.StructField("latency_ms", T.DoubleType()), T.StructField("n", T.LongType())]
     + [T.StructField(c, T.LongType()) for c in COUNTERS]
-    + [T.StructField("newest", T.LongType()), T.StructField("hour_id", T.LongType())])
+    + [T.StructField("newest", T.LongType()), T.StructField("span_id", T.LongType())])
 
 
 class MetricsLedger:
     """The windows below ``base_dir``; the log of what was written lies in ``log_dir`` (beside the stream's checkpoint).
 
     ``lineage`` has the valid contexts; of several of one deployment each
-    window has the one valid at its start.
+    window has the one valid at its start. ``layout`` names the folders of a
+    record, of date, hour and minute; partials are kept by ``span_hours``.
     """
 
     def __init__(self, spark: SparkSession, lineage: DataFrame, base_dir: str, log_dir: str | None = None,
-                 delay_seconds: float = 60, time_col: str = "completed_at"):
+                 delay_seconds: float = 60, time_col: str = "completed_at", layout: tuple[str, ...] = METRICS_BY,
+                 span_hours: int = 1):
         self.spark, self.lineage, self.base = spark, lineage, base_dir.rstrip("/")
         self.delay_us, self.time_col = int(delay_seconds * SECOND_US), time_col
+        self.layout, self.span_us = layout, span_hours * HOUR_US
         self.log = CommitLog(spark, base_dir, log_dir)
 
     # ---- reading
@@ -68,7 +71,7 @@ class MetricsLedger:
         return self.spark.read.schema(PARTIAL_SCHEMA).parquet(path)
 
     def partials(self) -> DataFrame:
-        """The value counts of all committed batches; ``hour_id`` prunes folders."""
+        """The value counts of all committed batches; ``span_id`` prunes folders."""
         return self._read_partials(f"{self.base}/{PARTIALS}")
 
     @property
@@ -107,18 +110,18 @@ class MetricsLedger:
         closed = state.get("closed")
         if closed is None:
             return False
-        still = self.partials().where(F.col("hour_id") >= (closed // HOUR_US) - 1).where(micros("window_end") > closed)
+        still = self.partials().where(F.col("span_id") >= (closed // self.span_us) - 1).where(micros("window_end") > closed)
         last = still.agg(F.max(micros("window_end"))).first()[0]
         batch = self.log.begin(f"{state['batch']:020d}_flush") if last is not None else None
         if batch is None:
             return False
-        self._stage_windows(batch, windows_of(still.drop("newest", "hour_id")))
+        self._stage_windows(batch, windows_of(still.drop("newest", "span_id")))
         return batch.commit(state | {"closed": last})
 
     def _stage_partials(self, batch: Batch, rows: DataFrame) -> str:
         counts = value_counts(rows.where(reject_reason(self.time_col).isNull()), self.time_col)
-        out = counts.withColumn("hour_id", F.floor(micros("window_start") / HOUR_US).cast("bigint"))
-        return batch.write(clustered(out.select(*PARTIAL_SCHEMA.names), ("hour_id",)), PARTIALS, "parquet", ("hour_id",))
+        out = counts.withColumn("span_id", F.floor(micros("window_start") / self.span_us).cast("bigint"))
+        return batch.write(clustered(out.select(*PARTIAL_SCHEMA.names), ("span_id",)), PARTIALS, "parquet", ("span_id",))
 
     def _late(self, closed: int):
         """A row whose window was closed before its batch came."""
@@ -134,28 +137,36 @@ class MetricsLedger:
 
     def _closing(self, known: DataFrame, closed: int | None, reached: int) -> DataFrame:
         end = micros("window_end")
-        due = known.where(F.col("hour_id") <= reached // HOUR_US).where(end <= reached)
+        due = known.where(F.col("span_id") <= reached // self.span_us).where(end <= reached)
         if closed is not None:
-            due = due.where(F.col("hour_id") >= closed // HOUR_US - 1).where(end > closed)
-        return windows_of(due.drop("newest", "hour_id"))
+            due = due.where(F.col("span_id") >= closed // self.span_us - 1).where(end > closed)
+        return windows_of(due.drop("newest", "span_id"))
 
     def _stage_windows(self, batch: Batch, windows: DataFrame) -> None:
-        out = utc_text(metrics_partitions(window_records(windows, self.lineage)))
-        batch.write(clustered(out, METRICS_BY), METRICS_DIR, "json", METRICS_BY, **NULLS_KEPT)
-        held = utc_text(metrics_partitions(withheld_windows(windows, self.lineage)))
-        batch.write(clustered(held, METRICS_BY), WITHHELD, "json", METRICS_BY, **NULLS_KEPT)
+        windows = windows.persist()
+        try:
+            out = utc_text(metrics_partitions(window_records(windows, self.lineage)))
+            self._stage_records(batch, out, METRICS_DIR)
+            held = utc_text(metrics_partitions(withheld_windows(windows, self.lineage)))
+            self._stage_records(batch, held, WITHHELD)
+        finally:
+            windows.unpersist()
+
+    def _stage_records(self, batch: Batch, records: DataFrame, folder: str) -> None:
+        unused = [c for c in METRICS_BY if c not in self.layout]
+        batch.write(clustered(records.drop(*unused), self.layout), folder, "json", self.layout, **NULLS_KEPT)
 
     def _stage_corrections(self, batch: Batch, known: DataFrame, fresh: DataFrame, closed: int, batch_id: int) -> None:
         """Closed windows that have rows in this batch, made anew from all their partials."""
-        changed = fresh.where(micros("window_end") <= closed).select("hour_id", *WINDOW_KEYS).distinct()
-        first, last = changed.agg(F.min("hour_id"), F.max("hour_id")).first()
+        changed = fresh.where(micros("window_end") <= closed).select("span_id", *WINDOW_KEYS).distinct()
+        first, last = changed.agg(F.min("span_id"), F.max("span_id")).first()
         if first is None:
             return
-        held = known.where(F.col("hour_id").between(first, last))
-        same = [held["hour_id"] == changed["hour_id"], *[held[c].eqNullSafe(changed[c]) for c in WINDOW_KEYS]]
-        windows = windows_of(held.join(changed, same, "left_semi").drop("newest", "hour_id"))
+        held = known.where(F.col("span_id").between(first, last))
+        same = [held["span_id"] == changed["span_id"], *[held[c].eqNullSafe(changed[c]) for c in WINDOW_KEYS]]
+        windows = windows_of(held.join(changed, same, "left_semi").drop("newest", "span_id"))
         out = utc_text(metrics_partitions(window_records(windows, self.lineage))).withColumn("version", F.lit(batch_id + 1).cast("bigint"))
-        batch.write(clustered(out, METRICS_BY), CORRECTIONS, "json", METRICS_BY, **NULLS_KEPT)
+        self._stage_records(batch, out, CORRECTIONS)
 
 
 def current_windows(spark: SparkSession, base_dir: str) -> DataFrame:

@@ -96,9 +96,8 @@ class MetricsLedger:
             if newest is not None:
                 reached = max(newest - self.delay_us, state.get("closed", newest - self.delay_us))
                 known = self.partials().unionByName(fresh)
-                self._stage_windows(batch, self._closing(known, closed, reached))
-                if closed is not None:
-                    self._stage_corrections(batch, known, fresh, closed, batch_id)
+                counts, changed = self._closing(known, closed, reached), self._changed(known, fresh, closed)
+                self._stage_windows(batch, counts if changed is None else counts.unionByName(changed), closed, batch_id)
                 state = {"closed": reached}
             return batch.commit(state | {"batch": batch_id})
         finally:
@@ -115,7 +114,7 @@ class MetricsLedger:
         batch = self.log.begin(f"{state['batch']:020d}_flush") if last is not None else None
         if batch is None:
             return False
-        self._stage_windows(batch, windows_of(still.drop("newest", "span_id")))
+        self._stage_windows(batch, still)
         return batch.commit(state | {"closed": last})
 
     def _stage_partials(self, batch: Batch, rows: DataFrame) -> str:
@@ -140,15 +139,33 @@ class MetricsLedger:
         due = known.where(F.col("span_id") <= reached // self.span_us).where(end <= reached)
         if closed is not None:
             due = due.where(F.col("span_id") >= closed // self.span_us - 1).where(end > closed)
-        return windows_of(due.drop("newest", "span_id"))
+        return due
 
-    def _stage_windows(self, batch: Batch, windows: DataFrame) -> None:
-        windows = windows.persist()
+    def _changed(self, known: DataFrame, fresh: DataFrame, closed: int | None) -> DataFrame | None:
+        """All partials of the closed windows that have rows in this batch."""
+        if closed is None:
+            return None
+        changed = fresh.where(micros("window_end") <= closed).select("span_id", *WINDOW_KEYS).distinct()
+        first, last = changed.agg(F.min("span_id"), F.max("span_id")).first()
+        if first is None:
+            return None
+        held = known.where(F.col("span_id").between(first, last))
+        same = [held["span_id"] == changed["span_id"], *[held[c].eqNullSafe(changed[c]) for c in WINDOW_KEYS]]
+        return held.join(changed, same, "left_semi")
+
+    def _stage_windows(self, batch: Batch, counts: DataFrame, closed: int | None = None, batch_id: int = 0) -> None:
+        """Records of the windows of some partials: those that close now, and with a version those that ``closed`` had before."""
+        windows = windows_of(counts.drop("newest", "span_id")).persist()
         try:
-            out = utc_text(metrics_partitions(window_records(windows, self.lineage)))
-            self._stage_records(batch, out, METRICS_DIR)
-            held = utc_text(metrics_partitions(withheld_windows(windows, self.lineage)))
-            self._stage_records(batch, held, WITHHELD)
+            before = F.lit(False) if closed is None else micros("window_end") <= closed
+            out = window_records(windows.where(~before), self.lineage)
+            self._stage_records(batch, utc_text(metrics_partitions(out)), METRICS_DIR)
+            held = withheld_windows(windows.where(~before), self.lineage)
+            self._stage_records(batch, utc_text(metrics_partitions(held)), WITHHELD)
+            if closed is not None:
+                again = window_records(windows.where(before), self.lineage)
+                again = utc_text(metrics_partitions(again)).withColumn("version", F.lit(batch_id + 1).cast("bigint"))
+                self._stage_records(batch, again, CORRECTIONS)
         finally:
             windows.unpersist()
 
@@ -156,18 +173,6 @@ class MetricsLedger:
         unused = [c for c in METRICS_BY if c not in self.layout]
         batch.write(clustered(records.drop(*unused), self.layout), folder, "json", self.layout, **NULLS_KEPT)
 
-    def _stage_corrections(self, batch: Batch, known: DataFrame, fresh: DataFrame, closed: int, batch_id: int) -> None:
-        """Closed windows that have rows in this batch, made anew from all their partials."""
-        changed = fresh.where(micros("window_end") <= closed).select("span_id", *WINDOW_KEYS).distinct()
-        first, last = changed.agg(F.min("span_id"), F.max("span_id")).first()
-        if first is None:
-            return
-        held = known.where(F.col("span_id").between(first, last))
-        same = [held["span_id"] == changed["span_id"], *[held[c].eqNullSafe(changed[c]) for c in WINDOW_KEYS]]
-        windows = windows_of(held.join(changed, same, "left_semi").drop("newest", "span_id"))
-        out = utc_text(metrics_partitions(window_records(windows, self.lineage))).withColumn("version", F.lit(batch_id + 1).cast("bigint"))
-        self._stage_records(batch, out, CORRECTIONS)
-
 
 def current_windows(spark: SparkSession, base_dir: str) -> DataFrame:
     """The latest version of every window: written records (version 0) overlaid by their corrections."""

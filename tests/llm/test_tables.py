@@ -204,10 +204,23 @@ def test_deduplicate(spark, docs, texts, none):
     assert left.columns == docs.columns
     want = {k for k, _, c in brute(list(enumerate(texts)), 5, 80) if c in (None, k)} | {k for k, t in enumerate(texts) if not (t or "").split()}
     ids = [r["doc_id"] for r in left.collect()]
-    assert {*ids} == want | {None} and len(ids) == len(want) + 1
+    assert {*ids} == want and len(ids) == len(want)  # the row without an id is a copy of row 9, which stays
     assert op7.deduplicate(none).count() == 0 and op7.join(none, 4, 85).count() == 0
 
 
+def test_deduplicate_tells_rows_apart_by_id_and_text(spark):
+    """One id with two texts, copies without an id, repeated rows, clashing names, texts without words."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (3, c + " d"), (4, ""), (4, ""), (None, None), (5, b.upper()), (1, a)]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id int, text string, th int")
+    got = op7.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(
+        map(str, [(1, a), (2, b), (3, c + " d"), (4, ""), (4, ""), (None, None)]))
+    alone = spark.createDataFrame([(None, c), (None, c), (None, c + " d"), (9, a)], "doc_id int, text string")
+    assert sorted(r["text"] for r in op7.deduplicate(alone).collect())[0] == a and op7.deduplicate(alone).count() == 2
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     sizes = [docs.count()]

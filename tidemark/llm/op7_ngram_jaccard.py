@@ -228,7 +228,7 @@ def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text", fragments: int = FRAGMENTS) -> DataFrame:
-    """Per row: rid (a row number), doc_id, n_shingles, component (least rid) and component_id (least doc_id)."""
+    """Per row: rid (a row number), doc_id, th (a hash of its text), n_shingles, component (least rid) and component_id (least doc_id)."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     keep = lambda df, name: saved(df, scratch(spark, name))
@@ -293,26 +293,35 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
         "d1", "d2", "rid", "least", F.coalesce("b", "rid").alias("component"))
     least = of.groupBy("component").agg(F.min("least").alias("component_id"))
     members = of.join(least, "component").select("d1", "d2", "component", "component_id")
-    with_words = signed.where("n > 0").select("rid", "doc_id", "n", "d1", "d2").join(members, ["d1", "d2"])
-    without = signed.where("n = 0").select("rid", "doc_id", "n", F.col("rid").alias("component"), F.col("doc_id").alias("component_id"))
-    return (with_words.select("rid", "doc_id", "n", "component", "component_id").unionByName(without)
+    with_words = signed.where("n > 0").select("rid", "doc_id", "th", "n", "d1", "d2").join(members, ["d1", "d2"])
+    without = signed.where("n = 0").select("rid", "doc_id", "th", "n", F.col("rid").alias("component"), F.col("doc_id").alias("component_id"))
+    return (with_words.select("rid", "doc_id", "th", "n", "component", "component_id").unionByName(without)
             .withColumnRenamed("n", "n_shingles"))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with one row per group of linked documents, the one of least id; all columns as they are.
 
-    Rows are told apart by id: rows of the kept id that hold the same text
-    become one, and rows without an id stay.
+    Rows are told apart by id and text: of one id with two texts in two
+    groups both stay. A row without an id comes last in its group; rows of
+    the kept id and text become one. Texts without words stay, all of them.
     """
-    found = join(docs, n, percent, id_col, text_col).where("doc_id IS NOT NULL AND n_shingles > 0")
-    found = saved(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("k")),
-                  scratch(docs.sparkSession, "members"))
-    key = f"{id_col}"
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key))
-    again = found.where("doc_id = component_id AND k > 1").select(F.col("doc_id").alias(key))
-    once = docs.join(gone.unionByName(again), key, "left_anti")
-    repeated = docs.join(again, key, "left_semi").dropDuplicates([key, text_col])
+    name, text = "__jaccard_th", text_of(text_col)
+    found = join(docs, n, percent, id_col, text_col).where("n_shingles > 0")
+    found = saved(found.groupBy("component", "doc_id", "th").agg(F.count(F.lit(1)).alias("k")), scratch(docs.sparkSession, "members"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    kept = found.groupBy("component").agg(F.min(order).alias("kept"))
+    found = found.join(kept, "component").withColumn("stays", order == F.col("kept"))
+    hashed = docs.withColumn(name, F.xxhash64(text))
+
+    def same(of: DataFrame):
+        return hashed[id_col].cast("bigint").eqNullSafe(of["doc_id"]) & (hashed[name] == of["th"])
+
+    gone = found.where(~F.col("stays")).select("doc_id", "th")
+    again = found.where("stays AND k > 1").select("doc_id", "th")
+    out = gone.unionByName(again)
+    once = hashed.join(out, same(out), "left_anti")
+    repeated = hashed.join(again, same(again), "left_semi").dropDuplicates([id_col, name])
     return once.unionByName(repeated).select(docs.columns)
 
 

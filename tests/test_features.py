@@ -183,3 +183,35 @@ def test_salted_slices_equal_plain_plan_on_the_given_tables(spark):
     salted = reconstruct(i.obs, i.metrics, rows_per_slice=5)
     assert plain.count() == salted.count()
     assert plain.exceptAll(salted).count() == 0 and salted.exceptAll(plain).count() == 0
+
+
+def test_frames_of_many_panes_equal_brute_force(spark):
+    """Widths of 2, 7 and 14 panes of five minutes: every function, gaps, equal times, NULL values, exact edges."""
+    minute = 60_000_000
+    rng = random.Random(12)
+    t0 = datetime(2025, 1, 1)
+    right = [(rng.choice("ab"), t0 + timedelta(seconds=rng.choice([30, 60]) * rng.randint(0, 700)), rng.choice([None, float(rng.randint(-9, 9))]))
+             for _ in range(260)]
+    right += [("c", t0 + timedelta(minutes=5 * k), float(k)) for k in (0, 1, 14, 15, 28, 60)]
+    left = [(k, t0 + timedelta(seconds=s)) for k in "abcd" for s in [*(rng.randint(-600, 30_000) for _ in range(60)), 0, 300, 4200, 4201, 8400]]
+    widths = {"10": 10, "35": 35, "70": 70}
+    rolling = [Rolling(f"{fn}_{name}", fn, "v", w * minute) for name, w in widths.items() for fn in ("avg", "min", "max", "sum", "count")]
+    out = point_in_time(spark.createDataFrame(left, "k string, t timestamp_ntz"), spark.createDataFrame(right, "k string, at timestamp_ntz, v double"),
+                        key="k", left_time="t", right_time="at", rolling=rolling, bucket_us=70 * minute)
+    for r in out.collect():
+        for name, w in widths.items():
+            vs = [v for k, at, v in right if k == r["k"] and r["t"] - timedelta(minutes=w) <= at <= r["t"] and v is not None]
+            assert r[f"count_{name}"] == len(vs)
+            want = (sum(vs) / len(vs), min(vs), max(vs), sum(vs)) if vs else (None,) * 4
+            assert all(g == x or abs(g - x) < 1e-9 for g, x in zip((r[f"{f}_{name}"] for f in ("avg", "min", "max", "sum")), want)), (r, name, want)
+
+
+def test_plan_has_growing_frames_alone_and_runs_nothing_early(spark):
+    m = metrics_df(spark, metrics_rows(minutes=90))
+    o = obs_df(spark, [("station_1", OBS_TS)])
+    spark.sparkContext.setJobGroup("features", "")
+    plan = reconstruct(o, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("features")) == []
+    spark.sparkContext.setJobGroup("after", "")
+    frames = plan.split("specifiedwindowframe(")[1:]
+    assert frames and all(f.startswith("RangeFrame, unboundedpreceding$()") for f in frames)

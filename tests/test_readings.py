@@ -86,7 +86,7 @@ def test_prediction_stream_from_the_store(spark, tmp_dir):
     every = metrics_df(spark, [r for p in parts() for r in p])
     assert store.readings.count() == every.where("station_id IS NOT NULL").count()
 
-    req = spark.createDataFrame([(n, s, t.isoformat()) for n, (s, t) in enumerate(points()) if s and t] + [(99, " ", None), (98, "busy", "soon")],
+    req = spark.createDataFrame([(n, s, t.isoformat()) for n, (s, t) in enumerate(points()) if s and t] + [(99, " ", "2025-06-02T00:00:00"), (98, "busy", "soon")],
                                 "n int, entity_id string, timestamp string")
     req.coalesce(1).write.parquet(os.path.join(tmp_dir, "req"))
     stream = spark.readStream.schema(req.schema).parquet(os.path.join(tmp_dir, "req"))

@@ -311,16 +311,15 @@ def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, id_col="doc_id",
     found = saved(found.groupBy("component", "doc_id", "th").agg(F.count(F.lit(1)).alias("k")), scratch(docs.sparkSession, "members"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
     kept = found.groupBy("component").agg(F.min(order).alias("kept"))
-    found = found.join(kept, "component").withColumn("stays", order == F.col("kept"))
+    found = found.join(kept, "component").withColumn("stays", order == F.col("kept")).where("NOT stays OR k > 1")
+    found = saved(found.select("doc_id", "th", "stays"), scratch(docs.sparkSession, "marked"))  # of known size to the joins below
     hashed = docs.withColumn(name, F.xxhash64(text))
 
     def same(of: DataFrame):
         return hashed[id_col].cast("bigint").eqNullSafe(of["doc_id"]) & (hashed[name] == of["th"])
 
-    gone = found.where(~F.col("stays")).select("doc_id", "th")
-    again = found.where("stays AND k > 1").select("doc_id", "th")
-    out = gone.unionByName(again)
-    once = hashed.join(out, same(out), "left_anti")
+    again = found.where("stays").select("doc_id", "th")
+    once = hashed.join(found, same(found), "left_anti")
     repeated = hashed.join(again, same(again), "left_semi").dropDuplicates([id_col, name])
     return once.unionByName(repeated).select(docs.columns)
 

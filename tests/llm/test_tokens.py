@@ -1,5 +1,6 @@
 """Token counts, packed ids and secrets against their libraries and plain code."""
 
+import random
 import re
 import zlib
 
@@ -64,6 +65,32 @@ def test_runs_encode_as_the_library_does(texts):
         assert ids[bounds[k]:bounds[k + 1]].tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_encode_as_the_library_does_and_evict():
+    m, rng = model("word_bpe_49k.json"), random.Random(3)
+    signs = [*"aBcZ'stre<|>endoftext  \n\t0123.,;!?$-_éÉßÀÞ×÷ªǺ\u0301\u0085\x00\x1c\u00a0中🙂İſK", "<|endoftext|>", "<|STARTOFTEXT|>", "'LL", "'ve"]
+    every = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    tok, runs = op8.load_tokenizer(m), op8.RunIds(op8.load_tokenizer(m))
+    assert runs.fits
+    runs.LIMIT, runs.IDS = 64, 256
+    most = 0
+    for k in range(0, len(every), 100):
+        some = every[k:k + 100]
+        ids, bounds = runs.encode(op8.Words([t.encode() for t in some]))
+        got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in some]
+        most = max(most, len(runs.keys))
+    assert most < 1500  # of far more distinct pieces
+
+
+def test_tokenizer_of_other_rules_encodes_whole_texts():
+    m = model("byte_bpe_50k.json")
+    tok, runs = op8.load_tokenizer(m), op8.RunIds(op8.load_tokenizer(m))
+    every = ["", "Two  words", "It's ÀÉ 12 <|endoftext|>", " x\n\ny"]
+    ids, bounds = runs.encode(op8.Words([t.encode() for t in every]))
+    assert not runs.fits
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in every]
+
+
 def test_shards_round_trip(spark, docs, texts):
     m = model("word_bpe_49k.json")
     tok = Tokenizer.from_str(m.decode())

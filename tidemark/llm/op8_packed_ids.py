@@ -24,10 +24,11 @@ empty result; other columns are ignored. Texts are encoded whole.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import itertools
+import json
 import os
-import re
 import uuid
 import zlib
 from pathlib import Path
@@ -39,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, saved, scratch, shuffle_partitions, table, text_of, word_batches
+from tidemark.llm.common import Words, saved, scratch, shuffle_partitions, sliced, table, text_of, word_batches
 
 MAGIC = b"TMBITS01"
 BLOCK = 1 << 14  # ids, a multiple of 64
@@ -147,82 +148,180 @@ class ShardReader:
         return got[start - a * self.block:end - a * self.block]
 
 
+# The rules that pieces rely on, as the tokenizer's file states them.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def follows_rules(tokenizer) -> bool:
+    """Whether the tokenizer normalises, splits and maps bytes as ``RunIds`` expects."""
+    spec = json.loads(tokenizer.to_str())
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    return ((spec["normalizer"] or {}).get("normalizers") == NORMALIZERS and len(steps) == 2
+            and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("invert") and steps[0]["behavior"] == "Removed"
+            and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1].get("use_regex", True)
+            and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+            and all("<" in t["content"] and not t["content"].split()[1:] for t in spec["added_tokens"]))
+
+
+SPACE, LETTER, DIGIT, SYMBOL, OTHER = range(5)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+_CLASS[33:127] = SYMBOL
+_CLASS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = LETTER
+_CLASS[48:58] = DIGIT
+_CLASS[[ord("'"), ord("<")]] = OTHER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def pieces_of(w: Words) -> tuple[Words, np.ndarray]:
+    """The pieces that the tokenizer sees in ``w``, and each byte's class.
+
+    Runs of ASCII and the Latin letters of U+00C0 to U+00FF are split into
+    letters, single digits and symbols, in lower case. Runs with anything else
+    stay whole and as they are (``OTHER``): apostrophes, since contractions
+    depend on what follows, and "<", which begins a special string, included.
+    """
+    a = w.array
+    kind, low = _CLASS[a], _LOWER[a]
+    odd = kind == OTHER
+    behind = np.flatnonzero((a & 0xC0) == 0x80)
+    if len(behind):
+        latin = (a[behind - 1] == 0xC3) & (a[behind] != 0x97) & (a[behind] != 0xB7)
+        odd[behind[~latin]] = True
+        upper = behind[latin & (a[behind] < 0x9F)]
+        low[upper] += 32
+    at = np.flatnonzero(odd)
+    if len(at):
+        runs = np.unique(np.searchsorted(w.starts, at, "right") - 1)
+        edge = np.zeros(len(a) + 1, np.int8)
+        edge[w.starts[runs]] += 1
+        edge[w.ends[runs]] -= 1
+        whole = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        kind[whole] = OTHER
+        low[whole] = a[whole]
+    edge = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    out = copy.copy(w)
+    out.array, out._hashes = low, None
+    out.starts = np.flatnonzero(edge & (kind[1:] != SPACE)) + 1
+    out.ends = np.flatnonzero((edge | (kind[:-1] == DIGIT)) & (kind[:-1] != SPACE)) + 1
+    out.first = np.searchsorted(out.starts, w.text_starts)
+    return out, kind
+
+
 class RunIds:
-    """Ids of runs without white space.
+    """Ids of texts from the ids of their pieces.
 
     No rule of the tokenizer reaches across white space (it splits words
-    there and drops it; special strings hold none), so a text's ids are those
-    of its runs one after another. A run of Latin letters with ASCII
-    punctuation behind it splits again in the tokenizer, between the two, and
-    its normaliser makes such letters lower case; all else goes through the
-    tokenizer as it is. Runs are found and hashed by numpy; each distinct run
-    is encoded once, and what was met is kept, up to a bound, for as long as
-    the Python worker lives.
+    there and drops it; special strings hold none), nor from one piece of
+    ``pieces_of`` to the next. Pieces are found and hashed by numpy and looked
+    up in a hash table of numpy arrays; each new piece is encoded once. The
+    store lives as long as the Python worker: beyond ``LIMIT`` pieces or
+    ``IDS`` ids it keeps the more used half. A tokenizer of other rules
+    encodes whole texts.
     """
 
-    LIMIT = 1 << 19  # runs
-    IDS = 1 << 23  # their ids
-    LATIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+    LIMIT = 1 << 20  # pieces, about 45 MB
+    IDS = 1 << 23  # their ids, 32 MB
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        self.tokenizer, self.model, self.fits = tokenizer, tokenizer.model, follows_rules(tokenizer)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in visible]
         #: The byte-level alphabet: visible bytes are themselves, others are moved up from 256.
         self.alphabet = {b: 256 + k for k, b in enumerate(hidden)}
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.heads = {}, {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.at, self.size = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
-
-    def _head(self, part: bytes) -> list[int]:
-        """Ids of lower-case Latin letters or of ASCII punctuation."""
-        ids = self.heads.get(part)
-        if ids is None:
-            text = part.decode("latin-1").translate(self.alphabet)
-            ids = self.heads[part] = [t.id for t in self.model.tokenize(text)]
-        return ids
-
-    def _learn(self, hashes: list[int], runs: list[bytes]) -> None:
-        got, slow = [None] * len(runs), []
-        for k, run in enumerate(runs):
-            if m := self.LATIN.fullmatch(run):
-                head, tail = m.groups()
-                head = head.lower() if head.isascii() else head.decode().lower().encode()
-                got[k] = self._head(head) + self._head(tail) if tail else self._head(head)
-            else:
-                slow.append(k)
-        texts = [runs[k].decode("utf-8", "replace") for k in slow]
+        none = np.empty(0, np.int64)
+        self._set(none.astype(np.uint64), none, none.astype(np.uint32), none)
+
+    def _set(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray, uses: np.ndarray) -> None:
+        """The store of these pieces: their hashes, numbers of ids, ids and uses."""
+        self.keys, self.size, self.flat, self.uses = keys, size, flat, uses
+        self.at = np.cumsum(size) - size
+        self.mask = np.int64((1 << max(2 * max(len(keys), self.LIMIT) - 1, 1).bit_length()) - 1)
+        self.slot = np.full(int(self.mask) + 1, -1, np.int32)
+        self._place(0)
+
+    def _home(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(self.mask)).astype(np.int64)
+
+    def _place(self, n: int) -> None:
+        """Put pieces n, n + 1, ... into the table."""
+        todo = np.arange(n, len(self.keys))
+        home = self._home(self.keys[n:])
+        while len(todo):
+            free = self.slot[home] < 0
+            self.slot[home[free]] = todo[free]
+            left = self.slot[home] != todo
+            todo, home = todo[left], (home[left] + 1) & self.mask
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes, -1 for new ones."""
+        home = self._home(h)
+        out = self.slot[home].astype(np.int64)
+        todo = np.flatnonzero(out >= 0)
+        todo = todo[self.keys[out[todo]] != h[todo]]
+        while len(todo):
+            home[todo] = (home[todo] + 1) & self.mask
+            out[todo] = self.slot[home[todo]]
+            todo = todo[out[todo] >= 0]
+            todo = todo[self.keys[out[todo]] != h[todo]]
+        return out
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes], whole: np.ndarray) -> None:
+        got, slow, tokenize = [None] * len(pieces), np.flatnonzero(whole).tolist(), self.model.tokenize
+        for k in np.flatnonzero(~whole).tolist():
+            piece = pieces[k]
+            text = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.alphabet)
+            got[k] = [t.id for t in tokenize(text)]
+        texts = [pieces[k].decode("utf-8", "replace") for k in slow]
         for k, e in zip(slow, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             got[k] = e.ids
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        n, end = len(self.known), self.used + int(sizes.sum())
-        if end > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * end)
-        if n + len(got) > len(self.at):
-            self.at, self.size = np.resize(self.at, 2 * (n + len(got))), np.resize(self.size, 2 * (n + len(got)))
-        self.flat[self.used:end] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, end - self.used)
-        self.size[n:n + len(got)] = sizes
-        self.at[n:n + len(got)] = self.used + np.cumsum(sizes) - sizes
-        self.used = end
-        self.known.update(zip(hashes, range(n, n + len(got))))
+        n, used = len(self.keys), len(self.flat)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(got), np.uint32, int(size.sum()))])
+        self.at = np.concatenate([self.at, used + np.cumsum(size) - size])
+        self.size, self.keys = np.concatenate([self.size, size]), np.concatenate([self.keys, hashes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(got), np.int64)])
+        if 2 * len(self.keys) > len(self.slot):
+            self._set(self.keys, self.size, self.flat, self.uses)
+        else:
+            self._place(n)
+
+    def _ids(self, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these pieces one after another, and where each one's end."""
+        size = self.size[piece]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.at[piece] - ends + size, size) + np.arange(size.sum())], ends
+
+    def _evict(self) -> None:
+        """Keep the more used half; uses are halved, so that old ones fade."""
+        order = np.argsort(-self.uses, kind="stable")[:self.LIMIT // 2]
+        keep = np.sort(order[np.cumsum(self.size[order]) <= self.IDS // 2])
+        self._set(self.keys[keep], self.size[keep], self._ids(keep)[0], self.uses[keep] >> 1)
 
     def encode(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all runs, and the bounds of each text in them."""
-        if len(self.known) > self.LIMIT or self.used > self.IDS:
-            self.clear()
-        distinct, seen, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        keys, known = distinct.tolist(), self.known
-        new = [k for k, h in enumerate(keys) if h not in known]
-        if new:
-            self._learn([keys[k] for k in new], [w.word(seen[k]) for k in new])
-        run = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[back]
-        size = self.size[run]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[run] - ends + size, size) + np.arange(total)]
+        """Ids of all texts, and the bounds of each text in them."""
+        if not self.fits:
+            cut = w.text_starts.tolist()
+            texts = [w.buf[a:b - 1].decode("utf-8", "replace") for a, b in zip(cut, cut[1:])]
+            got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *got]), np.cumsum([0, *map(len, got)])
+        if len(self.keys) > self.LIMIT or len(self.flat) > self.IDS:
+            self._evict()
+        w, kind = pieces_of(w)
+        piece = self._find(w.hashes)
+        miss = np.flatnonzero(piece < 0)
+        if len(miss):
+            n = len(self.keys)
+            new, seen = np.unique(w.hashes[miss], return_index=True)
+            starts, ends, data = w.starts[miss[seen]], w.ends[miss[seen]], w.array.data
+            self._learn(new, [bytes(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], kind[starts] == OTHER)
+            piece[miss] = n + np.searchsorted(new, w.hashes[miss])
+        self.uses += np.bincount(piece, minlength=len(self.uses))
+        ids, ends = self._ids(piece)
         return ids, np.concatenate([[0], ends])[w.first]
 
 
@@ -256,14 +355,14 @@ def write_shards(docs: DataFrame, model: bytes, out: str, end_id: int = END_ID,
         shard, writer = TaskContext.get().partitionId(), None
         path = f"{out}/shards/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         sink = None
-        for b in batches:
+        for b in sliced(batches):
             doc_ids = b.column("doc_id").to_pylist()
             if doc_ids and writer is None:
                 store, place = pafs.FileSystem.from_uri(path)
                 store.create_dir(os.path.dirname(place), recursive=True)
                 sink = store.open_output_stream(place, compression=None)
                 writer = ShardWriter(sink, bits, block)
-            for first, w in word_batches(b.column("text").to_pylist(), size=1 << 22):
+            for first, w in word_batches(b.column("text").to_pylist(), size=1 << 21):
                 ids, bounds = runs.encode(w)
                 for k, doc_id in enumerate(doc_ids[first:first + len(bounds) - 1]):
                     writer.add(doc_id, np.append(ids[bounds[k]:bounds[k + 1]], np.uint32(end_id)))

@@ -16,7 +16,7 @@ from conftest import MEDIUM
 from tidemark.llm import op4_mixture as op4
 from tidemark.llm import op6_warc as op6
 from tidemark.llm import op7_ngram_jaccard as op7
-from tidemark.llm.common import scratch
+from tidemark.llm.common import saved, scratch
 from tidemark.llm.graph import components
 from tidemark.llm.sql import LLM_ORACLES
 from tools.compare import digest
@@ -199,6 +199,39 @@ def test_join_equals_brute_force(spark, docs, texts, monkeypatch, n, percent, pa
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows, n, percent), key=key)
 
 
+def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies with one to six edits each: every step's pairs stay near the number of members, not of their pairs."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(240):
+        words = list(base)
+        for at in rng.sample(range(300), rng.randint(1, 6)):
+            words[at] = f"e{rng.randint(0, 10 ** 6)}"
+        rows.append((k, " ".join(words)))
+    made = []
+
+    def counting(df, path):
+        out = saved(df, path)
+        if "/pairs-" in path:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(op7, "saved", counting)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in op7.join(df, 5, 80).collect()}
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    least = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((least[a], least[b]))
+                least = [low if x == high else x for x in least]
+    assert got == dict(enumerate(least))
+    assert sum(made) < 10 * len(rows), made  # all pairs: 28,680
+
+
 def test_deduplicate(spark, docs, texts, none):
     left = op7.deduplicate(docs)
     assert left.columns == docs.columns

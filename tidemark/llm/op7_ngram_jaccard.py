@@ -13,12 +13,16 @@ Candidates share one of the first (rarest) ``n - ceil(t n) + 1`` n-grams, as
 any linked pair must, and pass length and position filters. Equal sets are one
 class before anything is joined. The documents behind an n-gram that ``PAIRED``
 or fewer share are paired; those behind a more frequent one are not: in
-rounds, each such n-gram compares its documents to a few pivots, links merge
-into components, and n-grams whose documents are all in one component are done
-(their other pairs cannot change a component). What then still spans
+rounds, each such n-gram compares its documents to a few pivots (those that
+hold the most of such n-grams, so near the middle of their group, and mostly
+the same ones for all n-grams of a group), links merge into components, and
+n-grams whose documents are all in one component are done (their other pairs
+cannot change a component). What then still spans
 components is compared in full, pairs of different components only. So a group
 of copies costs a few comparisons per member, and no link between components
-is lost. Only sets of documents in a candidate pair are ever moved.
+is lost. N-grams are counted first; rows of those that only one set holds, as
+far as a bit filter tells, are not moved, nor are sets outside a candidate
+pair, nor those of earlier rounds.
 
 Defined results: a null or empty text, or one without words, has the empty
 set and is linked with nothing; fewer words than ``n`` are one n-gram;
@@ -44,7 +48,8 @@ BYTES_PER_SLOT = 64  # of text, for a slot of the count sketch
 SKETCH_BITS = (16, 26)  # least and most: 64 MB as magnitudes at most
 CHUNK = 1 << 16
 PAIRED = 32  # documents
-FILTER_BITS = 26  # 8 MB
+FILTER_BITS = (16, 28)  # least and most of a bit filter: 32 MB at most
+BITS_PER_KEY = 64
 PIVOTS = (1, 4, 16)  # per n-gram, round by round, before the rest is compared in full
 SIGNATURE = "rid bigint, doc_id bigint, th bigint, n bigint, d1 bigint, d2 bigint, prefix array<bigint>"
 
@@ -182,9 +187,8 @@ def _segments(order, n, words_):
         o, bits, seen = order.value, words_.value, set()
         for b in sliced(batches):
             rows = []
-            at = b.column("th").to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)
-            hit = bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            for s in sets_of(b.column("text").filter(pa.array(hit.astype(bool))).to_pylist(), n):
+            hit = may_hold(bits, b.column("th").to_numpy(zero_copy_only=False))
+            for s in sets_of(b.column("text").filter(pa.array(hit)).to_pylist(), n):
                 d = digest(s)
                 if not len(s) or d in seen:
                     continue
@@ -199,16 +203,38 @@ def _segments(order, n, words_):
     return segments
 
 
-def text_filter(needed: DataFrame) -> np.ndarray:
-    """A bit per text hash, modulo a fixed size; it only saves work, the join behind it decides."""
-    at = F.col("th").bitwiseAND((1 << FILTER_BITS) - 1)
-    words_ = (needed.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(th & 63 as int))").alias("bit"))
+def bit_filter(of: DataFrame, key: str) -> np.ndarray:
+    """A bit per key, modulo a size that follows their number up to a bound; it only saves work, the join behind it decides."""
+    bits = min(max((BITS_PER_KEY * of.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    at = F.col(key).bitwiseAND((1 << bits) - 1)
+    words_ = (of.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit"))
               .groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow())
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[words_.column("w").to_numpy()] = words_.column("bits").to_numpy().view(np.uint64)
     return out
 
 
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (64 * len(bits) - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _tokens(shared):
+    """Rows (rid, n, pos, token) of the prefixes' n-grams that the filter may hold."""
+    def tokens(batches):
+        bits = shared.value
+        for b in sliced(batches):
+            prefix = b.column("prefix")
+            token, size = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy()
+            hit = np.flatnonzero(may_hold(bits, token))
+            row = np.repeat(np.arange(len(size)), size)[hit]
+            pos = hit - (np.cumsum(size) - size)[row]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rid").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(pos, pa.int32()), pa.array(token[hit])],
+                ["rid", "n", "pos", "token"])
+    return tokens
+
+
 def segments_of(rows: DataFrame, needed: DataFrame, order, n: int, bits) -> DataFrame:
     """rid, n, fragment, segment of the needed sets, from one more pass over the texts."""
     found = (rows.select("text", "th").mapInArrow(_segments(order, n, bits), "d1 bigint, d2 bigint, fragment int, segment array<bigint>")
@@ -238,11 +264,19 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
     signed = keep(rows.mapInArrow(_signatures(order, n, percent), SIGNATURE), "signatures")
     classes = keep(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
 
-    tokens = signed.join(classes.select("rid"), "rid", "left_semi").select("rid", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    # N-grams of one set only are counted and left where they are: the others alone are moved with their rows.
+    prefixes = signed.join(classes.select("rid"), "rid", "left_semi").select("rid", "n", "prefix")
+    counted = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    shared = keep(counted.where("k > 1"), "shared")
+    bits = sc.broadcast(bit_filter(shared, "token"))
+    tokens = prefixes.mapInArrow(_tokens(bits), "rid bigint, n bigint, pos int, token bigint")
     tokens = keep(tokens.join(shared, "token"), "shared-tokens")
-    few = tokens.where(F.col("k") <= PAIRED).drop("k")
-    many = tokens.where(F.col("k") > PAIRED).drop("k")
+    bits.unpersist()
+    few = tokens.where(F.col("k") <= PAIRED).drop("k").repartition("token")  # one exchange for both sides of its join
+    many = tokens.where(F.col("k") > PAIRED)
+    # A set of many frequent n-grams is near the middle of its group: it is the better pivot.
+    weight = F.least(F.sum("k"), F.lit((1 << 31) - 1)).alias("weight")
+    many = keep(many.drop("k").join(many.groupBy("rid").agg(weight), "rid"), "frequent-tokens")
 
     def other(of: DataFrame, *more) -> DataFrame:
         return of.select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *more)
@@ -258,15 +292,16 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
     for turn in range(len(PIVOTS) + 1):
         if turn:
             spread = many.join(labels, many["rid"] == labels["a"], "left").select(
-                "token", "rid", "n", "pos", F.coalesce("b", "rid").alias("label"))
+                "token", "rid", "n", "pos", "weight", F.coalesce("b", "rid").alias("label"))
             open_ = (spread.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
                      .agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token"))
             spread = keep(spread.join(open_, "token"), "open-tokens")
         label = F.col("label").alias("la")
         if turn < len(PIVOTS):
-            # First the same pivot for as many n-grams as possible; then more of them, drawn anew for each n-gram and round.
-            key = F.col("rid") if turn == 0 else F.xxhash64("rid", "token", F.lit(turn))
-            slot = F.lit(0) if turn == 0 else F.pmod(F.xxhash64("rid", F.lit(turn)), F.lit(PIVOTS[turn]))
+            # The same pivots for as many n-grams of a group as possible, dealt anew each round: few distinct pairs.
+            drawn = F.xxhash64("rid", F.lit(turn))
+            key = F.shiftleft((1 << 31) - 1 - F.col("weight"), 32).bitwiseOR(drawn.bitwiseAND((1 << 32) - 1))
+            slot = F.pmod(drawn, F.lit(PIVOTS[turn]))
             pivots = spread.groupBy("token", slot.alias("slot")).agg(F.min(key).alias("key")).drop("slot")
             pivot = other(spread.withColumn("key", key).join(pivots, ["token", "key"]), label)
             pairs = candidates(spread.join(pivot, "token").where("la <> label"))
@@ -276,15 +311,16 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
             pairs = pairs.unionByName(candidates(few.join(other(few), "token").where("a < rid")))
         pairs = keep(pairs.distinct(), "pairs")
         wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
+        met = wanted = keep(wanted, "met")
         if segments is not None:
             wanted = wanted.join(segments.select("rid").distinct(), "rid", "left_anti")
         wanted = keep(signed.select("rid", "th", "n", "d1", "d2").join(wanted, "rid"), "wanted")
         if segments is None or not wanted.isEmpty():
-            bits = sc.broadcast(text_filter(wanted))
+            bits = sc.broadcast(bit_filter(wanted, "th"))
             more = keep(segments_of(rows, wanted, order, n, bits), "segments")
             bits.unpersist()
             segments = more if segments is None else segments.unionByName(more)
-        new = keep(links(pairs, segments, percent), "links")
+        new = keep(links(pairs, segments.join(met, "rid", "left_semi"), percent), "links")
         if labels is None or not new.isEmpty():
             labels = components(new if labels is None else labels.unionByName(new))
 

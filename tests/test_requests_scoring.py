@@ -1,5 +1,6 @@
 """Request normalisation, outcome mapping and bulk scoring."""
 
+import re
 from datetime import datetime
 
 import numpy as np
@@ -118,3 +119,13 @@ def test_text_is_parsed_once_a_row(spark):
     plan = late.select("k", "a.utc", "a.wall", "b")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?!0000)") == 2 and plan.count("regexp_replace(") == 2, plan
     assert late.count() == sum(a["utc"] is not None and b["wall"] is not None and a["utc"].year >= 2020 for a, b in want.values())
+
+
+def test_no_cast_meets_empty_text(spark):
+    """A cast of empty text, even one that is tried, fails by an exception for every row."""
+    df = spark.createDataFrame([("2024-01-01T00:00:00Z",), ("2024-W01",), ("20240101T10+02",), ("2024-01-01",)], "t string")
+    parsed = with_iso(df, {"p": F.col("t")})
+    assert [r["p"]["utc"] for r in parsed.collect()] == [datetime(2024, 1, 1), None, datetime(2024, 1, 1, 8), None]
+    analyzed = parsed._jdf.queryExecution().analyzed().toString()
+    tried = re.findall(r"try_cast\((substring\(_iso0_text|\w+)", analyzed)
+    assert set(tried) == {"substring(_iso0_text", "concat", "nullif"}, analyzed

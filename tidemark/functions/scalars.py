@@ -28,9 +28,15 @@ def _bound(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+def _number(digits: Column) -> Column:
+    """Digits as a number; NULL for none. A cast of empty text fails by an exception in the task, which ``try_cast``
+    catches row by row at tens of microseconds each: it is kept from it."""
+    return F.nullif(digits, F.lit("")).try_cast("int")
+
+
 def _date_text(year: Column, month: Column, day: Column, week: Column, weekday: Column) -> Column:
-    nth, on = week.try_cast("int"), F.coalesce(weekday.try_cast("int"), F.lit(1))
-    jan4 = F.make_date(year.try_cast("int"), F.lit(1), F.lit(4))  # always in ISO week 1
+    nth, on = _number(week), F.coalesce(_number(weekday), F.lit(1))
+    jan4 = F.make_date(_number(year), F.lit(1), F.lit(4))  # always in ISO week 1
     d = F.date_add(jan4, (nth - 1) * 7 + on - 1 - F.weekday(jan4))
     return (F.when(week == "", F.concat_ws("-", year, month, day))
             .when((F.weekofyear(d) == nth) & on.between(1, 7), d.cast("string")))
@@ -40,7 +46,7 @@ def _offset_seconds(zone: Column) -> Column:
     z = F.replace(zone, F.lit(":"), F.lit(""))
 
     def at(n: int) -> Column:
-        return F.coalesce(F.substring(z, n, 2).try_cast("int"), F.lit(0))
+        return F.coalesce(_number(F.substring(z, n, 2)), F.lit(0))
 
     size = at(2) * 3600 + at(4) * 60 + at(6)
     return F.when(zone != "", F.when(F.startswith(z, F.lit("-")), -size).otherwise(size))
@@ -63,6 +69,15 @@ def _read(part: Column) -> tuple[Column, Column]:
     return text.try_cast("timestamp_ntz"), _offset_seconds(zone)
 
 
+def _taken_apart(c: Column) -> Column:
+    """A struct (wall, offset) of a text of any shape."""
+    def struct(part: Column) -> Column:
+        wall, offset = _read(part)
+        return F.struct(wall.alias("wall"), offset.alias("offset"))
+
+    return _bound(_iso_parts(c), struct)
+
+
 def _checked(wall: Column, offset: Column) -> Column:
     known = wall.isNotNull() & F.coalesce(F.abs(offset) < 86400, F.lit(True))
     return F.struct(F.when(known, wall).alias("wall"), F.when(known, offset).alias("offset"),
@@ -79,12 +94,7 @@ def iso_time(col: Column | str) -> Column:
     single uses; ``with_iso`` evaluates the same in a plan, once a row.
     """
     c = F.col(col) if isinstance(col, str) else col
-
-    def struct(part: Column) -> Column:
-        wall, offset = _read(part)
-        return F.struct(wall.alias("wall"), offset.alias("offset"))
-
-    return _bound(_bound(_iso_parts(c), struct), lambda t: _checked(t["wall"], t["offset"]))
+    return _bound(_taken_apart(c), lambda t: _checked(t["wall"], t["offset"]))
 
 
 def settled(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
@@ -114,14 +124,15 @@ def with_iso(df: DataFrame, texts: dict[str, Column]) -> DataFrame:
     out = out.select("*", *[F.when(F.col(name(k, "common")), F.when(F.endswith(at[k], F.lit("Z")), F.lit("Z"))
                                    .when(F.substring(at[k], -6, 1).isin("+", "-"), F.substring(at[k], -6, 6))
                                    .otherwise(F.lit(""))).alias(name(k, "zone")) for k in n],
-                     *[F.when(~F.col(name(k, "common")), _iso_parts(at[k])).alias(name(k, "parts")) for k in n])
+                     # In a lambda, for its size: beside the cast of the common shape, all shapes of some texts are
+                     # more than the JVM compiles of one method.
+                     *[F.when(~F.col(name(k, "common")), _bound(at[k], _taken_apart)).alias(name(k, "other")) for k in n])
     read = []
     for k in n:
-        common, zone = F.col(name(k, "common")), F.col(name(k, "zone"))
-        wall, offset = _read(F.col(name(k, "parts")))
+        common, zone, other = (F.col(name(k, c)) for c in ("common", "zone", "other"))
         read += [F.when(common, F.substring(at[k], F.lit(1), F.length(at[k]) - F.length(zone)).try_cast("timestamp_ntz"))
-                 .otherwise(wall).alias(name(k, "wall")),
-                 F.when(common, _offset_seconds(zone)).otherwise(offset).alias(name(k, "offset"))]
+                 .otherwise(other["wall"]).alias(name(k, "wall")),
+                 F.when(common, _offset_seconds(zone)).otherwise(other["offset"]).alias(name(k, "offset"))]
     out = out.select(*df.columns, *read)
     made = settled(out, {c: _checked(F.col(name(k, "wall")), F.col(name(k, "offset"))) for k, c in enumerate(texts)})
     return made.select(*df.columns, *texts)

@@ -246,3 +246,23 @@ def test_contexts_by_interval(spark):
     assert got == want
     assert {r["deployment_id"] for r in met.withheld_windows(windows, ctx).collect()} == {"2"}
     assert met.window_records(windows, lineage(spark).drop("bundle_created_at")).count() == 2 * len(seconds)
+
+
+def test_contexts_are_read_once_a_batch(spark, tmp_dir):
+    """Records, withheld windows and corrections share one reading of the lineage."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    contexts = lineage(spark, ("0", "1", "7")).coalesce(1).mapInArrow(counted, CONTEXT)
+    led = MetricsLedger(spark, contexts, tmp_dir, delay_seconds=60)
+    seen = []
+    for n, rows in enumerate(([row(0), row(400, "2")], [row(5, "1"), row(500)])):
+        led.ingest(spark.createDataFrame(rows, LOG), n)
+        seen.append(read.value)
+    assert seen == [3, 6]
+    assert len(stored(tmp_dir, "metrics")) == 1 and len(stored(tmp_dir, "metrics_corrections")) == 1
+    assert [r["deployment_id"] for r in stored(tmp_dir, "metrics_withheld")] == ["2"]

@@ -423,8 +423,9 @@ def sink_events_records(spark, sf_dir):
 def metrics_ledger(spark, sf_dir):
     """The windows of a log that comes in two batches, the second nearly all late: latest versions after the flush."""
     i = Inputs(spark, sf_dir)
-    base = scratch(spark, "ledger")
-    ledger = MetricsLedger(spark, valid_lineage(i), base, layout=("date",), span_hours=24)
+    base, contexts = scratch(spark, "ledger"), scratch(spark, "contexts")
+    valid_lineage(i).write.parquet(contexts)  # read in every batch
+    ledger = MetricsLedger(spark, spark.read.parquet(contexts), base, layout=("date",), span_hours=24)
     for n in (0, 1):
         ledger.ingest(i.request_log.where(F.pmod("request_id", F.lit(2)) == n), n)
     ledger.flush()

@@ -156,17 +156,20 @@ class MetricsLedger:
     def _stage_windows(self, batch: Batch, counts: DataFrame, closed: int | None = None, batch_id: int = 0) -> None:
         """Records of the windows of some partials: those that close now, and with a version those that ``closed`` had before."""
         windows = windows_of(counts.drop("newest", "span_id")).persist()
+        # The contexts of these windows' deployments, read once for the three tables.
+        lineage = self.lineage.join(windows.select("deployment_id").distinct(), "deployment_id", "left_semi").persist()
         try:
             before = F.lit(False) if closed is None else micros("window_end") <= closed
-            out = window_records(windows.where(~before), self.lineage)
+            out = window_records(windows.where(~before), lineage)
             self._stage_records(batch, utc_text(metrics_partitions(out)), METRICS_DIR)
-            held = withheld_windows(windows.where(~before), self.lineage)
+            held = withheld_windows(windows.where(~before), lineage)
             self._stage_records(batch, utc_text(metrics_partitions(held)), WITHHELD)
             if closed is not None:
-                again = window_records(windows.where(before), self.lineage)
+                again = window_records(windows.where(before), lineage)
                 again = utc_text(metrics_partitions(again)).withColumn("version", F.lit(batch_id + 1).cast("bigint"))
                 self._stage_records(batch, again, CORRECTIONS)
         finally:
+            lineage.unpersist()
             windows.unpersist()
 
     def _stage_records(self, batch: Batch, records: DataFrame, folder: str) -> None:

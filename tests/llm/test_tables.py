@@ -8,6 +8,8 @@ import random
 from collections import defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as E
@@ -232,6 +234,52 @@ def test_a_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert sum(made) < 10 * len(rows), made  # all pairs: 28,680
 
 
+def test_pairs_that_share_a_passage_are_not_compared(spark, monkeypatch):
+    """Texts of one length that share a fifth of their words, and one true link: the others are told apart by their prefixes."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        passage = [f"p{k // 2}x{j}" for j in range(40)]
+        rows.append((k, " ".join([*passage, *(f"u{rng.randrange(10 ** 9)}" for _ in range(160))])))
+    rows.append((99, rows[7][1] + " more"))
+    made = []
+
+    def counting(df, path):
+        out = saved(df, path)
+        if "/pairs-" in path:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(op7, "saved", counting)
+    got = op7.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 4, 85).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows, 4, 85))
+    assert sum(made) == 1, made
+
+
+def test_links_of_sets_that_lack_fragments(spark):
+    """Sets whose n-grams all fall in one fragment, or in none that the other has: (1, 2) and (3, 4) are linked."""
+    sets = {1: [[1, 2], [], [3]], 2: [[1, 2], [], [3]], 3: [[], [7, 8], []], 4: [[], [7, 8], []], 5: [[9, 10], [], []], 6: [[1, 2], [4], []]}
+    known = spark.createDataFrame([(k, sum(map(len, v)), k * 10, k * 100) for k, v in sets.items()], "rid bigint, n bigint, d1 bigint, d2 bigint")
+    segments = spark.createDataFrame([(k * 10, k * 100, f, x) for k, v in sets.items() for f, x in enumerate(v) if not f or x],
+                                     "d1 bigint, d2 bigint, fragment int, segment array<bigint>")
+    pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a bigint, b bigint")
+    assert sorted(map(tuple, op7.links(pairs, known, segments, 85, 3).collect())) == [(1, 2), (3, 4)]
+    assert sorted(map(tuple, op7.links(pairs, known, segments, 50, 3).collect())) == [(1, 2), (1, 6), (2, 6), (3, 4)]
+
+
+def test_sketch_of_few_hits_is_small(spark):
+    """Counts of a task go compressed: n-grams that hit a third of the slots take well under a byte a slot, and merge exactly."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(20_000)) for k in range(2)] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    out = list(op7._sketch(4, 16)(iter([batch])))
+    assert sum(len(r) for b in out for r in b.column("counts").to_pylist()) < 1 << 15
+    slots, counts = np.unique(np.concatenate(list(op7.sets_of(texts, 4))) >> np.uint64(48), return_counts=True)
+    want = np.zeros(1 << 16, np.uint8)
+    want[slots] = np.frexp(counts * 2.0)[1]
+    merged = next(op7._merge(iter([*out, *out]))).to_pydict()
+    assert merged["chunk"] == [0] and np.array_equal(np.frombuffer(merged["magnitude"][0], np.uint8), want)
+
+
 def test_deduplicate(spark, docs, texts, none):
     left = op7.deduplicate(docs)
     assert left.columns == docs.columns

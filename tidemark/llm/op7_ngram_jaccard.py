@@ -7,10 +7,13 @@ come last. The order is cut
 into ``FRAGMENTS`` fragments of about equal mass; a document's set falls into
 one segment per fragment. The overlap of a pair is counted fragment by
 fragment, each by itself, and the partial counts are summed per pair and
-tested exactly: 100 * intersection >= threshold * union.
+tested exactly: 100 * intersection >= threshold * union. The fragment of the
+rarest n-grams comes first; a pair that can no longer be linked, were all the
+rest of the smaller set shared, is not counted in the others.
 
 Candidates share one of the first (rarest) ``n - ceil(t n) + 1`` n-grams, as
-any linked pair must, and pass length and position filters. Equal sets are one
+any linked pair must, and pass length and position filters, and pairs from
+uncommon n-grams a filter on how many of them are shared. Equal sets are one
 class before anything is joined. The documents behind an n-gram that ``PAIRED``
 or fewer share are paired; those behind a more frequent one are not: in
 rounds, each such n-gram compares its documents to a few pivots (those that
@@ -22,7 +25,8 @@ components is compared in full, pairs of different components only. So a group
 of copies costs a few comparisons per member, and no link between components
 is lost. N-grams are counted first; rows of those that only one set holds, as
 far as a bit filter tells, are not moved, nor are sets outside a candidate
-pair, nor those of earlier rounds.
+pair, nor prefixes of classes of one row. A round moves a set once, and once
+more for each of its pairs.
 
 Defined results: a null or empty text, or one without words, has the empty
 set and is linked with nothing; fewer words than ``n`` are one n-gram;
@@ -34,6 +38,8 @@ them). Texts are used whole.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -77,7 +83,7 @@ def sketch_bits(rows: DataFrame) -> int:
 
 
 def _sketch(n, bits):
-    """Counts of a task's n-grams by slot, in chunks: dense, or as (place, count) where few slots are hit."""
+    """Counts of a task's n-grams by slot, in chunks: a bit for each slot hit, then their counts, compressed."""
     def sketch(batches):
         counts = np.zeros(1 << bits, np.uint8)
         for b in sliced(batches):
@@ -93,14 +99,11 @@ def _sketch(n, bits):
         rows = []
         for k in range(0, len(counts), CHUNK):
             chunk = counts[k:k + CHUNK]
-            hit = np.flatnonzero(chunk)
-            if 0 < len(hit) < CHUNK // 4:
-                rows.append((k // CHUNK, len(hit), hit.astype(np.uint16).tobytes() + chunk[hit].tobytes()))
-            elif len(hit):
-                rows.append((k // CHUNK, 0, chunk.tobytes()))
-        columns = list(zip(*rows)) or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary()))],
-                                         ["chunk", "hits", "counts"])
+            hit = chunk > 0
+            if hit.any():
+                rows.append((k // CHUNK, zlib.compress(np.packbits(hit).tobytes() + chunk[hit].tobytes(), 1)))
+        columns = list(zip(*rows)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary()))], ["chunk", "counts"])
     return sketch
 
 
@@ -108,12 +111,10 @@ def _merge(batches):
     """Sums chunks as they stream by; holds one array per chunk number of this task."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for k, hits, raw in zip(*(b.column(c).to_pylist() for c in ("chunk", "hits", "counts"))):
+        for k, raw in zip(*(b.column(c).to_pylist() for c in ("chunk", "counts"))):
             total = sums.setdefault(k, np.zeros(CHUNK, np.uint32))
-            if hits:
-                total[np.frombuffer(raw, np.uint16, hits)] += np.frombuffer(raw, np.uint8, hits, 2 * hits)
-            else:
-                total += np.frombuffer(raw, np.uint8)
+            raw = np.frombuffer(zlib.decompress(raw), np.uint8)
+            total[np.flatnonzero(np.unpackbits(raw[:CHUNK // 8]))] += raw[CHUNK // 8:]
     yield pa.RecordBatch.from_arrays(
         [pa.array(list(sums), pa.int32()),
          pa.array([np.frexp(x.astype(np.float64))[1].astype(np.uint8).tobytes() for x in sums.values()], pa.binary())],
@@ -148,7 +149,7 @@ class Order:
 
 def global_order(rows: DataFrame, n: int, fragments: int = FRAGMENTS) -> Order:
     bits = sketch_bits(rows)
-    got = (rows.select("text").mapInArrow(_sketch(n, bits), "chunk int, hits int, counts binary")
+    got = (rows.select("text").mapInArrow(_sketch(n, bits), "chunk int, counts binary")
            .repartition(min((1 << bits) // CHUNK, shuffle_partitions(rows.sparkSession)), "chunk")
            .mapInArrow(_merge, "chunk int, magnitude binary").toLocalIterator())
     magnitudes = np.zeros(1 << bits, np.uint8)
@@ -182,12 +183,12 @@ def _signatures(order, n, percent):
 
 
 def _segments(order, n, words_):
-    """Rows (d1, d2, fragment, segment) of the texts that the filter may hold; copies in a task once."""
+    """Rows (d1, d2, fragment, segment) of the texts that the filter may hold; copies in a task once, fragment 0 even if empty."""
     def segments(batches):
         o, bits, seen = order.value, words_.value, set()
         for b in sliced(batches):
             rows = []
-            hit = may_hold(bits, b.column("th").to_numpy(zero_copy_only=False))
+            hit = may_hold(bits, b.column("key").to_numpy(zero_copy_only=False))
             for s in sets_of(b.column("text").filter(pa.array(hit)).to_pylist(), n):
                 d = digest(s)
                 if not len(s) or d in seen:
@@ -196,7 +197,7 @@ def _segments(order, n, words_):
                     seen.add(d)
                 ordered, rank = o.ordered(s)
                 cut = np.concatenate([[0], np.searchsorted(rank, o.cuts), [len(s)]])
-                rows += [(*d, f, ordered[cut[f]:cut[f + 1]].view(np.int64)) for f in range(len(cut) - 1) if cut[f] < cut[f + 1]]
+                rows += [(*d, f, ordered[cut[f]:cut[f + 1]].view(np.int64)) for f in range(len(cut) - 1) if not f or cut[f] < cut[f + 1]]
             columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())))],
                                              ["d1", "d2", "fragment", "segment"])
@@ -204,10 +205,11 @@ def _segments(order, n, words_):
 
 
 def bit_filter(of: DataFrame, key: str) -> np.ndarray:
-    """A bit per key, modulo a size that follows their number up to a bound; it only saves work, the join behind it decides."""
+    """Two bits per key, from its halves, modulo a size that follows their number up to a bound; it only saves work, the join behind it decides."""
     bits = min(max((BITS_PER_KEY * of.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    at = F.col(key).bitwiseAND((1 << bits) - 1)
-    words_ = (of.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("bit"))
+    half = F.explode(F.array(key, F.shiftrightunsigned(key, 32))).alias("half")
+    at = of.select(half).select(F.col("half").bitwiseAND((1 << bits) - 1).alias("at"))
+    words_ = (at.select(F.shiftright("at", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
               .groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow())
     out = np.zeros(1 << (bits - 6), np.uint64)
     out[words_.column("w").to_numpy()] = words_.column("bits").to_numpy().view(np.uint64)
@@ -215,8 +217,21 @@ def bit_filter(of: DataFrame, key: str) -> np.ndarray:
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (64 * len(bits) - 1)
-    return (bits[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    def held(half):
+        at = half & np.uint64(64 * len(bits) - 1)
+        return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    keys = keys.view(np.uint64)
+    return held(keys) & held(keys >> np.uint64(32))
+
+
+def _sifted(filter_, key: str, held: bool):
+    """The rows whose key the filter may hold, or those whose key it surely does not."""
+    def sifted(batches):
+        bits = filter_.value
+        for b in sliced(batches):
+            yield b.filter(pa.array(may_hold(bits, b.column(key).to_numpy(zero_copy_only=False)) == held))
+    return sifted
 
 
 def _tokens(shared):
@@ -235,21 +250,36 @@ def _tokens(shared):
     return tokens
 
 
-def segments_of(rows: DataFrame, needed: DataFrame, order, n: int, bits) -> DataFrame:
-    """rid, n, fragment, segment of the needed sets, from one more pass over the texts."""
-    found = (rows.select("text", "th").mapInArrow(_segments(order, n, bits), "d1 bigint, d2 bigint, fragment int, segment array<bigint>")
-             .groupBy("d1", "d2", "fragment").agg(F.first("segment").alias("segment")))
-    return found.join(needed.select("d1", "d2", "rid", "n"), ["d1", "d2"]).select("rid", "n", "fragment", "segment")
+def segments_of(rows: DataFrame, order, n: int, bits) -> DataFrame:
+    """d1, d2, fragment, segment of the sets whose key the filter may hold, from one more pass over the texts."""
+    found = rows.select("text", "key").mapInArrow(_segments(order, n, bits), "d1 bigint, d2 bigint, fragment int, segment array<bigint>")
+    return found.groupBy("d1", "d2", "fragment").agg(F.first("segment").alias("segment"))
 
 
-def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked: partial overlaps by fragment, summed per pair."""
-    left = segments.select(F.col("rid").alias("a"), "fragment", F.col("segment").alias("sa"), F.col("n").alias("na"))
-    right = segments.select(F.col("rid").alias("b"), "fragment", F.col("segment").alias("sb"), F.col("n").alias("nb"))
-    near = pairs.join(left, "a").join(right, ["b", "fragment"])
-    near = near.where((F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent))
-    partial = near.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
+def links(pairs: DataFrame, sets: DataFrame, segments: DataFrame, percent: int, fragments: int = FRAGMENTS) -> DataFrame:
+    """The pairs (a, b) that are linked: partial overlaps by fragment, summed per pair.
+
+    Fragment 0, which every set has, goes first and leaves only the pairs that
+    can still be linked. Segments are keyed by digest as they come, so that all
+    four joins read them where their one exchange has put them.
+    """
+    def named(x: str) -> DataFrame:
+        return sets.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"))
+
+    def met(of: DataFrame, parts: list[int], how: str) -> DataFrame:
+        of = of.withColumn("fragment", F.explode(F.array(*map(F.lit, parts))))
+        for x in "ab":
+            side = segments.select(F.col("d1").alias(f"{x}1"), F.col("d2").alias(f"{x}2"), "fragment", F.col("segment").alias(f"s{x}"))
+            of = of.join(side, [f"{x}1", f"{x}2", "fragment"], how)
+        return of
+
+    both = F.when(F.col("sa").isNull() | F.col("sb").isNull(), 0).otherwise(F.size(F.array_intersect("sa", "sb")))
+    known = ["a", "b", "na", "nb"]
+    first = met(pairs.join(named("a"), "a").join(named("b"), "b"), [0], "inner").select(
+        *known, "a1", "a2", "b1", "b2", both.alias("o"), F.least(F.col("na") - F.size("sa"), F.col("nb") - F.size("sb")).alias("rest"))
+    still = first.where((F.col("o") + F.col("rest")) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    partial = met(still, [*range(1, max(fragments, 2))], "left").select(*known, "o", both.alias("more"))
+    total = partial.groupBy(*known, "o").agg(F.sum("more").alias("more")).withColumn("o", F.col("o") + F.col("more"))
     return total.where(F.col("o") * 100 >= (F.col("na") + F.col("nb") - F.col("o")) * percent).select("a", "b")
 
 
@@ -259,36 +289,53 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
     sc = spark.sparkContext
     keep = lambda df, name: saved(df, scratch(spark, name))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
+    rows = rows.withColumn("th", F.xxhash64("text")).withColumn("key", F.xxhash64("doc_id", "th"))
     order = sc.broadcast(global_order(rows, n, fragments))
     signed = keep(rows.mapInArrow(_signatures(order, n, percent), SIGNATURE), "signatures")
-    classes = keep(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
+    classes = keep(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("k")), "classes")
 
     # N-grams of one set only are counted and left where they are: the others alone are moved with their rows.
-    prefixes = signed.join(classes.select("rid"), "rid", "left_semi").select("rid", "n", "prefix")
+    copied = sc.broadcast(bit_filter(classes.where("k > 1"), "d1"))
+    brief, schema = signed.select("rid", "n", "d1", "prefix"), "rid bigint, n bigint, d1 bigint, prefix array<bigint>"
+    several = brief.mapInArrow(_sifted(copied, "d1", True), schema).join(classes.select("rid"), "rid", "left_semi")
+    several = keep(several, "of-several-rows")
+    prefixes = brief.mapInArrow(_sifted(copied, "d1", False), schema).unionByName(several).select("rid", "n", "prefix")
     counted = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
     shared = keep(counted.where("k > 1"), "shared")
     bits = sc.broadcast(bit_filter(shared, "token"))
     tokens = prefixes.mapInArrow(_tokens(bits), "rid bigint, n bigint, pos int, token bigint")
     tokens = keep(tokens.join(shared, "token"), "shared-tokens")
-    bits.unpersist()
+    for used in (bits, copied):
+        used.unpersist()
     few = tokens.where(F.col("k") <= PAIRED).drop("k").repartition("token")  # one exchange for both sides of its join
     many = tokens.where(F.col("k") > PAIRED)
     # A set of many frequent n-grams is near the middle of its group: it is the better pivot.
     weight = F.least(F.sum("k"), F.lit((1 << 31) - 1)).alias("weight")
-    many = keep(many.drop("k").join(many.groupBy("rid").agg(weight), "rid"), "frequent-tokens")
+    weights = keep(many.groupBy("rid").agg(weight, F.count(F.lit(1)).alias("frequent")), "weights")
+    many = keep(many.drop("k").join(weights.drop("frequent"), "rid"), "frequent-tokens")
 
     def other(of: DataFrame, *more) -> DataFrame:
         return of.select("token", F.col("rid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), *more)
 
-    def candidates(met: DataFrame) -> DataFrame:
-        # What two sets can share from this n-gram on must reach the overlap that a link needs.
-        most = F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("pos"))
-        return (met.where(most * (100 + percent) >= (F.col("na") + F.col("n")) * percent)
-                .where((F.col("na") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("na") * percent))
-                .select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b")))
+    # What two sets can share from an n-gram on must reach the overlap that a link needs.
+    reaches = F.least(F.col("na") - F.col("pa"), F.col("n") - F.col("pos")) * (100 + percent) >= (F.col("na") + F.col("n")) * percent
+    sizes = (F.col("na") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("na") * percent)
 
-    labels, segments, spread = None, None, many.withColumn("label", F.col("rid"))
+    def candidates(met: DataFrame) -> DataFrame:
+        return met.where(reaches & sizes).select(F.least("a", "rid").alias("a"), F.greatest("a", "rid").alias("b"))
+
+    def counted_candidates(met: DataFrame) -> DataFrame:
+        """As candidates, of all n-grams that PAIRED or fewer share: what both prefixes share and what is behind the prefix
+        of the larger set must reach it too, with as many frequent n-grams as both hold."""
+        found = met.where(sizes).groupBy("a", "rid", "na", "n").agg(F.count(F.lit(1)).alias("m"), F.max(reaches).alias("reaches")).where("reaches")
+        for x in ("a", "rid"):
+            found = found.join(weights.select(F.col("rid").alias(x), F.col("frequent").alias(f"more_{x}")), x, "left")
+        more = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_rid", F.lit(0)))
+        behind = F.floor((F.greatest("na", "n") * percent + 99) / 100) - 1
+        return (found.where((F.col("m") + more + behind) * (100 + percent) >= (F.col("na") + F.col("n")) * percent)
+                .select("a", F.col("rid").alias("b")))
+
+    labels, spread = None, many.withColumn("label", F.col("rid"))
     for turn in range(len(PIVOTS) + 1):
         if turn:
             spread = many.join(labels, many["rid"] == labels["a"], "left").select(
@@ -308,19 +355,17 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
         else:
             pairs = candidates(spread.join(other(spread, label), "token").where("la < label"))
         if turn == 0:
-            pairs = pairs.unionByName(candidates(few.join(other(few), "token").where("a < rid")))
+            pairs = pairs.unionByName(counted_candidates(few.join(other(few), "token").where("a < rid")))
         pairs = keep(pairs.distinct(), "pairs")
         wanted = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct()
-        met = wanted = keep(wanted, "met")
-        if segments is not None:
-            wanted = wanted.join(segments.select("rid").distinct(), "rid", "left_anti")
-        wanted = keep(signed.select("rid", "th", "n", "d1", "d2").join(wanted, "rid"), "wanted")
-        if segments is None or not wanted.isEmpty():
-            bits = sc.broadcast(bit_filter(wanted, "th"))
-            more = keep(segments_of(rows, wanted, order, n, bits), "segments")
-            bits.unpersist()
-            segments = more if segments is None else segments.unionByName(more)
-        new = keep(links(pairs, segments.join(met, "rid", "left_semi"), percent), "links")
+        wanted = keep(wanted, "wanted")
+        if turn and wanted.isEmpty():
+            continue
+        sets = signed.select("rid", "doc_id", "th", "n", "d1", "d2").join(wanted, "rid").withColumn("key", F.xxhash64("doc_id", "th"))
+        sets = keep(sets.select("rid", "key", "n", "d1", "d2"), "sets")
+        bits = sc.broadcast(bit_filter(sets, "key"))
+        new = keep(links(pairs, sets, segments_of(rows, order, n, bits), percent, fragments), "links")
+        bits.unpersist()
         if labels is None or not new.isEmpty():
             labels = components(new if labels is None else labels.unionByName(new))
 

@@ -394,13 +394,18 @@ def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80, id_col="doc_id",
     kept = found.groupBy("component").agg(F.min(order).alias("kept"))
     found = found.join(kept, "component").withColumn("stays", order == F.col("kept")).where("NOT stays OR k > 1")
     found = saved(found.select("doc_id", "th", "stays"), scratch(docs.sparkSession, "marked"))  # of known size to the joins below
-    hashed = docs.withColumn(name, F.xxhash64(text))
+    key, marks = "__jaccard_key", bit_filter(found.select(F.xxhash64("doc_id", "th").alias("key")), "key")
+    marks = docs.sparkSession.sparkContext.broadcast(marks)
+    hashed = docs.withColumn(name, F.xxhash64(text)).withColumn(key, F.xxhash64(F.col(id_col).cast("bigint"), name))
+    # Rows that are surely not marked stay where they are; only the others meet the joins.
+    alone = hashed.mapInArrow(_sifted(marks, key, False), hashed.schema)
+    hashed = hashed.mapInArrow(_sifted(marks, key, True), hashed.schema)
 
     def same(of: DataFrame):
         return hashed[id_col].cast("bigint").eqNullSafe(of["doc_id"]) & (hashed[name] == of["th"])
 
     again = found.where("stays").select("doc_id", "th")
-    once = hashed.join(found, same(found), "left_anti")
+    once = alone.unionByName(hashed.join(found, same(found), "left_anti"))
     repeated = hashed.join(again, same(again), "left_semi").dropDuplicates([id_col, name])
     return once.unionByName(repeated).select(docs.columns)
 

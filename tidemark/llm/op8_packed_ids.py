@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Words, saved, scratch, shuffle_partitions, sliced, table, text_of, word_batches
+from tidemark.llm.common import Words, release, saved, scratch, shuffle_partitions, sliced, table, text_of, word_batches
 
 MAGIC = b"TMBITS01"
 BLOCK = 1 << 14  # ids, a multiple of 64
@@ -222,8 +222,9 @@ class RunIds:
     encodes whole texts.
     """
 
-    LIMIT = 1 << 20  # pieces, about 45 MB
-    IDS = 1 << 23  # their ids, 32 MB
+    LIMIT = 1 << 18  # pieces, about 11 MB
+    IDS = 1 << 21  # their ids, 8 MB
+    LEARNT = 1 << 14  # new pieces encoded together: their ids are Python objects
 
     def __init__(self, tokenizer):
         tokenizer.no_truncation()
@@ -318,7 +319,9 @@ class RunIds:
             n = len(self.keys)
             new, seen = np.unique(w.hashes[miss], return_index=True)
             starts, ends, data = w.starts[miss[seen]], w.ends[miss[seen]], w.array.data
-            self._learn(new, [bytes(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], kind[starts] == OTHER)
+            for k in range(0, len(new), self.LEARNT):
+                s, e = starts[k:k + self.LEARNT], ends[k:k + self.LEARNT]
+                self._learn(new[k:k + self.LEARNT], [bytes(data[a:b]) for a, b in zip(s.tolist(), e.tolist())], kind[s] == OTHER)
             piece[miss] = n + np.searchsorted(new, w.hashes[miss])
         self.uses += np.bincount(piece, minlength=len(self.uses))
         ids, ends = self._ids(piece)
@@ -334,6 +337,7 @@ def run_ids(model: bytes) -> RunIds:
     if key not in _known:
         _known.clear()
         _known[key] = RunIds(load_tokenizer(model))
+        release()  # what reading its file took
     return _known[key]
 
 
@@ -355,14 +359,14 @@ def write_shards(docs: DataFrame, model: bytes, out: str, end_id: int = END_ID,
         shard, writer = TaskContext.get().partitionId(), None
         path = f"{out}/shards/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
         sink = None
-        for b in sliced(batches):
+        for b in sliced(batches, rows=250):
             doc_ids = b.column("doc_id").to_pylist()
             if doc_ids and writer is None:
                 store, place = pafs.FileSystem.from_uri(path)
                 store.create_dir(os.path.dirname(place), recursive=True)
                 sink = store.open_output_stream(place, compression=None)
                 writer = ShardWriter(sink, bits, block)
-            for first, w in word_batches(b.column("text").to_pylist(), size=1 << 21):
+            for first, w in word_batches(b.column("text").to_pylist(), size=1 << 20):
                 ids, bounds = runs.encode(w)
                 for k, doc_id in enumerate(doc_ids[first:first + len(bounds) - 1]):
                     writer.add(doc_id, np.append(ids[bounds[k]:bounds[k + 1]], np.uint32(end_id)))

@@ -302,6 +302,26 @@ def test_deduplicate_tells_rows_apart_by_id_and_text(spark):
     assert sorted(r["text"] for r in op7.deduplicate(alone).collect())[0] == a and op7.deduplicate(alone).count() == 2
 
 
+def test_no_task_takes_two_python_workers(spark, docs, monkeypatch):
+    most = []
+
+    def chain(plan):
+        """Python functions in a row on top of this plan, and of all below into ``most``."""
+        kids = plan.children()
+        n, name = max([chain(kids.apply(k)) for k in range(kids.size())], default=0), plan.nodeName()
+        n = n + (name == "MapInArrow") if name in ("MapInArrow", "Project", "Filter", "Union", "Generate") else 0
+        most.append(n)
+        return n
+
+    def watched(df, path):
+        chain(df._jdf.queryExecution().optimizedPlan())
+        return saved(df, path)
+
+    monkeypatch.setattr(op7, "saved", watched)
+    chain(op7.deduplicate(docs)._jdf.queryExecution().optimizedPlan())
+    assert max(most) == 1
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
     sizes = [docs.count()]

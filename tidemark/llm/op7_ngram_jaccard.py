@@ -234,11 +234,16 @@ def _sifted(filter_, key: str, held: bool):
     return sifted
 
 
-def _tokens(shared):
-    """Rows (rid, n, pos, token) of the prefixes' n-grams that the filter may hold."""
+def _tokens(shared, copied=None):
+    """Rows (rid, n, pos, token) of the prefixes' n-grams that the filter may hold; of the sets that ``copied`` surely does not, if given.
+
+    Both filters in one function: two in a row take two Python workers a task, which stay.
+    """
     def tokens(batches):
         bits = shared.value
         for b in sliced(batches):
+            if copied is not None:
+                b = b.filter(pa.array(~may_hold(copied.value, b.column("d1").to_numpy(zero_copy_only=False))))
             prefix = b.column("prefix")
             token, size = prefix.flatten().to_numpy(), prefix.value_lengths().to_numpy()
             hit = np.flatnonzero(may_hold(bits, token))
@@ -303,7 +308,8 @@ def join(docs: DataFrame, n: int, percent: int, id_col="doc_id", text_col="text"
     counted = prefixes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("k"))
     shared = keep(counted.where("k > 1"), "shared")
     bits = sc.broadcast(bit_filter(shared, "token"))
-    tokens = prefixes.mapInArrow(_tokens(bits), "rid bigint, n bigint, pos int, token bigint")
+    pieces = "rid bigint, n bigint, pos int, token bigint"
+    tokens = brief.mapInArrow(_tokens(bits, copied), pieces).unionByName(several.mapInArrow(_tokens(bits), pieces))
     tokens = keep(tokens.join(shared, "token"), "shared-tokens")
     for used in (bits, copied):
         used.unpersist()
